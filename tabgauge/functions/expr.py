@@ -94,15 +94,19 @@ def one_row_per_column(
     return wide.select(F.inline(F.array(*rows)))
 
 
+def unfold(df: DataFrame, cells: Sequence[Column], position: str = "position") -> DataFrame:
+    """(position, value) for every row and cell; one narrow row each."""
+    names = [str(i) for i in range(len(cells))]
+    wide = df.select(*[cell.alias(name) for cell, name in zip(cells, names)])
+    if len(names) == 1:
+        return wide.select(F.lit(0).alias(position), F.col("0").alias("value"))
+    long = wide.unpivot([], names, position, "value")
+    return long.withColumn(position, F.col(position).cast("int"))
+
+
 def value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every cell as (position, value text): narrow rows ready to be counted."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(position).alias("position"), as_text(df, name).alias("value"))
-            for position, name in enumerate(columns)
-        ]
-    )
-    return df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    """Every filled cell as (position, value text), ready to be counted."""
+    return unfold(df, [as_text(df, c) for c in columns]).where(F.col("value").isNotNull())
 
 
 def as_text(df: DataFrame, name: str) -> Column:

@@ -4,7 +4,7 @@ Spark's exact ``percentile`` keeps every distinct value of the column in one
 buffer, which a large table outgrows. Here the wanted order statistics are
 closed in on instead: a map-side-combined histogram of the value range picks
 the cell holding each wanted rank, the next scan looks only inside the picked
-cells, and once a cell holds few enough rows its values are counted one by one.
+cells, and once a cell holds few enough rows its values are sorted outright.
 All columns and ranks share each scan. The driver sees cell borders and counts
 only.
 """
@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabgauge.functions.expr import any_of, col
+from tabgauge.functions.expr import col, unfold
 from tabgauge.functions.rules import FENCE_WIDTH
 
 CELLS = 2048
-COUNT_DIRECTLY = 100_000
+SORT_AT_ONCE = 100_000
+SORT_TOGETHER = 1_000_000
 LARGEST = sys.float_info.max
 
 
@@ -84,7 +85,7 @@ def exact_quantiles(
     columns: Sequence[str],
     probabilities: Sequence[float],
     cells: int = CELLS,
-    count_directly: int = COUNT_DIRECTLY,
+    sort_at_once: int = SORT_AT_ONCE,
     accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column; None where a column is empty.
@@ -134,11 +135,11 @@ def exact_quantiles(
                 found.update({(cell.name, r): cell.low for r in cell.ranks})
             else:
                 narrow.append(cell)
-        large = [c for c in narrow if c.inside > count_directly and c.divisible]
+        large = [c for c in narrow if c.inside > sort_at_once and c.divisible]
         small = [c for c in narrow if c not in large]
         open_cells = []
         if small:
-            found.update(_count_values(data, small))
+            found.update(_pick_values(data, small, SORT_TOGETHER))
         if large:
             open_cells = _split_cells(data, large, cells)
 
@@ -161,74 +162,83 @@ def _neighbours(n: int, p: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 
 
-def _inside(data: DataFrame, cells: list[_Cell]) -> DataFrame:
-    """(cell, value) of the values in the given cells; the ranges reach the scan."""
-    needed = list(dict.fromkeys(c.name for c in cells))
-    ranges = any_of([col(c.name).between(c.low, c.high) for c in cells])
-    tagged = []
-    for name in needed:
-        number_of = None
-        for i, cell in enumerate(cells):
-            if cell.name != name:
-                continue
-            test = col(name).between(cell.low, cell.high)
-            number_of = F.when(test, i) if number_of is None else number_of.when(test, i)
-        tagged.append(F.struct(number_of.alias("cell"), col(name).alias("value")))
-    return (
-        data.select(*needed)
-        .where(ranges)
-        .select(F.inline(F.array(*tagged)))
-        .where(F.col("cell").isNotNull())
-    )
+def _sql(value: float) -> str:
+    return f"double('{value!r}')"
 
 
-def _holding(cells: list[_Cell], running: DataFrame) -> list:
-    """The rows of a running count that hold a wanted rank."""
-    wanted = []
-    for i, cell in enumerate(cells):
-        for rank in cell.ranks:
-            place = rank - cell.below
-            wanted.append(
-                (F.col("cell") == i)
-                & (F.col("upto") - F.col("n") <= place)
-                & (F.col("upto") > place)
-            )
-    return running.where(any_of(wanted)).collect()
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
-def _count_values(data: DataFrame, cells: list[_Cell]) -> dict[tuple[str, int], float]:
-    order = Window.partitionBy("cell").orderBy("value")
-    counted = (
-        _inside(data, cells)
-        .groupBy("cell", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(order))
-    )
+def _between(name: str, cell: _Cell) -> str:
+    return f"{name} BETWEEN {_sql(cell.low)} AND {_sql(cell.high)}"
+
+
+def _any_cell(cells: list[_Cell]) -> str:
+    return " OR ".join(f"({_between(_quoted(c.name), c)})" for c in cells)
+
+
+def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tuple[str, int], float]:
+    """Sort the few values of each cell and read off the wanted ranks.
+
+    Cells share a job as long as they hold no more than ``together`` values.
+    """
     found = {}
-    for row in _holding(cells, counted):
-        cell = cells[row["cell"]]
-        for rank in cell.ranks:
-            if row["upto"] - row["n"] <= rank - cell.below < row["upto"]:
-                found[cell.name, rank] = row["value"]
+    batch: list[_Cell] = []
+    held = 0
+    for cell in [*cells, None]:
+        if batch and (cell is None or held + cell.inside > together):
+            row = (
+                data.where(_any_cell(batch))
+                .agg(
+                    *[
+                        F.expr(
+                            f"sort_array(collect_list(CASE WHEN {_between(_quoted(c.name), c)} "
+                            f"THEN {_quoted(c.name)} END))"
+                        ).alias(str(i))
+                        for i, c in enumerate(batch)
+                    ]
+                )
+                .selectExpr(
+                    *[
+                        f"`{i}`[{rank - c.below}] AS `{i}_{rank}`"
+                        for i, c in enumerate(batch)
+                        for rank in c.ranks
+                    ]
+                )
+                .first()
+            )
+            found.update(
+                {(c.name, r): row[f"{i}_{r}"] for i, c in enumerate(batch) for r in c.ranks}
+            )
+            batch, held = [], 0
+        if cell is not None:
+            batch.append(cell)
+            held += cell.inside
     return found
 
 
 def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]:
     """One histogram pass: each cell gives way to its parts that hold a rank."""
-    part = None
-    for i, cell in enumerate(cells):
-        low, high = cell.finite
-        value = F.greatest(F.least(F.col("value"), F.lit(high)), F.lit(low))
-        if math.isinf(high - low):
-            value, low, high = value / 2, low / 2, high / 2
-        share = (value - F.lit(low)) / F.lit(high - low)
-        place = F.least(F.floor(share * parts), F.lit(parts - 1).cast("long"))
-        test = F.col("cell") == i
-        part = F.when(test, place) if part is None else part.when(test, place)
+    inside = [
+        F.expr(f"CASE WHEN {_between(_quoted(c.name), c)} THEN {_quoted(c.name)} END")
+        for c in cells
+    ]
+    ends = [cell.finite for cell in cells]
+    # Halves keep the width of a cell finite. Short code: borders by lookup.
+    lows = ", ".join(_sql(low / 2) for low, _ in ends)
+    widths = ", ".join(_sql(high / 2 - low / 2) for low, high in ends)
+    clamped = f"greatest(least(value, {_sql(LARGEST)}), {_sql(-LARGEST)}) / 2"
+    share = f"({clamped} - array({lows})[cell]) / array({widths})[cell]"
     order = Window.partitionBy("cell").orderBy("part")
     counted = (
-        _inside(data, cells)
-        .withColumn("part", part)
+        unfold(data.where(_any_cell(cells)), inside, "cell")
+        .where("value IS NOT NULL")
+        .selectExpr(
+            "cell",
+            f"least(greatest(floor({share} * {parts}), 0L), {parts - 1}L) AS part",
+            "value",
+        )
         .groupBy("cell", "part")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -237,8 +247,13 @@ def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]
         )
         .withColumn("upto", F.sum("n").over(order))
     )
+    wanted = " OR ".join(
+        f"(cell = {i} AND upto - n <= {rank - cell.below} AND upto > {rank - cell.below})"
+        for i, cell in enumerate(cells)
+        for rank in cell.ranks
+    )
     result = []
-    for row in _holding(cells, counted):
+    for row in counted.where(wanted).collect():
         cell = cells[row["cell"]]
         below = cell.below + row["upto"] - row["n"]
         ranks = [r for r in cell.ranks if below <= r < below + row["n"]]
