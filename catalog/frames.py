@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabgauge.operators.roles import normalize
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return normalize(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 
 from catalog.frames import LABELLED, LABELLED_COLUMNS, labelled, table
 from catalog.registry import query
+from tabgauge.session import scratch_path
 from tabgauge.sources.messages import (
+    append_messages,
     chat_export,
     clear_messages,
     load_messages,
     message_count,
+    read_messages,
 )
 from tabgauge.sources.sampling import missing_matrix, preview, sample_n
-from tabgauge.sources.tables import narrow_types
+from tabgauge.sources.tables import narrow_types, read_csv, to_csv
 
 
 @query(
@@ -95,3 +98,33 @@ def _chat_export(spark, sf_dir):
 @query("message_count", "SELECT count(*) AS messages FROM conversations")
 def _message_count(spark, sf_dir):
     return message_count(table(spark, sf_dir, "conversations"))
+
+
+@query(
+    "csv_round_trip",
+    """SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey,
+    o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders""",
+)
+def _csv_round_trip(spark, sf_dir):
+    """Orders written as CSV and read back with inferred types."""
+    path = scratch_path(spark)
+    to_csv(table(spark, sf_dir, "orders"), path)
+    read = read_csv(spark, path)
+    return read.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+
+
+@query(
+    "append_messages",
+    """SELECT CAST(conv_id AS VARCHAR) AS user_email, role, "text" AS message, true AS stamped
+    FROM conversations""",
+)
+def _append_messages(spark, sf_dir):
+    """User turns appended first, all others after them, then the whole log read."""
+    path = scratch_path(spark)
+    log = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("user_email"), "role", F.col("text").alias("message")
+    )
+    append_messages(path, log.where(F.col("role") == "user"))
+    append_messages(path, log.where(F.col("role") != "user"))
+    stamped = F.col("timestamp").isNotNull().alias("stamped")
+    return read_messages(spark, path).select("user_email", "role", "message", stamped)

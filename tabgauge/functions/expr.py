@@ -104,9 +104,17 @@ def unfold(df: DataFrame, cells: Sequence[Column], position: str = "position") -
     return long.withColumn(position, F.col(position).cast("int"))
 
 
-def value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Every filled cell as (position, value text), ready to be counted."""
-    return unfold(df, [as_text(df, c) for c in columns]).where(F.col("value").isNotNull())
+def value_rows(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
+    """Every filled cell as (position, value text), ready to be counted.
+
+    With ``digests``, long text is replaced by its digest.
+    """
+
+    def cell(name: str) -> Column:
+        is_text = isinstance(df.schema[name].dataType, T.StringType)
+        return compact(df, name) if digests and is_text else as_text(df, name)
+
+    return unfold(df, [cell(c) for c in columns]).where(F.col("value").isNotNull())
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -119,14 +127,37 @@ def as_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
-def value_counts_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_counts_by_column(
+    df: DataFrame, columns: Sequence[str], digests: bool = False
+) -> DataFrame:
     """(position, value, n) for every distinct cell of every column."""
     return (
-        value_rows(df, columns)
+        value_rows(df, columns, digests)
         .groupBy("position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def any_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def compact(df: DataFrame, name: str, keep: int = 64) -> Column:
+    """A stand-in for a cell when only equality matters: long text by its digest.
+
+    The stand-in is longer than any text kept as it is, so the two never mix.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return col(name)
+    digest = F.concat(F.lit("#"), F.sha2(col(name), 256))
+    return F.when(F.length(col(name)) <= keep, col(name)).otherwise(digest)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 32 * 2**20) -> DataFrame:
+    """Mark a frame for broadcast after measuring it; leave it alone otherwise."""
+    size = F.lit(0).cast("bigint")
+    for f in df.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(F.octet_length(F.to_json(col(f.name))), F.lit(0)) + 16
+        else:
+            size = size + 16
+    measured = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.broadcast(df) if measured <= limit else df

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabgauge.functions.expr import any_of, col, value_counts_by_column
+from tabgauge.functions.expr import broadcast_if_small, col, value_counts_by_column
 from tabgauge.operators.ordering import with_row_number
 from tabgauge.operators.profile import outside
 from tabgauge.operators.quantiles import find_fences, number
@@ -24,13 +23,6 @@ def drop_missing_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("any")
 
 
-def _missing_per_column(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    if not columns:
-        return {}
-    row = df.agg(*[F.count_if(col(c).isNull()).alias(str(i)) for i, c in enumerate(columns)]).first()
-    return {c: row[i] for i, c in enumerate(columns)}
-
-
 def find_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
     """Most frequent text of each column, the smallest on ties; all-null absent."""
     if not columns:
@@ -45,20 +37,16 @@ def find_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 def _fill(df: DataFrame, fills: dict[str, object]) -> DataFrame:
     """Whole-number columns filled with a mean become double."""
-    columns = []
-    for f in df.schema:
-        value = fills.get(f.name)
+    texts = text_columns(df)
+
+    def filled(name: str) -> Column:
+        value = fills.get(name)
         if value is None:
-            columns.append(col(f.name))
-        elif isinstance(f.dataType, T.StringType):
-            columns.append(F.coalesce(col(f.name), F.lit(value)).alias(f.name))
-        elif f.name in numeric_columns(df):
-            filled = F.coalesce(col(f.name).cast("double"), F.lit(float(value)))
-            columns.append(filled.alias(f.name))
-        else:
-            filled = F.coalesce(col(f.name), F.lit(value).cast(f.dataType))
-            columns.append(filled.alias(f.name))
-    return df.select(*columns)
+            return col(name)
+        kind = "string" if name in texts else "double"
+        return F.coalesce(col(name).cast(kind), F.lit(value)).alias(name)
+
+    return df.select(*[filled(c) for c in df.columns])
 
 
 def fill_missing(df: DataFrame) -> DataFrame:
@@ -68,13 +56,14 @@ def fill_missing(df: DataFrame) -> DataFrame:
     counts merged before the shuffle.
     """
     numbers, texts = numeric_columns(df), text_columns(df)
-    gaps = {c for c, n in _missing_per_column(df, numbers + texts).items() if n}
-    holes = [c for c in numbers if c in gaps]
-    fills: dict[str, object] = {}
-    if holes:
-        row = df.agg(*[F.avg(number(df, c)).alias(str(i)) for i, c in enumerate(holes)]).first()
-        fills.update({c: row[i] for i, c in enumerate(holes)})
-    fills.update(find_modes(df, [c for c in texts if c in gaps]))
+    if not numbers and not texts:
+        return df
+    facts = df.agg(
+        *[F.count_if(col(c).isNull()).alias(f"n_{c}") for c in numbers + texts],
+        *[F.avg(number(df, c)).alias(f"m_{c}") for c in numbers],
+    ).first()
+    fills: dict[str, object] = {c: facts[f"m_{c}"] for c in numbers if facts[f"n_{c}"]}
+    fills.update(find_modes(df, [c for c in texts if facts[f"n_{c}"]]))
     return _fill(df, fills)
 
 
@@ -100,9 +89,9 @@ def fill_mode(df: DataFrame, name: str) -> DataFrame:
         F.count(F.lit(1)).alias("n")
     )
     best = counted.agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))
-    return _fill(df, {name: best.first()["value"]}) if name not in numeric_columns(df) else df.withColumn(
-        name, F.coalesce(col(name), F.lit(best.first()["value"]))
-    )
+    kind = df.schema[name].dataType
+    fill = F.lit(best.first()["value"]).cast(kind)
+    return df.withColumn(name, F.coalesce(col(name), fill))
 
 
 def remove_outliers(df: DataFrame, name: str, **options) -> DataFrame:
@@ -150,7 +139,10 @@ def rows_duplicated(df: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     repeated = copies.where(F.col("__copies") > 1)
     chunks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("__copies") - 1) / chunk))
     split = repeated.withColumn("__chunk", F.explode(chunks))
-    spread = split.repartition("__chunk", *[col(c) for c in df.columns])
+    # A fixed number of tasks: the chunks are few bytes now but many rows later,
+    # so they must not be packed together by their present size.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = split.repartition(tasks, "__chunk", *[col(c) for c in df.columns])
     size = F.least(F.lit(chunk).cast("bigint"), F.col("__copies") - F.col("__chunk") * chunk)
     return spread.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).select(
         *[col(c) for c in df.columns]
@@ -184,6 +176,7 @@ def encode_labels(df: DataFrame, name: str, code: str = "code", **options) -> Da
     """The table with the code of each value; missing values get none."""
     codes = label_codes(df, name, **options)
     named = codes.select(F.col("value").alias("__value"), F.col("code").cast("bigint").alias(code))
+    named = broadcast_if_small(named)
     return df.join(named, col(name) == F.col("__value"), "left").drop("__value")
 
 
@@ -225,8 +218,8 @@ def apply_edits(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFram
 
     ``edits`` holds the key, new values (null leaves a cell alone) and may hold
     ``deleted`` (boolean) and ``cleared`` (array of columns to set to null).
-    Keys not in the table are added. The table itself is never shuffled while
-    the edits are small enough for the planner to broadcast.
+    Keys not in the table are added. The edits are measured and broadcast when
+    small, and then the table is not shuffled.
     """
     edited = [c for c in edits.columns if c in df.columns and c not in key]
     flags = {
@@ -241,6 +234,7 @@ def apply_edits(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFram
         flags["deleted"].alias("__deleted"),
         flags["cleared"].alias("__cleared"),
     )
+    changes = broadcast_if_small(changes)
     joined = df.join(changes, list(key), "left").where(
         F.coalesce(~F.col("__deleted"), F.lit(True))
     )
@@ -264,7 +258,3 @@ def apply_edits(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFram
         ]
     )
     return updated.unionByName(new_rows)
-
-
-def rows_with_any_missing(df: DataFrame) -> DataFrame:
-    return df.where(any_of([col(c).isNull() for c in df.columns]))

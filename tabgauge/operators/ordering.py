@@ -21,14 +21,16 @@ def with_row_number(
     order: Sequence[str],
     name: str = "row_number",
     one_task_rows: int = ONE_TASK_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Number the rows 0, 1, ... in the given order.
 
     Few rows are numbered by one window. Many rows are range-partitioned and
     written once to the checkpoint folder, which fixes which row sits in which
     range; each range is numbered alone and shifted by the rows before it.
+    ``rows`` saves the count where it is known.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     keys = [col(c) for c in order]
     if rows <= one_task_rows:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabgauge.functions.expr import (
     as_text,
     col,
+    compact,
     grade,
     one_row_per_column,
     percent,
@@ -26,10 +27,11 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(position, unique), nulls not counted.
 
     Cells are counted as narrow (position, value) rows, so equal cells merge
-    before the shuffle and no distinct value set sits in one buffer.
+    before the shuffle and no distinct value set sits in one buffer. Long text
+    travels as a digest.
     """
     return (
-        value_counts_by_column(df, columns)
+        value_counts_by_column(df, columns, digests=True)
         .groupBy("position")
         .agg(F.count(F.lit(1)).alias("unique"))
     )
@@ -223,18 +225,15 @@ def complete_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def row_groups(df: DataFrame) -> DataFrame:
-    """Distinct rows with their number of copies, merged before the shuffle."""
-    return df.groupBy(*[col(c) for c in df.columns]).agg(
-        F.count(F.lit(1)).alias("__copies")
-    )
-
-
 def duplicate_stats(df: DataFrame) -> DataFrame:
-    """Rows beyond the first copy of each row."""
+    """Rows beyond the first copy of each row.
+
+    Copies are merged before the shuffle; long text travels as a digest.
+    """
     zero = F.lit(0).cast("bigint")
     return (
-        row_groups(df)
+        df.groupBy(*[compact(df, c).alias(c) for c in df.columns])
+        .agg(F.count(F.lit(1)).alias("__copies"))
         .agg(
             F.coalesce(F.sum("__copies"), zero).alias("rows"),
             F.coalesce(F.sum(F.col("__copies") - 1), zero).alias("duplicates"),

@@ -16,7 +16,7 @@ import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,13 +71,11 @@ class _Cell:
         return low < high
 
 
-def number(df: DataFrame, name: str):
-    """The column as double, with floating NaN read as missing."""
-    kind = df.schema[name].dataType
-    value = col(name).cast("double")
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.nanvl(value, F.lit(None).cast("double"))
-    return value
+def number(df: DataFrame, name: str) -> Column:
+    """The column as double, left bare where it is one so that filters push down."""
+    if isinstance(df.schema[name].dataType, T.DoubleType):
+        return col(name)
+    return col(name).cast("double")
 
 
 def exact_quantiles(
@@ -108,9 +106,10 @@ def exact_quantiles(
             for i, c in enumerate(columns)
         }
 
+    # NaN is missing here; the range filters of the later scans leave it out anyway.
     sizes = data.agg(
         *[
-            f(col(c)).alias(f"{i}{tag}")
+            f(F.nanvl(col(c), F.lit(None).cast("double"))).alias(f"{i}{tag}")
             for i, c in enumerate(columns)
             for tag, f in (("n", F.count), ("a", F.min), ("b", F.max))
         ]

@@ -25,8 +25,10 @@ def moving_average(df: DataFrame, date: str, metric: str, window: int = 7, **opt
     By position, not by calendar; null until the window is full. A table with
     fewer dates than the window uses as many as there are.
     """
-    means = with_row_number(date_means(df, date, metric), ["stamp"], "place", **options)
-    size = min(window, means.count())
+    means = date_means(df, date, metric)
+    rows = means.count()
+    size = min(window, rows)
+    means = with_row_number(means, ["stamp"], "place", rows=rows, **options)
     averaged = over_previous(
         means,
         max(size, 1),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder every executor can reach"
         )
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tabgauge-{uuid.uuid4().hex}"
