@@ -23,7 +23,19 @@ DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 def col(name: str) -> Column:
     """A column by its literal name, dots and spaces included."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(sql_name(name))
+
+
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_double(value: float) -> str:
+    return f"double('{value!r}')"
+
+
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -104,17 +116,30 @@ def unfold(df: DataFrame, cells: Sequence[Column], position: str = "position") -
     return long.withColumn(position, F.col(position).cast("int"))
 
 
-def value_rows(df: DataFrame, columns: Sequence[str], digests: bool = False) -> DataFrame:
-    """Every filled cell as (position, value text), ready to be counted.
-
-    With ``digests``, long text is replaced by its digest.
-    """
-
-    def cell(name: str) -> Column:
-        is_text = isinstance(df.schema[name].dataType, T.StringType)
-        return compact(df, name) if digests and is_text else as_text(df, name)
-
-    return unfold(df, [cell(c) for c in columns]).where(F.col("value").isNotNull())
+def value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every filled cell as (position, value text), ready to be counted."""
+    return unfold(df, [as_text(df, c) for c in columns]).where(F.col("value").isNotNull())
+
+
+def cell_groups(df: DataFrame, columns: Sequence[str]) -> list[tuple[list[int], list[Column]]]:
+    """Columns that can share one value column: their places and their cells."""
+    groups: dict[str, tuple[list[int], list[Column]]] = {}
+    for place, name in enumerate(columns):
+        kind = df.schema[name].dataType
+        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+            carrier, cell = "bigint", col(name).cast("bigint")
+        elif isinstance(kind, (T.FloatType, T.DoubleType)):
+            carrier, cell = "double", col(name).cast("double")
+        elif isinstance(kind, T.StringType):
+            carrier, cell = "string", compact(df, name)
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            carrier, cell = "string", F.sha2(as_text(df, name), 256)
+        else:
+            carrier, cell = kind.simpleString(), col(name)
+        places, cells = groups.setdefault(carrier, ([], []))
+        places.append(place)
+        cells.append(cell)
+    return list(groups.values())
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -127,12 +152,10 @@ def as_text(df: DataFrame, name: str) -> Column:
     return col(name).cast("string")
 
 
-def value_counts_by_column(
-    df: DataFrame, columns: Sequence[str], digests: bool = False
-) -> DataFrame:
+def value_counts_by_column(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(position, value, n) for every distinct cell of every column."""
     return (
-        value_rows(df, columns, digests)
+        value_rows(df, columns)
         .groupBy("position", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.expr import col, grade_above
+from tabgauge.functions.expr import grade_above, sql_double, sql_name, sql_text
 from tabgauge.functions.rules import R_HIGH, R_STRONG, R_VERY_HIGH, R_VERY_STRONG
 from tabgauge.operators.quantiles import number
 from tabgauge.operators.roles import numeric_columns
@@ -39,30 +39,29 @@ def corr_pairs(
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], schema)
     data = df.select(*[number(df, c).alias(c) for c in names])
-    facts = data.agg(
-        F.count(F.lit(1)).alias("rows"),
+    quoted = [sql_name(c) for c in names]
+    facts = data.selectExpr(
+        "count(1) AS rows",
         *[
-            f(col(c)).alias(f"{tag}{i}")
-            for i, c in enumerate(names)
-            for tag, f in (("n", F.count), ("m", F.avg), ("a", F.min), ("b", F.max))
+            f"{f}({c}) AS {tag}{i}"
+            for i, c in enumerate(quoted)
+            for tag, f in (("n", "count"), ("m", "avg"), ("a", "min"), ("b", "max"))
         ],
     ).first()
     full = [facts[f"n{i}"] == facts["rows"] for i in range(len(names))]
     constant = [facts[f"a{i}"] == facts[f"b{i}"] for i in range(len(names))]
 
-    def centred(i: int) -> Column:
-        return col(names[i]) - F.lit(facts[f"m{i}"])
+    centred = [f"({c} - {sql_double(facts[f'm{i}'] or 0.0)})" for i, c in enumerate(quoted)]
 
-    def pair(i: int, j: int) -> Column:
+    def pair(i: int, j: int) -> str:
         if constant[i] or constant[j]:
-            return F.max(F.lit(None).cast("double"))
+            return "max(double(NULL))"
         if full[i] and full[j]:
-            together = F.sum(centred(i) * centred(j))
-            apart = F.sqrt(F.sum(centred(i) * centred(i))) * F.sqrt(F.sum(centred(j) * centred(j)))
-            return F.try_divide(together, apart)
-        a, b = col(names[i]), col(names[j])
-        apart = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
-        return F.try_divide(F.covar_pop(a, b), apart)
+            a, b = centred[i], centred[j]
+            return f"try_divide(sum({a} * {b}), sqrt(sum({a} * {a})) * sqrt(sum({b} * {b})))"
+        a, b = quoted[i], quoted[j]
+        apart = f"stddev_pop(if({b} IS NULL, NULL, {a})) * stddev_pop(if({a} IS NULL, NULL, {b}))"
+        return f"try_divide(covar_pop({a}, {b}), {apart})"
 
     if anchor is not None:
         pairs = [(0, j) for j in range(1, len(names))]
@@ -71,18 +70,13 @@ def corr_pairs(
     frames = []
     for start in range(0, len(pairs), pairs_per_scan):
         part = pairs[start : start + pairs_per_scan]
-        wide = data.agg(*[pair(i, j).alias(f"{i}_{j}") for i, j in part])
-        rows = [
-            F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(names[i]).alias("col1"),
-                F.lit(names[j]).alias("col2"),
-                F.col(f"{i}_{j}").alias("r"),
-            )
+        wide = data.selectExpr(*[f"{pair(i, j)} AS `{i}_{j}`" for i, j in part])
+        rows = ", ".join(
+            f"struct({i} AS i, {j} AS j, {sql_text(names[i])} AS col1, "
+            f"{sql_text(names[j])} AS col2, `{i}_{j}` AS r)"
             for i, j in part
-        ]
-        frames.append(wide.select(F.inline(F.array(*rows))))
+        )
+        frames.append(wide.selectExpr(f"inline(array({rows}))"))
     return reduce(DataFrame.unionByName, frames)
 
 

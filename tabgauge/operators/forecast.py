@@ -7,11 +7,13 @@ work spreads over series.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,10 @@ NUMERIC_FEATURES = [*CALENDAR, "quarter", "lag1", "lag7", "rolling7"]
 CATEGORY_FEATURES = [*CALENDAR, "lag1", "lag7", "rolling7"]
 
 
+# Send the fitting code along with the task: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class BoostedTrees:
     """Gradient-boosted regression trees; ``quantile`` switches to pinball loss."""
 
@@ -178,6 +184,11 @@ def _forecast(
             ahead[key] = past[key].iloc[0]
         return ahead[columns]
 
+    if keys:
+        # Series are few bytes but seconds of fitting: a fixed number of tasks keeps
+        # them from being packed together by size.
+        tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        table = table.repartition(tasks, *[col(k) for k in keys])
     return table.groupBy(*[col(k) for k in keys]).applyInPandas(fit_series, schema)
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import (
     as_text,
+    cell_groups,
     col,
     compact,
     grade,
     one_row_per_column,
     percent,
+    unfold,
     value_counts_by_column,
 )
 from tabgauge.functions.rules import Z_LIMIT
@@ -27,14 +30,22 @@ def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(position, unique), nulls not counted.
 
     Cells are counted as narrow (position, value) rows, so equal cells merge
-    before the shuffle and no distinct value set sits in one buffer. Long text
-    travels as a digest.
+    before the shuffle and no distinct value set sits in one buffer. Columns of
+    one type share a scan of just those columns. Long text travels as a digest.
     """
-    return (
-        value_counts_by_column(df, columns, digests=True)
-        .groupBy("position")
-        .agg(F.count(F.lit(1)).alias("unique"))
-    )
+    counted = []
+    for places, cells in cell_groups(df, columns):
+        place = F.array(*[F.lit(p) for p in places])[F.col("position")]
+        counted.append(
+            unfold(df, cells)
+            .where(F.col("value").isNotNull())
+            .groupBy("position", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+            .groupBy("position")
+            .agg(F.count(F.lit(1)).alias("unique"))
+            .select(place.alias("position"), "unique")
+        )
+    return reduce(DataFrame.unionByName, counted)
 
 
 def column_facts(

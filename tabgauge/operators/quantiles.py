@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabgauge.functions.expr import col, unfold
+from tabgauge.functions.expr import col, sql_double, sql_name, unfold
 from tabgauge.functions.rules import FENCE_WIDTH
 
 CELLS = 2048
@@ -161,20 +161,12 @@ def _neighbours(n: int, p: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 
 
-def _sql(value: float) -> str:
-    return f"double('{value!r}')"
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _between(name: str, cell: _Cell) -> str:
-    return f"{name} BETWEEN {_sql(cell.low)} AND {_sql(cell.high)}"
+    return f"{name} BETWEEN {sql_double(cell.low)} AND {sql_double(cell.high)}"
 
 
 def _any_cell(cells: list[_Cell]) -> str:
-    return " OR ".join(f"({_between(_quoted(c.name), c)})" for c in cells)
+    return " OR ".join(f"({_between(sql_name(c.name), c)})" for c in cells)
 
 
 def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tuple[str, int], float]:
@@ -192,8 +184,8 @@ def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tup
                 .agg(
                     *[
                         F.expr(
-                            f"sort_array(collect_list(CASE WHEN {_between(_quoted(c.name), c)} "
-                            f"THEN {_quoted(c.name)} END))"
+                            f"sort_array(collect_list(CASE WHEN {_between(sql_name(c.name), c)} "
+                            f"THEN {sql_name(c.name)} END))"
                         ).alias(str(i))
                         for i, c in enumerate(batch)
                     ]
@@ -220,14 +212,14 @@ def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tup
 def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]:
     """One histogram pass: each cell gives way to its parts that hold a rank."""
     inside = [
-        F.expr(f"CASE WHEN {_between(_quoted(c.name), c)} THEN {_quoted(c.name)} END")
+        F.expr(f"CASE WHEN {_between(sql_name(c.name), c)} THEN {sql_name(c.name)} END")
         for c in cells
     ]
     ends = [cell.finite for cell in cells]
     # Halves keep the width of a cell finite. Short code: borders by lookup.
-    lows = ", ".join(_sql(low / 2) for low, _ in ends)
-    widths = ", ".join(_sql(high / 2 - low / 2) for low, high in ends)
-    clamped = f"greatest(least(value, {_sql(LARGEST)}), {_sql(-LARGEST)}) / 2"
+    lows = ", ".join(sql_double(low / 2) for low, _ in ends)
+    widths = ", ".join(sql_double(high / 2 - low / 2) for low, high in ends)
+    clamped = f"greatest(least(value, {sql_double(LARGEST)}), {sql_double(-LARGEST)}) / 2"
     share = f"({clamped} - array({lows})[cell]) / array({widths})[cell]"
     order = Window.partitionBy("cell").orderBy("part")
     counted = (

@@ -18,6 +18,7 @@ def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkS
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "8g")
     )
     for name, value in extra.items():
