@@ -174,7 +174,7 @@ def _metric_scatter(spark, sf_dir):
         GROUP BY machine_id HAVING count(*) FILTER (vibration > high) > count(*) * 0.2)
     SELECT 'MANUFACTURING' AS scenario, count(DISTINCT machine_id) AS active_units,
     avg(rpm) / max(rpm) * 100 AS efficiency, (SELECT count(*) FROM a) AS alerts,
-    100.0 AS integrity, 'Excellent' AS integrity_status FROM {MACHINES} AS t""",
+    CAST(100.0 AS DOUBLE) AS integrity, 'Excellent' AS integrity_status FROM {MACHINES} AS t""",
     efficiency=4,
     integrity=4,
 )
@@ -184,7 +184,7 @@ def _kpi(spark, sf_dir):
 
 @query(
     "kpi_quality",
-    f"""SELECT 'QUALITY_CONTROL' AS scenario, count(*) AS active_units, 87.5 AS efficiency,
+    f"""SELECT 'QUALITY_CONTROL' AS scenario, count(*) AS active_units, CAST(87.5 AS DOUBLE) AS efficiency,
     CAST(max(CASE WHEN toxic > high THEN 1 ELSE 0 END) AS BIGINT) AS alerts,
     greatest(0.0, 100 - 2 * 100.0 * (2 * count(*) - count(quality) - count(toxic)) / (6 * count(*)))
     AS integrity,

@@ -89,8 +89,9 @@ def _daily_category_share(spark, sf_dir):
     return daily_category_share(open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority")
 
 
-CALENDAR = """isodow(day) - 1 AS day_of_week, month(day) AS "month",
-    day(day) AS day_of_month, quarter(day) AS quarter"""
+WEEK_MONTH = """CAST(isodow(day) - 1 AS INTEGER) AS day_of_week,
+    CAST(month(day) AS INTEGER) AS "month", CAST(day(day) AS INTEGER) AS day_of_month"""
+CALENDAR = WEEK_MONTH + ", CAST(quarter(day) AS INTEGER) AS quarter"
 
 
 @query("calendar_features", f"SELECT day, y, {CALENDAR} FROM {DAILY} AS d", y=2)
@@ -100,7 +101,7 @@ def _calendar_features(spark, sf_dir):
 
 @query(
     "trend_index",
-    f"SELECT day, y, row_number() OVER (ORDER BY day) - 1 AS trend FROM {DAILY} AS d",
+    f"SELECT day, y, CAST(row_number() OVER (ORDER BY day) - 1 AS INTEGER) AS trend FROM {DAILY} AS d",
     y=2,
 )
 def _trend_index(spark, sf_dir):
@@ -191,7 +192,7 @@ def _trend_direction(spark, sf_dir):
 @query(
     "forecast_features_numeric",
     f"""SELECT user_id, day, y, {CALENDAR},
-    row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS trend,
+    CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) - 1 AS INTEGER) AS trend,
     {BACKFILLED.format(p='user_id', k=1)}, {BACKFILLED.format(p='user_id', k=7)},
     avg(y) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling7
     FROM {USER_DAYS} AS d""",
@@ -206,9 +207,8 @@ def _forecast_features_numeric(spark, sf_dir):
 
 @query(
     "forecast_features_category",
-    f"""SELECT category, day, CAST(n AS DOUBLE) AS y, isodow(day) - 1 AS day_of_week,
-    month(day) AS "month", day(day) AS day_of_month,
-    row_number() OVER (PARTITION BY category ORDER BY day) - 1 AS trend,
+    f"""SELECT category, day, CAST(n AS DOUBLE) AS y, {WEEK_MONTH},
+    CAST(row_number() OVER (PARTITION BY category ORDER BY day) - 1 AS INTEGER) AS trend,
     CAST(coalesce(lag(n, 1) OVER w, 0) AS DOUBLE) AS lag1,
     CAST(coalesce(lag(n, 7) OVER w, 0) AS DOUBLE) AS lag7,
     avg(n) OVER (PARTITION BY category ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS rolling7

@@ -184,12 +184,15 @@ def _forecast(
             ahead[key] = past[key].iloc[0]
         return ahead[columns]
 
-    if keys:
-        # Series are few bytes but seconds of fitting: a fixed number of tasks keeps
-        # them from being packed together by size.
-        tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        table = table.repartition(tasks, *[col(k) for k in keys])
-    return table.groupBy(*[col(k) for k in keys]).applyInPandas(fit_series, schema)
+    if not keys:
+        return table.groupBy().applyInPandas(fit_series, schema)
+    # Series are few bytes but seconds of fitting: numbered tasks keep them from
+    # being packed together by size.
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [col(k) for k in keys]
+    task = F.pmod(F.xxhash64(*names), F.lit(tasks))
+    spread = table.withColumn("__task", task).repartition(tasks, "__task")
+    return spread.groupBy("__task", *names).applyInPandas(fit_series, schema)
 
 
 def forecast_numeric(

@@ -33,7 +33,8 @@ def with_row_number(
     rows = df.count() if rows is None else rows
     keys = [col(c) for c in order]
     if rows <= one_task_rows:
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)
+        place = F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
+        return df.withColumn(name, place)
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     ranges = max(2, rows // one_task_rows + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -56,7 +57,7 @@ def with_row_number(
     return (
         placed.withColumn("__local", local)
         .join(F.broadcast(before), "__range")
-        .withColumn(name, F.col("__local") + F.col("__before"))
+        .withColumn(name, F.col("__before") + F.col("__local"))
         .drop("__range", "__local", "__before")
     )
 
