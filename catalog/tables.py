@@ -21,13 +21,22 @@ from tabgauge.sources.tables import narrow_types, read_csv, to_csv
 
 @query(
     "narrow_types",
-    """SELECT CAST(l_orderkey AS SMALLINT) AS l_orderkey, CAST(l_partkey AS SMALLINT) AS l_partkey,
-    CAST(l_suppkey AS TINYINT) AS l_suppkey, CAST(l_linenumber AS TINYINT) AS l_linenumber,
-    l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
-    FROM lineitem""",
+    """SELECT CAST(l_linenumber AS TINYINT) AS l_linenumber, CAST(l_quantity AS TINYINT) AS quantity,
+    CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS SMALLINT) AS day,
+    CAST(floor(l_extendedprice) AS INTEGER) AS price, l_tax, l_returnflag FROM lineitem""",
 )
 def _narrow_types(spark, sf_dir):
-    return narrow_types(table(spark, sf_dir, "lineitem"))
+    lines = table(spark, sf_dir, "lineitem")
+    return narrow_types(
+        lines.select(
+            "l_linenumber",
+            F.col("l_quantity").cast("bigint").alias("quantity"),
+            F.unix_date(F.to_date("l_shipdate")).alias("day"),
+            F.floor("l_extendedprice").alias("price"),
+            "l_tax",
+            "l_returnflag",
+        )
+    )
 
 
 @query(

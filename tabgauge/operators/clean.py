@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import broadcast_if_small, col, value_counts_by_column
 from tabgauge.operators.ordering import with_row_number
-from tabgauge.operators.profile import outside
-from tabgauge.operators.quantiles import find_fences, number
+from tabgauge.operators.quantiles import above, find_fences, inside, number, outside
 from tabgauge.operators.roles import numeric_columns, parsed_time, text_columns
 
 
@@ -99,8 +98,7 @@ def remove_outliers(df: DataFrame, name: str, **options) -> DataFrame:
     fences = find_fences(df, [name], **options)[name]
     if fences.low is None:
         return df
-    value = number(df, name)
-    return df.where(value.isNull() | value.between(fences.low, fences.high))
+    return df.where(col(name).isNull() | inside(df, name, fences))
 
 
 def remove_all_outliers(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
@@ -115,13 +113,11 @@ def remove_all_outliers(df: DataFrame, columns: Sequence[str] | None = None, **o
 
 
 def rows_outlier(df: DataFrame, name: str) -> DataFrame:
-    fences = find_fences(df, [name])[name]
-    return df.where(outside(number(df, name), fences))
+    return df.where(outside(df, name, find_fences(df, [name])[name]))
 
 
 def rows_above_threshold(df: DataFrame, name: str) -> DataFrame:
-    high = find_fences(df, [name])[name].high
-    return df.where(number(df, name) > F.lit(high).cast("double"))
+    return df.where(above(df, name, find_fences(df, [name])[name]))
 
 
 def rows_missing(df: DataFrame, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tabgauge.functions.expr import col, grade
 from tabgauge.functions.rules import ALERT_SHARE, SYSTEM_WIDE
 from tabgauge.operators.profile import value_counts
-from tabgauge.operators.quantiles import find_fences, number
+from tabgauge.operators.quantiles import above, find_fences, number
 from tabgauge.operators.roles import numeric_columns
 
 
@@ -87,16 +87,14 @@ def critical_threshold(df: DataFrame, metric: str) -> DataFrame:
 
 def unit_counts(df: DataFrame, unit: str, metric: str) -> DataFrame:
     """Per unit: rows, rows above the fence of the whole table, and the mean."""
-    high = find_fences(df, [metric])[metric].high
-    value = number(df, metric)
-    above = F.coalesce(value > F.lit(high).cast("double"), F.lit(False))
+    fences = find_fences(df, [metric])[metric]
     return (
         df.where(col(unit).isNotNull())
         .groupBy(col(unit).cast("string").alias("unit"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_if(above).alias("critical_count"),
-            F.avg(value).alias("avg_value"),
+            F.count_if(above(df, metric, fences)).alias("critical_count"),
+            F.avg(number(df, metric)).alias("avg_value"),
         )
     )
 
@@ -118,11 +116,12 @@ def machine_alerts(df: DataFrame, unit: str, metric: str) -> DataFrame:
 
 def system_alert(df: DataFrame, metric: str) -> DataFrame:
     """One alert for the whole table when any row is above the fence."""
-    high = find_fences(df, [metric])[metric].high
-    value = number(df, metric)
-    above = F.coalesce(value > F.lit(high).cast("double"), F.lit(False))
+    fences = find_fences(df, [metric])[metric]
     return (
-        df.agg(F.avg(value).alias("avg_value"), F.count_if(above).alias("critical_count"))
+        df.agg(
+            F.avg(number(df, metric)).alias("avg_value"),
+            F.count_if(above(df, metric, fences)).alias("critical_count"),
+        )
         .where(F.col("critical_count") > 0)
         .select(
             F.lit(SYSTEM_WIDE).alias("unit"),

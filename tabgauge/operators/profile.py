@@ -20,7 +20,14 @@ from tabgauge.functions.expr import (
     value_counts_by_column,
 )
 from tabgauge.functions.rules import Z_LIMIT
-from tabgauge.operators.quantiles import Fences, exact_quantiles, find_fences, number
+from tabgauge.operators.quantiles import (
+    Fences,
+    exact_quantiles,
+    find_fences,
+    inside,
+    number,
+    outside,
+)
 from tabgauge.operators.roles import numeric_columns, text_columns, type_name
 
 QUALITY_STEPS = [(5.0, "Good")]
@@ -253,19 +260,11 @@ def duplicate_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def outside(value: Column, fences: Fences) -> Column:
-    """Whether a value lies outside its fences; false for a missing value."""
-    if fences.low is None:
-        return F.lit(False)
-    test = (value < F.lit(fences.low)) | (value > F.lit(fences.high))
-    return F.coalesce(test, F.lit(False))
-
-
 def outliers_of(df: DataFrame, fences: dict[str, Fences]) -> Column:
     """Outlier cells over the given columns, as one aggregate expression."""
     total = F.lit(0).cast("bigint")
     for name, limits in fences.items():
-        total = total + F.count_if(outside(number(df, name), limits))
+        total = total + F.count_if(outside(df, name, limits))
     return total
 
 
@@ -284,7 +283,7 @@ def column_outliers(df: DataFrame, first: int | None = 8) -> DataFrame:
     return one_row_per_column(
         df,
         names,
-        {"outliers": lambda c: F.count_if(outside(number(df, c), fences[c]))},
+        {"outliers": lambda c: F.count_if(outside(df, c, fences[c]))},
         {
             "low": lambda c: F.lit(fences[c].low).cast("double"),
             "high": lambda c: F.lit(fences[c].high).cast("double"),
@@ -307,11 +306,11 @@ def box_stats(df: DataFrame, name: str) -> DataFrame:
     q1, q2, q3 = exact_quantiles(df, [name], (0.25, 0.5, 0.75))[name]
     fences = Fences(q1, q3)
     value = number(df, name)
-    kept = F.when(~outside(value, fences), value)
+    kept = F.when(inside(df, name, fences), value)
     return df.agg(
         F.min(kept).alias("whisker_low"),
         F.max(kept).alias("whisker_high"),
-        F.count_if(outside(value, fences)).alias("outliers"),
+        F.count_if(outside(df, name, fences)).alias("outliers"),
     ).select(
         *[
             F.lit(v).cast("double").alias(label)

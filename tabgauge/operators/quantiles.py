@@ -78,6 +78,48 @@ def number(df: DataFrame, name: str) -> Column:
     return col(name).cast("double")
 
 
+WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def _bound(df: DataFrame, name: str, limit: float, round_to) -> tuple[Column, Column]:
+    """A column and a limit to compare it with, both bare so that scans can use them.
+
+    Whole numbers are compared with the nearest whole limit inside the fences.
+    """
+    if isinstance(df.schema[name].dataType, WHOLE_TYPES) and abs(limit) < 2**62:
+        return col(name), F.lit(round_to(limit)).cast("bigint")
+    return number(df, name), F.lit(limit)
+
+
+def above(df: DataFrame, name: str, fences: Fences) -> Column:
+    """Above the upper fence; null for a missing value."""
+    if fences.high is None:
+        return F.lit(False)
+    value, limit = _bound(df, name, fences.high, math.floor)
+    return value > limit
+
+
+def below(df: DataFrame, name: str, fences: Fences) -> Column:
+    """Below the lower fence; null for a missing value."""
+    if fences.low is None:
+        return F.lit(False)
+    value, limit = _bound(df, name, fences.low, math.ceil)
+    return value < limit
+
+
+def outside(df: DataFrame, name: str, fences: Fences) -> Column:
+    return below(df, name, fences) | above(df, name, fences)
+
+
+def inside(df: DataFrame, name: str, fences: Fences) -> Column:
+    """Within the fences; null for a missing value."""
+    if fences.low is None:
+        return F.lit(True)
+    value, low = _bound(df, name, fences.low, math.ceil)
+    _, high = _bound(df, name, fences.high, math.floor)
+    return (value >= low) & (value <= high)
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -211,7 +253,7 @@ def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tup
 
 def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]:
     """One histogram pass: each cell gives way to its parts that hold a rank."""
-    inside = [
+    values = [
         F.expr(f"CASE WHEN {_between(sql_name(c.name), c)} THEN {sql_name(c.name)} END")
         for c in cells
     ]
@@ -223,7 +265,7 @@ def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]
     share = f"({clamped} - array({lows})[cell]) / array({widths})[cell]"
     order = Window.partitionBy("cell").orderBy("part")
     counted = (
-        unfold(data.where(_any_cell(cells)), inside, "cell")
+        unfold(data.where(_any_cell(cells)), values, "cell")
         .where("value IS NOT NULL")
         .selectExpr(
             "cell",

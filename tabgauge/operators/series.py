@@ -87,7 +87,8 @@ def daily_category_counts(
     else:
         kinds = counted.agg(F.collect_set("category")).scalar()
         days = counted.select("day").distinct().withColumn("kinds", kinds)
-    zeros = days.select(*keys, F.explode("kinds").alias("category"), "day", zero)
+    # A day that occurs has a category; the outer form keeps that test out of the scan.
+    zeros = days.select(*keys, F.explode_outer("kinds").alias("category"), "day", zero)
     return (
         counted.unionByName(zeros)
         .groupBy(*keys, "category", "day")

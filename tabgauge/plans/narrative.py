@@ -13,10 +13,9 @@ from tabgauge.operators.correlation import strongest_pair
 from tabgauge.operators.profile import (
     categorical_stats,
     missing_of,
-    outside,
     skew_of,
 )
-from tabgauge.operators.quantiles import Fences, exact_quantiles, number
+from tabgauge.operators.quantiles import Fences, exact_quantiles, number, outside
 from tabgauge.operators.roles import numeric_columns, text_columns
 from tabgauge.operators.series import growth
 
@@ -43,7 +42,7 @@ def narrative_facts(
             F.min(value).alias("min"),
             F.max(value).alias("max"),
             skew_of(value).alias("skew"),
-            F.count_if(outside(value, Fences(q1, q3))).alias("outliers"),
+            F.count_if(outside(df, metric, Fences(q1, q3))).alias("outliers"),
         ]
     frames = [df.agg(*facts)]
     if segment:

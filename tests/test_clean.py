@@ -19,6 +19,7 @@ from tabgauge.operators.clean import (
     remove_duplicates,
     remove_outliers,
     rename_column,
+    rows_above_threshold,
     rows_duplicated,
     rows_missing,
     rows_outlier,
@@ -110,9 +111,27 @@ def test_sequential_removal_matches_pandas_on_given_tables(events):
 
 
 def test_removed_rows_are_filtered_in_the_scan(events):
-    kept = remove_outliers(events, "value")
-    plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(value" in plan and "LessThanOrEqual(value" in plan
+    pushed = {
+        "Or(IsNull(value),And(GreaterThanOrEqual(value": remove_outliers(events, "value"),
+        "Or(IsNull(user_id),And(GreaterThanOrEqual(user_id": remove_all_outliers(events),
+        "Or(LessThan(value": rows_outlier(events, "value"),
+        "GreaterThan(value": rows_above_threshold(events, "value"),
+    }
+    for text, frame in pushed.items():
+        plan = frame._jdf.queryExecution().explainString(
+            frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        assert text in plan.split("PushedFilters: ")[1], plan
+
+
+def test_whole_numbers_are_cut_like_doubles(spark):
+    values = [0, 1, 1, 2, 2, 3, 3, 4, -4, -3, 7, 8, 100, None]
+    whole = spark.createDataFrame([(v,) for v in values], "x bigint")
+    real = whole.selectExpr("cast(x as double) as x")
+    assert sorted(map(str, (r[0] for r in remove_outliers(whole, "x").collect()))) == sorted(
+        "None" if r[0] is None else str(int(r[0])) for r in remove_outliers(real, "x").collect()
+    )
+    assert rows_outlier(whole, "x").count() == rows_outlier(real, "x").count()
 
 
 def test_filters(spark, nulls, orders):
