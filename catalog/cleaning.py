@@ -8,10 +8,12 @@ from catalog.frames import (
     LABELLED,
     OPEN_ORDERS,
     PART_NAMES,
+    QUIET_EVENTS,
     fences,
     labelled,
     open_orders,
     part_names,
+    quiet_events,
     table,
 )
 from catalog.registry import query
@@ -99,11 +101,11 @@ def _remove_outliers(spark, sf_dir):
 
 @query(
     "remove_outliers_gaps",
-    f"""SELECT t.* FROM {OPEN_ORDERS} AS t, {fences(OPEN_ORDERS, 'o_totalprice')} AS f
-    WHERE o_totalprice IS NULL OR o_totalprice BETWEEN low AND high""",
+    f"""SELECT t.* FROM {QUIET_EVENTS} AS t, {fences(QUIET_EVENTS, 'value')} AS f
+    WHERE value IS NULL OR value BETWEEN low AND high""",
 )
 def _remove_outliers_gaps(spark, sf_dir):
-    return remove_outliers(open_orders(spark, sf_dir), "o_totalprice")
+    return remove_outliers(quiet_events(spark, sf_dir), "value")
 
 
 @query(

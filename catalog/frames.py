@@ -109,6 +109,16 @@ def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 PART_NAMES = "(SELECT p_name, p_brand, p_type FROM part)"
 
 
+def quiet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without the value of errors: outliers and gaps in one column."""
+    value = F.when(F.col("event_type") != "error", F.col("value"))
+    return table(spark, sf_dir, "events").withColumn("value", value)
+
+
+QUIET_EVENTS = """(SELECT event_id, ts, user_id, event_type,
+    CASE WHEN event_type <> 'error' THEN value END AS value, props FROM events)"""
+
+
 def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with the number held as text in their JSON, and the day as text."""
     events = table(spark, sf_dir, "events")

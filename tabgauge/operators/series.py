@@ -81,14 +81,15 @@ def daily_category_counts(
         .agg(F.count(F.lit(1)).alias("n"))
     )
     zero = F.lit(0).cast("bigint").alias("n")
+    # Days are few whatever the table; categories may be many and stay spread out.
+    kinds = counted.select(*keys, "category").distinct()
     if by:
-        kinds = counted.groupBy(*keys).agg(F.collect_set("category").alias("kinds"))
-        days = counted.select(*keys, "day").distinct().join(kinds, list(by))
+        days = counted.groupBy(*keys).agg(F.collect_set("day").alias("days"))
+        kinds = kinds.join(days, list(by))
     else:
-        kinds = counted.agg(F.collect_set("category")).scalar()
-        days = counted.select("day").distinct().withColumn("kinds", kinds)
-    # A day that occurs has a category; the outer form keeps that test out of the scan.
-    zeros = days.select(*keys, F.explode_outer("kinds").alias("category"), "day", zero)
+        kinds = kinds.withColumn("days", counted.agg(F.collect_set("day")).scalar())
+    # A category that occurs has a day; the outer form keeps that test out of the scan.
+    zeros = kinds.select(*keys, "category", F.explode_outer("days").alias("day"), zero)
     return (
         counted.unionByName(zeros)
         .groupBy(*keys, "category", "day")
