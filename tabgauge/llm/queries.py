@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import bpe, exact, langid, mixing, pii, simhash, suffix, tokens, warc
+from tabgauge.llm import bpe, exact, jaccard, langid, mixing, pii, simhash, suffix, tokens, warc
 from tabgauge.llm.common import documents
 from tabgauge.session import scratch_path
 
@@ -44,6 +44,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.captures(warc.assemble(warc.read_records(spark, path), payload=False))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path(TOKENIZER)
     return bpe.encode(documents(spark, sf_dir), tokenizer, real=False)
@@ -63,6 +67,7 @@ QUERIES = {
         op5_repeats,
         op6_token_counts,
         op7_warc,
+        op8_jaccard,
         op9_bpe,
         op10_language,
     )
