@@ -103,10 +103,10 @@ def shingle_sets(
         if not count:
             sets.append(empty)
         elif count < words:
-            one = U(count)
-            for x in h[a : a + count]:
-                one = mix(np.array([one * MIXERS[2] + x]))[0]
-            sets.append(np.array([one], np.uint64))
+            one = np.array([count], np.uint64)
+            for k in range(a, a + count):
+                one = mix(one * MIXERS[2] + h[k : k + 1])
+            sets.append(one)
         else:
             own = np.sort(joined[a : a + count - words + 1])
             if len(own) > 1:
@@ -378,8 +378,10 @@ def near_components(
     percent: int = PERCENT,
     bucket: int = BUCKET,
 ) -> DataFrame:
-    """One row per document: id, mark, n_shingles, component_id (id keys, null as the
-    largest). ``mark`` is the hash of the text, to tell rows with equal ids apart."""
+    """One row per document: id, mark, n_shingles, component_id, component_mark.
+
+    Ids are keys, with null as the largest. A mark is the hash of a text, to tell rows with
+    equal ids apart; a component is named by its smallest (id, mark)."""
     rows = texts(docs, id_col, text_col)
     known = saved(describe(rows, words, percent, frequent(rows, words)))
     digest = ["d1", "d2", "n"]
@@ -406,17 +408,23 @@ def near_components(
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k")))
     links = saved(verify(pairs, cut_for(ends.distinct()), percent))
     links = large_buckets(shared, links, cut_for, percent, bucket)
-    linked = components(links).join(classes.select("k", "id"), "k")
-    lowest = linked.groupBy("component").agg(F.min("id").alias("component_id"))
-    by_class = linked.join(lowest, "component").select("k", "component_id")
+    own = F.struct("id", "mark")
+    linked = components(links).join(classes.select("k", own.alias("own")), "k")
+    lowest = linked.groupBy("component").agg(F.min("own").alias("lowest"))
+    by_class = linked.join(lowest, "component").select("k", "lowest")
     of_class = classes.join(by_class, "k", "left").select(
-        *digest, F.coalesce("component_id", "id").alias("component_id")
+        *digest, F.coalesce("lowest", own).alias("lowest")
     )
-    return known.join(of_class, digest, "left").select(
-        "id",
-        "mark",
-        F.col("n").alias("n_shingles"),
-        F.coalesce("component_id", "id").alias("component_id"),
+    return (
+        known.join(of_class, digest, "left")
+        .withColumn("lowest", F.coalesce("lowest", own))
+        .select(
+            "id",
+            "mark",
+            F.col("n").alias("n_shingles"),
+            F.col("lowest.id").alias("component_id"),
+            F.col("lowest.mark").alias("component_mark"),
+        )
     )
 
 
@@ -441,13 +449,13 @@ def drop_near_copies(
     rows the first by their other columns. Documents with empty sets all stay.
     """
     found = near_components(docs, id_col, text_col, **options)
-    best = found.where("id = component_id or n_shingles = 0")
-    empty = F.col("n_shingles") == 0
-    # Rows of one component with equal ids: the smallest mark.
     firsts = (
-        best.groupBy("component_id", empty.alias("empty"), F.when(empty, F.col("mark")).alias("m"))
-        .agg(F.min("mark").alias("__mark"))
-        .select(F.col("component_id").alias("__id"), "__mark", F.col("empty").alias("__empty"))
+        found.where("id = component_id and mark = component_mark")
+        .select(
+            F.col("id").alias("__id"),
+            F.col("mark").alias("__mark"),
+            (F.col("n_shingles") == 0).alias("__empty"),
+        )
         .distinct()
     )
     others = [col(c) for c in docs.columns if c not in (id_col, text_col)]
