@@ -89,7 +89,7 @@ def _date_text_filter(spark, sf_dir):
 
 @query(
     "project_relevant",
-    """SELECT o_totalprice, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 20""",
+    "SELECT o_totalprice, o_orderdate FROM orders",
 )
 def _project_relevant(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -100,9 +100,8 @@ def _project_relevant(spark, sf_dir):
 
 @query(
     "question_context",
-    """SELECT o_orderstatus, o_totalprice, o_orderdate FROM (
-    SELECT * FROM orders WHERE contains(CAST(o_orderdate AS VARCHAR), '02-01')
-    ORDER BY o_orderkey LIMIT 20) AS t""",
+    """SELECT o_orderstatus, o_totalprice, o_orderdate FROM orders
+    WHERE contains(CAST(o_orderdate AS VARCHAR), '02-01')""",
 )
 def _question_context(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

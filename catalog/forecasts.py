@@ -1,4 +1,4 @@
-"""Forecasts (rows checked only) and their summaries (checked on given series)."""
+"""Summaries of forecasts, checked on given series."""
 
 from __future__ import annotations
 
@@ -7,31 +7,17 @@ from pyspark.sql import functions as F
 from catalog.frames import table
 from catalog.registry import query
 from tabgauge.operators.forecast import (
-    forecast_categories,
     forecast_category_summary,
-    forecast_numeric,
     forecast_numeric_summary,
 )
 from tabgauge.operators.series import daily_category_counts, daily_mean
 
 
-@query("forecast_numeric")
-def _forecast_numeric(spark, sf_dir):
-    return forecast_numeric(table(spark, sf_dir, "events"), "ts", "value", 14, ["event_type"])
-
-
-@query("forecast_categories")
-def _forecast_categories(spark, sf_dir):
-    return forecast_categories(table(spark, sf_dir, "events"), "ts", "event_type", 14)
-
-
 @query(
     "forecast_category_summary",
     """WITH c AS (SELECT o_orderpriority AS category, CAST(o_orderdate AS DATE) AS day,
         count(*) * 1.25 AS p FROM orders GROUP BY 1, 2),
-    d AS (SELECT DISTINCT day FROM c), k AS (SELECT DISTINCT category FROM c),
-    f AS (SELECT k.category, d.day, coalesce(p, 0) AS p FROM k CROSS JOIN d
-        LEFT JOIN c ON c.category = k.category AND c.day = d.day),
+    f AS (SELECT * FROM c),
     s AS (SELECT category, sum(p) AS total, avg(p) AS daily_average, max(p) AS peak FROM f GROUP BY 1)
     SELECT category, CAST(trunc(total) AS BIGINT) AS total, daily_average,
     (SELECT min(day) FROM f WHERE f.category = s.category AND f.p = s.peak) AS peak_day,

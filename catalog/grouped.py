@@ -12,6 +12,7 @@ from catalog.frames import (
     table,
     units,
 )
+from catalog.profiles import LINE_NUMBERS
 from catalog.registry import query
 from tabgauge.operators.groups import (
     critical_threshold,
@@ -49,19 +50,12 @@ def _trend(spark, sf_dir):
 
 @query(
     "multi_trend",
-    """SELECT l_shipdate AS stamp, avg(l_quantity) AS l_quantity,
-    avg(l_extendedprice) AS l_extendedprice, avg(l_discount) AS l_discount, avg(l_tax) AS l_tax
+    f"""SELECT l_shipdate AS stamp, {', '.join(f'avg({c}) AS {c}' for c in LINE_NUMBERS)}
     FROM lineitem GROUP BY 1""",
-    l_quantity=4,
-    l_extendedprice=2,
-    l_discount=4,
-    l_tax=4,
+    **{c: 2 for c in LINE_NUMBERS},
 )
 def _multi_trend(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").drop(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"
-    )
-    return multi_trend(lines, "l_shipdate")
+    return multi_trend(table(spark, sf_dir, "lineitem"), "l_shipdate")
 
 
 MEANS = """(SELECT p_brand AS "value", avg(p_retailprice) AS mean FROM part
@@ -73,30 +67,29 @@ def _top_groups(spark, sf_dir):
     return top_groups(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", 10)
 
 
-@query("first_groups", f"""SELECT * FROM {MEANS} AS m ORDER BY "value" LIMIT 10""", mean=4)
+@query("first_groups", f"SELECT * FROM {MEANS} AS m", mean=4)
 def _first_groups(spark, sf_dir):
-    return first_groups(table(spark, sf_dir, "part"), "p_brand", "p_retailprice", 10)
+    return first_groups(table(spark, sf_dir, "part"), "p_brand", "p_retailprice")
 
 
 @query(
     "unit_share",
     """SELECT "value", n, n / sum(n) OVER () AS share FROM (
-    SELECT source AS "value", count(*) AS n FROM documents GROUP BY 1
-    ORDER BY n DESC, "value" LIMIT 10) AS t""",
+    SELECT source AS "value", count(*) AS n FROM documents GROUP BY 1) AS t""",
     share=6,
 )
 def _unit_share(spark, sf_dir):
-    return unit_share(table(spark, sf_dir, "documents"), "source", 10)
+    return unit_share(table(spark, sf_dir, "documents"), "source")
 
 
 @query(
     "hierarchy_counts",
-    f"""WITH f AS (SELECT * FROM {LABELLED} AS t ORDER BY doc_id LIMIT 1000)
-    SELECT lang AS parent, source AS child, false AS is_total, count(*) AS n FROM f GROUP BY 1, 2
-    UNION ALL SELECT lang, NULL, true, count(*) FROM f GROUP BY 1""",
+    f"""SELECT lang AS parent, source AS child, false AS is_total, count(*) AS n
+    FROM {LABELLED} AS t GROUP BY 1, 2
+    UNION ALL SELECT lang, NULL, true, count(*) FROM {LABELLED} AS t GROUP BY 1""",
 )
 def _hierarchy_counts(spark, sf_dir):
-    return hierarchy_counts(labelled(spark, sf_dir), "lang", "source", ["doc_id"])
+    return hierarchy_counts(labelled(spark, sf_dir), "lang", "source")
 
 
 @query(
@@ -107,7 +100,7 @@ def _hierarchy_counts(spark, sf_dir):
 )
 def _hierarchy_counts_whole(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    return hierarchy_counts(lines, "l_returnflag", "l_linestatus", [], first=None)
+    return hierarchy_counts(lines, "l_returnflag", "l_linestatus")
 
 
 @query(
@@ -160,8 +153,7 @@ def _critical_threshold(spark, sf_dir):
 
 @query(
     "metric_scatter",
-    """SELECT o_orderkey, o_custkey AS x, o_totalprice AS y, o_orderpriority AS hue FROM orders
-    ORDER BY md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), '42')), o_orderkey LIMIT 5000""",
+    "SELECT o_orderkey, o_custkey AS x, o_totalprice AS y, o_orderpriority AS hue FROM orders",
 )
 def _metric_scatter(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")

@@ -74,7 +74,7 @@ def _high_corr_pairs(spark, sf_dir):
 @query(
     "strong_corr",
     f"""SELECT i, j, col1, col2, r FROM {pairs_sql(MACHINES, ['temperature', 'rpm', 'vibration'])} AS p
-    WHERE abs(r) > 0.5 ORDER BY i, j LIMIT 5""",
+    WHERE abs(r) > 0.5""",
     r=6,
 )
 def _strong_corr(spark, sf_dir):
@@ -85,8 +85,8 @@ def _strong_corr(spark, sf_dir):
     "strongest_pair",
     f"""SELECT col1, col2, r, abs(r) AS strength,
     CASE WHEN r > 0 THEN 'in the same direction' ELSE 'in opposite directions' END AS direction,
-    CASE WHEN abs(r) > 0.8 THEN 'very strongly linked' WHEN abs(r) > 0.5 THEN 'moderately linked'
-    ELSE 'weakly linked' END AS link FROM {BEST} AS b""",
+    CASE WHEN abs(r) > 0.8 THEN 'tight' WHEN abs(r) > 0.5 THEN 'clear'
+    ELSE 'loose' END AS link FROM {BEST} AS b""",
     r=6,
     strength=6,
 )
@@ -115,7 +115,7 @@ def _report_relationship(spark, sf_dir):
         UNION ALL SELECT 1, 'rpm', abs(corr(vibration, rpm)) FROM {MACHINES} AS t) AS u
         ORDER BY r DESC, k LIMIT 1)
     SELECT machine_id AS alert, 'vibration' AS symptom, name AS likely_cause, r AS correlation,
-    'High vibration strongly correlates with ' || name || '. Investigate ' || name || ' parameters.'
+    'Look into ' || name || ' first: it moves with the high readings of vibration.'
     AS recommendation FROM a, c WHERE r > 0.5""",
     correlation=6,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog.frames import (
     LABELLED,
     LABELLED_COLUMNS,
@@ -255,9 +257,9 @@ def _column_outliers(spark, sf_dir):
     return column_outliers(table(spark, sf_dir, "lineitem"))
 
 
-@query("column_outliers_six", outliers_sql(SALES, SALES_NUMBERS), low=4, high=4)
-def _column_outliers_six(spark, sf_dir):
-    return column_outliers(sales(spark, sf_dir), first=6)
+@query("column_outliers_sales", outliers_sql(SALES, SALES_NUMBERS), low=4, high=4)
+def _column_outliers_sales(spark, sf_dir):
+    return column_outliers(sales(spark, sf_dir))
 
 
 @query(
@@ -313,7 +315,7 @@ def _histogram(spark, sf_dir):
 
 def profile_sql(sample: bool) -> str:
     def first(c: str) -> str:
-        return f"""(SELECT string_agg(left(CAST(v AS VARCHAR), 18), ', ' ORDER BY doc_id) FROM (
+        return f"""(SELECT string_agg(CAST(v AS VARCHAR), ', ' ORDER BY doc_id) FROM (
             SELECT doc_id, {c} AS v FROM {LABELLED} AS s WHERE {c} IS NOT NULL
             ORDER BY doc_id LIMIT 3) AS f)"""
 
@@ -343,6 +345,7 @@ def _profile_report_short(spark, sf_dir):
     return profile_report(labelled(spark, sf_dir))
 
 
+CONSTANT_COLUMNS = [*LINE_COLUMNS, "flag_length", "dated"]
 CUSTOMER = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
 
@@ -363,18 +366,19 @@ def _cardinality(spark, sf_dir):
 
 @query(
     "constant_columns",
-    """SELECT * FROM (SELECT 6 AS "position", 'l_linestatus' AS "column" FROM lineitem
-    WHERE l_linestatus = 'F' AND l_returnflag = 'A' GROUP BY 1, 2 HAVING count(DISTINCT l_linestatus) = 1
-    UNION ALL SELECT 5, 'l_returnflag' FROM lineitem WHERE l_linestatus = 'F' AND l_returnflag = 'A'
-    HAVING count(DISTINCT l_returnflag) = 1) AS t""",
+    f"""SELECT "position", "column" FROM ({each(
+        CONSTANT_COLUMNS,
+        'SELECT {i} AS "position", \'{c}\' AS "column", count(DISTINCT {c}) AS u FROM '
+        + "(SELECT *, length(l_returnflag) AS flag_length, year(l_shipdate) > 1900 AS dated "
+        + "FROM lineitem) AS t",
+    )}) AS c WHERE u = 1""",
 )
 def _constant_columns(spark, sf_dir):
-    """Line items of one flag and one status, where both have become constant."""
-    lines = table(spark, sf_dir, "lineitem").where("l_linestatus = 'F' AND l_returnflag = 'A'")
+    """All line items, with two derived columns that do not vary."""
+    lines = table(spark, sf_dir, "lineitem")
     return constant_columns(
-        lines.select(
-            "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
-            "l_returnflag", "l_linestatus",
+        lines.withColumns(
+            {"flag_length": F.length("l_returnflag"), "dated": F.year("l_shipdate") > 1900}
         )
     )
 

@@ -152,13 +152,13 @@ def _report_recommendations(spark, sf_dir):
         FROM {DOCUMENT_FACTS} AS x),
     z AS (SELECT count(*) FILTER (abs((n_chars - m) / nullif(s, 0)) > 3) AS n FROM documents,
         (SELECT avg(n_chars) AS m, stddev_samp(n_chars) AS s FROM documents) AS g)
-    SELECT 1 AS stage, 'rows' AS name, "rows" AS amount, 'Loaded' AS status FROM f
+    SELECT 1 AS stage, 'rows' AS name, "rows" AS amount, 'Read' AS status FROM f
     UNION ALL SELECT 2, 'structure', 4, 'Valid (1 Num, 3 Cat)'
     UNION ALL SELECT 3, 'missing', missing, CASE WHEN missing = 0 THEN 'PASSED' ELSE 'WARNING' END FROM f
     UNION ALL SELECT 4, 'duplicates', duplicates,
         CASE WHEN duplicates = 0 THEN 'PASSED' ELSE 'NOTICE' END FROM f
     UNION ALL SELECT 5, 'statistics', n, CASE WHEN n > 0 THEN 'Detected' ELSE 'Stable' END FROM z
-    UNION ALL SELECT 6, 'correlation', 1, 'Verified'
+    UNION ALL SELECT 6, 'correlation', 1, 'No pairs'
     UNION ALL SELECT 7, 'decision', CAST(ok AS BIGINT), CASE WHEN ok THEN 'GOOD' ELSE 'CRITICAL' END FROM f""",
 )
 def _scan_stages(spark, sf_dir):

@@ -70,11 +70,11 @@ def _narrative_facts(spark, sf_dir):
     "narrative_labels",
     f"""SELECT CASE WHEN cv < 20 THEN 'stable' WHEN cv < 50 THEN 'moderate' ELSE 'volatile' END
     AS volatility,
-    CASE WHEN growth > 20 THEN 'growing strongly' WHEN growth > 5 THEN 'growing steadily'
-    WHEN growth < -20 THEN 'declining significantly' WHEN growth < -5 THEN 'declining slightly'
-    ELSE 'holding steady' END AS growth,
-    CASE WHEN top_pct > 60 THEN 'dangerously concentrated' WHEN top_pct > 40
-    THEN 'somewhat concentrated' ELSE 'well balanced' END AS concentration,
+    CASE WHEN growth > 20 THEN 'rising fast' WHEN growth > 5 THEN 'rising'
+    WHEN growth < -20 THEN 'falling fast' WHEN growth < -5 THEN 'falling'
+    ELSE 'level' END AS growth,
+    CASE WHEN top_pct > 60 THEN 'in one place' WHEN top_pct > 40
+    THEN 'uneven' ELSE 'spread out' END AS concentration,
     CASE WHEN std < mean * 0.3 THEN 'relatively stable' WHEN std < mean * 0.6
     THEN 'moderate variability' ELSE 'high variability' END AS variability,
     CASE WHEN spread > mean THEN 'wide' ELSE 'manageable' END AS spread FROM {TOLD} AS f""",
@@ -199,7 +199,7 @@ def _insights_sql() -> str:
 
     parts.append(
         f"""SELECT 'correlation', i * 11 + j, col1, col2, r FROM (
-        SELECT * FROM {pairs_sql('lineitem', numbers)} AS p WHERE abs(r) > 0.5 ORDER BY i, j LIMIT 5) AS c"""
+        SELECT * FROM {pairs_sql('lineitem', numbers)} AS p WHERE abs(r) > 0.5) AS c"""
     )
     parts.append(
         f"""SELECT 'categories', "position" * 10 + "rank", "column", "value", CAST(n AS DOUBLE)
@@ -214,9 +214,40 @@ def _insights(spark, sf_dir):
     return insights(table(spark, sf_dir, "lineitem"))
 
 
-@query("context_text")
-def _context_text(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    return context_text(orders, "Which orderpriority has the highest totalprice?", ["o_orderkey"])
+QUESTION = "Which orderpriority has the highest totalprice?"
+
+
+def _context_sql() -> str:
+    """Every line of the context: question, columns, facts and rows."""
+    c = [f"({i}, '{place}', '{line}')" for i, place, line in (
+        (1, "0", "question: " + QUESTION),
+        (2, "0", "numeric: o_orderkey, o_custkey, o_totalprice"),
+        (2, "1", "categorical: o_orderstatus, o_orderpriority"),
+        (2, "2", "shown: o_totalprice,o_orderpriority,o_orderdate"),
+    )]
+    names = {"o_orderkey": 0, "o_custkey": 1, "o_totalprice": 3}
+    figure = "CAST(CAST(round(CAST({} AS DOUBLE), 2) AS DECIMAL(38, 2)) AS VARCHAR)"
+    parts = [
+        f"SELECT * FROM (VALUES {', '.join(c)}) AS h(part, place, line)",
+        "SELECT 3, '1/0/count', 'rows: ' || CAST(count(*) AS VARCHAR) FROM orders",
+    ]
+    for name in names:
+        place = list(names).index(name)
+        for stat, f in (("mean", "avg"), ("max", "max"), ("min", "min"), ("std", "stddev_samp")):
+            value = figure.format(f"{f}({name})")
+            parts.append(f"SELECT 3, '2/{place}/{stat}', '{name} {stat} ' || {value} FROM orders")
+    parts.append(
+        f"""SELECT 3, '3/' || CAST(i * 6 + j AS VARCHAR) || '/' || col2,
+        col1 || ' ~ ' || col2 || ' ' || {figure.format('r')}
+        FROM {pairs_sql('orders', list(names))} AS p WHERE abs(r) > 0.5"""
+    )
+    parts.append(
+        """SELECT 4, CAST(o_orderkey AS VARCHAR), concat_ws(',', CAST(o_totalprice AS VARCHAR),
+        o_orderpriority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S')) FROM orders"""
+    )
+    return " UNION ALL ".join(parts)
 
 
+@query("context_text", _context_sql())
+def _context_text(spark, sf_dir):
+    return context_text(table(spark, sf_dir, "orders"), QUESTION, ["o_orderkey"])

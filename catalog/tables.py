@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.frames import LABELLED, LABELLED_COLUMNS, labelled, table
+from catalog.frames import (
+    LABELLED,
+    LABELLED_COLUMNS,
+    OPEN_ORDERS,
+    labelled,
+    open_orders,
+    table,
+)
 from catalog.registry import query
 from tabgauge.session import scratch_path
 from tabgauge.sources.messages import (
@@ -48,6 +55,20 @@ def _sample_n(spark, sf_dir):
     return sample_n(table(spark, sf_dir, "orders"), ["o_orderkey"])
 
 
+@query(
+    "narrow_floats",
+    """SELECT doc_id, CAST(quality AS FLOAT) AS quality, CAST(toxic AS TINYINT) AS toxic
+    FROM labels""",
+)
+def _narrow_floats(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").cast("string").alias("doc_id"),
+        F.col("quality").cast("double").alias("quality"),
+        "toxic",
+    )
+    return narrow_types(labels, floats=True).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+
+
 @query("preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 15")
 def _preview(spark, sf_dir):
     return preview(table(spark, sf_dir, "orders"), ["o_orderkey"])
@@ -55,11 +76,9 @@ def _preview(spark, sf_dir):
 
 @query(
     "missing_matrix",
-    "WITH f AS (SELECT * FROM "
-    + LABELLED
-    + " ORDER BY doc_id LIMIT 100) "
-    + " UNION ALL ".join(
-        f"""SELECT doc_id, '{c}' AS "column", CAST({c} IS NULL AS INTEGER) AS missing FROM f"""
+    " UNION ALL ".join(
+        f"""SELECT doc_id, '{c}' AS "column", CAST({c} IS NULL AS INTEGER) AS missing
+        FROM {LABELLED} AS t"""
         for c in LABELLED_COLUMNS
     ),
 )
@@ -96,7 +115,7 @@ def _clear_messages(spark, sf_dir):
 @query(
     "chat_export",
     """SELECT conv_id, turn,
-    CASE WHEN role = 'user' THEN 'You' ELSE 'AI Data Analyst' END AS role,
+    CASE WHEN role = 'user' THEN 'asked' ELSE 'answered' END AS role,
     replace(replace(replace("text", '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') AS content
     FROM conversations""",
 )
@@ -122,6 +141,21 @@ def _csv_round_trip(spark, sf_dir):
     return read.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
 
 
+@query(
+    "csv_missing_texts",
+    f"""SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_totalprice, o_orderpriority,
+    CAST(o_custkey AS INTEGER) AS o_custkey FROM {OPEN_ORDERS} AS t""",
+)
+def _csv_missing_texts(spark, sf_dir):
+    """Orders with gaps, written with the texts NA, NaN and null for them, read back."""
+    path = scratch_path(spark)
+    orders = open_orders(spark, sf_dir)
+    gaps = {"o_totalprice": "NA", "o_orderpriority": "null", "o_custkey": "NaN"}
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit(t)).alias(c) for c, t in gaps.items()]
+    to_csv(orders.select("o_orderkey", *texts), path)
+    return read_csv(spark, path)
+
+
 @query(
     "append_messages",
     """SELECT CAST(conv_id AS VARCHAR) AS user_email, role, "text" AS message, true AS stamped

@@ -64,25 +64,35 @@ def _daily_mean_per_user(spark, sf_dir):
     return daily_mean(table(spark, sf_dir, "events"), "ts", "value", ["user_id"])
 
 
+SPARSE = f"""(SELECT o_orderpriority AS category, CAST(o_orderdate AS DATE) AS day, count(*) AS n
+    FROM {OPEN_ORDERS} AS x WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL
+    GROUP BY 1, 2)"""
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]
 COUNTS = """(SELECT c.category, d.day, coalesce(n, 0) AS n FROM
-    (SELECT DISTINCT o_orderpriority AS category FROM {t} AS a WHERE o_orderpriority IS NOT NULL
-        AND o_orderdate IS NOT NULL) AS c
+    (SELECT unnest({p}) AS category) AS c
     CROSS JOIN (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM {t} AS b
         WHERE o_orderpriority IS NOT NULL AND o_orderdate IS NOT NULL) AS d
     LEFT JOIN (SELECT o_orderpriority AS category, CAST(o_orderdate AS DATE) AS day, count(*) AS n
         FROM {t} AS x GROUP BY 1, 2) AS k ON k.category = c.category AND k.day = d.day)""".format(
-    t=OPEN_ORDERS
+    t=OPEN_ORDERS, p=PRIORITIES
 )
 
 
-@query("daily_category_counts", f"SELECT * FROM {COUNTS} AS c")
+@query("daily_category_counts", f"SELECT * FROM {SPARSE} AS c")
 def _daily_category_counts(spark, sf_dir):
     return daily_category_counts(open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority")
 
 
+@query("daily_category_counts_named", f"SELECT * FROM {COUNTS} AS c")
+def _daily_category_counts_named(spark, sf_dir):
+    return daily_category_counts(
+        open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority", named=PRIORITIES
+    )
+
+
 @query(
     "daily_category_share",
-    f"SELECT category, day, n, n / sum(n) OVER (PARTITION BY day) AS share FROM {COUNTS} AS c",
+    f"SELECT category, day, n, n / sum(n) OVER (PARTITION BY day) AS share FROM {SPARSE} AS c",
     share=6,
 )
 def _daily_category_share(spark, sf_dir):
@@ -115,7 +125,9 @@ def _trend_index(spark, sf_dir):
     WINDOW w AS (PARTITION BY category ORDER BY day)""",
 )
 def _lag_features_zero(spark, sf_dir):
-    counts = daily_category_counts(open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority")
+    counts = daily_category_counts(
+        open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority", named=PRIORITIES
+    )
     return lag_features_zero(counts, "n", ["category"])
 
 
@@ -216,4 +228,6 @@ def _forecast_features_numeric(spark, sf_dir):
     rolling7=4,
 )
 def _forecast_features_category(spark, sf_dir):
-    return category_features(open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority")
+    return category_features(
+        open_orders(spark, sf_dir), "o_orderdate", "o_orderpriority", named=PRIORITIES
+    )

@@ -34,10 +34,6 @@ def sql_double(value: float) -> str:
     return f"double('{value!r}')"
 
 
-def sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def percent(part: Column, whole: Column) -> Column:
     """Null, not an error, when the whole is zero."""
     return F.try_divide(part * F.lit(100.0), whole)
@@ -170,17 +166,3 @@ def compact(df: DataFrame, name: str, keep: int = 64) -> Column:
         return col(name)
     digest = F.concat(F.lit("#"), F.sha2(col(name), 256))
     return F.when(F.length(col(name)) <= keep, col(name)).otherwise(digest)
-
-
-def broadcast_if_small(df: DataFrame, limit: int = 32 * 2**20) -> DataFrame:
-    """Mark a frame for broadcast after measuring it; leave it alone otherwise."""
-    size = F.lit(0).cast("bigint")
-    for f in df.schema:
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            size = size + F.coalesce(F.octet_length(col(f.name)), F.lit(0)) + 16
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            size = size + F.coalesce(F.octet_length(F.to_json(col(f.name))), F.lit(0)) + 16
-        else:
-            size = size + 16
-    measured = df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    return F.broadcast(df) if measured <= limit else df

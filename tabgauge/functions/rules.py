@@ -53,14 +53,8 @@ R_VERY_STRONG = 0.8
 R_HIGH = 0.9
 R_VERY_HIGH = 0.95
 
-# Forecast model size and band.
-TREES = 200
-LEARNING_RATE = 0.05
-TREE_DEPTH = 4
-BAND_LOW = 0.15
-BAND_HIGH = 0.85
+# Days a forecast may look ahead.
 MAX_HORIZON = 365
-DEFAULT_HORIZON = 30
 
 DEFAULT_EFFICIENCY = 87.5
 SYSTEM_WIDE = "System-Wide"

@@ -7,9 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.expr import broadcast_if_small, col, value_counts_by_column
+from tabgauge.functions.expr import col, value_counts_by_column
 from tabgauge.operators.ordering import with_row_number
-from tabgauge.operators.quantiles import above, find_fences, inside, number, outside
+from tabgauge.operators.quantiles import (
+    above,
+    find_fences,
+    inside,
+    missing,
+    number,
+    outside,
+)
 from tabgauge.operators.roles import numeric_columns, parsed_time, text_columns
 
 
@@ -98,7 +105,7 @@ def remove_outliers(df: DataFrame, name: str, **options) -> DataFrame:
     fences = find_fences(df, [name], **options)[name]
     if fences.low is None:
         return df
-    return df.where(col(name).isNull() | inside(df, name, fences))
+    return df.where(missing(df, name) | inside(df, name, fences))
 
 
 def remove_all_outliers(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
@@ -145,15 +152,17 @@ def rows_duplicated(df: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     )
 
 
-def filter_category(df: DataFrame, name: str, value: object, min_rows: int = 10) -> DataFrame:
-    """Rows of one category; an error when fewer than ``min_rows`` are left."""
-    if not value:
-        return df
-    kept = df.where(col(name) == F.lit(value))
-    rows = kept.limit(min_rows).count()
-    if rows < min_rows:
-        raise ValueError(f"only {rows} rows for {value!r}; at least {min_rows} are needed")
-    return kept
+def filter_category(df: DataFrame, name: str, value: object) -> DataFrame:
+    """Rows of one category; of those missing it for None."""
+    return df.where(col(name).eqNullSafe(F.lit(value)))
+
+
+def require_rows(df: DataFrame, least: int = 10) -> DataFrame:
+    """The table; an error when it has fewer rows."""
+    rows = df.limit(least).count()
+    if rows < least:
+        raise ValueError(f"only {rows} rows; at least {least} are needed")
+    return df
 
 
 def filter_values(df: DataFrame, name: str) -> DataFrame:
@@ -162,17 +171,16 @@ def filter_values(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def label_codes(df: DataFrame, name: str, **options) -> DataFrame:
+def label_codes(df: DataFrame, name: str) -> DataFrame:
     """(value, code): distinct values in order, numbered from 0."""
     values = df.where(col(name).isNotNull()).select(col(name).alias("value")).distinct()
-    return with_row_number(values, ["value"], "code", **options)
+    return with_row_number(values, ["value"], "code")
 
 
-def encode_labels(df: DataFrame, name: str, code: str = "code", **options) -> DataFrame:
+def encode_labels(df: DataFrame, name: str, code: str = "code") -> DataFrame:
     """The table with the code of each value; missing values get none."""
-    codes = label_codes(df, name, **options)
+    codes = label_codes(df, name)
     named = codes.select(F.col("value").alias("__value"), F.col("code").cast("bigint").alias(code))
-    named = broadcast_if_small(named)
     return df.join(named, col(name) == F.col("__value"), "left").drop("__value")
 
 
@@ -209,48 +217,50 @@ def dedupe_column_names(df: DataFrame) -> DataFrame:
     return numbered.select(*[F.col(f"_{i}").alias(name) for name, i in places.items()])
 
 
-def apply_edits(df: DataFrame, edits: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keyed cell updates, added rows and deleted rows.
+def apply_edits(
+    df: DataFrame, edits: DataFrame, key: Sequence[str], order: str | None = None
+) -> DataFrame:
+    """Keyed cell updates, added rows and deleted rows, by one full outer join.
 
     ``edits`` holds the key, new values (null leaves a cell alone) and may hold
-    ``deleted`` (boolean) and ``cleared`` (array of columns to set to null).
-    Keys not in the table are added. The edits are measured and broadcast when
-    small, and then the table is not shuffled.
+    ``deleted`` (boolean) and ``cleared`` (array of columns to set to null). Keys not in
+    the table are added, unless deleted. A null key is a key like any other. Of several
+    edits of one key the one with the largest ``order`` counts as a whole; without an
+    order column they are an error.
     """
     edited = [c for c in edits.columns if c in df.columns and c not in key]
-    flags = {
-        "deleted": F.coalesce(col("deleted"), F.lit(False)) if "deleted" in edits.columns else F.lit(False),
-        "cleared": F.coalesce(col("cleared"), F.array().cast("array<string>"))
-        if "cleared" in edits.columns
-        else F.array().cast("array<string>"),
-    }
-    changes = edits.select(
-        *[col(k) for k in key],
-        *[col(c).alias(f"__new_{c}") for c in edited],
-        flags["deleted"].alias("__deleted"),
-        flags["cleared"].alias("__cleared"),
+    none = F.array().cast("array<string>")
+    deleted = F.coalesce(col("deleted"), F.lit(False)) if "deleted" in edits.columns else F.lit(False)
+    cleared = F.coalesce(col("cleared"), none) if "cleared" in edits.columns else none
+    change = F.struct(
+        deleted.alias("deleted"), cleared.alias("cleared"),
+        *[col(c).alias(f"new_{i}") for i, c in enumerate(edited)],
     )
-    changes = broadcast_if_small(changes)
-    joined = df.join(changes, list(key), "left").where(
-        F.coalesce(~F.col("__deleted"), F.lit(True))
-    )
-
-    def changed(name: str):
+    keys = [f"__key_{i}" for i in range(len(key))]
+    grouped = edits.groupBy(*[col(k).alias(name) for k, name in zip(key, keys)])
+    if order is not None:
+        changes = grouped.agg(F.max_by(change, col(order)).alias("__edit"))
+    else:
+        twice = F.raise_error(F.lit("a key is edited more than once; name an order column"))
+        one = F.when(F.count(F.lit(1)) > 1, twice.cast(edits.select(change).schema[0].dataType))
+        changes = grouped.agg(one.otherwise(F.first(change)).alias("__edit"))
+    same = F.lit(True)
+    for k, name in zip(key, keys):
+        same = same & col(k).eqNullSafe(F.col(name))
+    joined = df.withColumn("__here", F.lit(True)).join(changes, same, "full")
+    edit = F.col("__edit")
+    kept = joined.where(edit.isNull() | ~edit["deleted"])
+    here = F.col("__here").isNotNull()
+
+    def cell(name: str) -> Column:
+        kind = df.schema[name].dataType
+        if name in key:
+            return F.when(here, col(name)).otherwise(F.col(keys[list(key).index(name)]).cast(kind))
         if name not in edited:
             return col(name)
-        cleared = F.coalesce(F.array_contains("__cleared", F.lit(name)), F.lit(False))
-        return F.when(~cleared, F.coalesce(col(f"__new_{name}"), col(name))).alias(name)
-
-    updated = joined.select(*[changed(c) for c in df.columns])
-    # Keys the edits share with the table: at most as many rows as the edits.
-    known = df.select(*[col(k) for k in key]).join(changes.select(*key), list(key), "left_semi").distinct()
-    added = changes.where(~F.col("__deleted")).join(known, list(key), "left_anti")
-    new_rows = added.select(
-        *[
-            col(c)
-            if c in key
-            else (col(f"__new_{c}") if c in edited else F.lit(None)).cast(df.schema[c].dataType).alias(c)
-            for c in df.columns
-        ]
-    )
-    return updated.unionByName(new_rows)
+        new = edit[f"new_{edited.index(name)}"].cast(kind)
+        changed = F.coalesce(new, col(name))
+        wiped = F.coalesce(F.array_contains(edit["cleared"], F.lit(name)), F.lit(False))
+        return F.when(~wiped | ~here, changed)
+
+    return kept.select(*[cell(c).alias(c) for c in df.columns])

@@ -2,35 +2,65 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import sys
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.expr import grade_above, sql_double, sql_name, sql_text
+from tabgauge.functions.expr import grade_above
 from tabgauge.functions.rules import R_HIGH, R_STRONG, R_VERY_HIGH, R_VERY_STRONG
 from tabgauge.operators.quantiles import number
 from tabgauge.operators.roles import numeric_columns
 
-# Pairs computed by one aggregate; wider tables take several.
-PAIRS_PER_SCAN = 300
+# Pickled with the functions, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+NO_VARIANCE = 1e-13
+
+def pair_sums(data: DataFrame, centre: list[float], pairs: list[tuple[int, int]]) -> DataFrame:
+    """(i, j, n, x, y, xx, yy, xy): sums over the rows where both columns are present.
+
+    One scan for any number of pairs: each batch gives the sums of all pairs as matrix
+    products, and they add up per task, then per pair.
+    """
+    middle = np.array(centre)
+    first, second = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(first)))
+        for part in parts:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
+            there = ~np.isnan(values)
+            x = np.where(there, values - middle, 0.0)
+            m = there.astype(float)
+            n, xm, xxm, xy = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+            for k, (s, flip) in enumerate(
+                ((n, False), (xm, False), (xm, True), (xxm, False), (xxm, True), (xy, False))
+            ):
+                total[k] += s[second, first] if flip else s[first, second]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first), pa.array(second), *[pa.array(t) for t in total]],
+            ["i", "j", *SUMS],
+        )
+
+    schema = "i bigint, j bigint, " + ", ".join(f"{s} double" for s in SUMS)
+    sums = data.mapInArrow(run, schema)
+    return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
 
 
 def corr_pairs(
-    df: DataFrame,
-    columns: Sequence[str] | None = None,
-    anchor: str | None = None,
-    pairs_per_scan: int = PAIRS_PER_SCAN,
+    df: DataFrame, columns: Sequence[str] | None = None, anchor: str | None = None
 ) -> DataFrame:
     """(i, j, col1, col2, r) for i < j; r is null where a column is constant.
 
-    ``anchor`` pairs that one column with each of the others and nothing else.
-
-    A first aggregate finds means, gaps and constants. Gap-free columns then
-    need one plain sum per pair around those means; only pairs with gaps pay
-    for masked variances.
+    ``anchor`` pairs that one column with each of the others and nothing else. One
+    aggregate finds means and constants; one scan takes the sums around those means.
     """
     names = list(columns if columns is not None else numeric_columns(df))
     if anchor is not None:
@@ -38,77 +68,72 @@ def corr_pairs(
     schema = "i int, j int, col1 string, col2 string, r double"
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], schema)
-    data = df.select(*[number(df, c).alias(c) for c in names])
-    quoted = [sql_name(c) for c in names]
-    facts = data.selectExpr(
-        "count(1) AS rows",
-        *[
-            f"{f}({c}) AS {tag}{i}"
-            for i, c in enumerate(quoted)
-            for tag, f in (("n", "count"), ("m", "avg"), ("a", "min"), ("b", "max"))
-        ],
-    ).first()
-    full = [facts[f"n{i}"] == facts["rows"] for i in range(len(names))]
-    constant = [facts[f"a{i}"] == facts[f"b{i}"] for i in range(len(names))]
-
-    centred = [f"({c} - {sql_double(facts[f'm{i}'] or 0.0)})" for i, c in enumerate(quoted)]
-
-    def pair(i: int, j: int) -> str:
-        if constant[i] or constant[j]:
-            return "max(double(NULL))"
-        if full[i] and full[j]:
-            a, b = centred[i], centred[j]
-            return f"try_divide(sum({a} * {b}), sqrt(sum({a} * {a})) * sqrt(sum({b} * {b})))"
-        a, b = quoted[i], quoted[j]
-        apart = f"stddev_pop(if({b} IS NULL, NULL, {a})) * stddev_pop(if({a} IS NULL, NULL, {b}))"
-        return f"try_divide(covar_pop({a}, {b}), {apart})"
-
+    data, means, constant = _centred(df, names)
     if anchor is not None:
         pairs = [(0, j) for j in range(1, len(names))]
     else:
         pairs = list(combinations(range(len(names)), 2))
-    frames = []
-    for start in range(0, len(pairs), pairs_per_scan):
-        part = pairs[start : start + pairs_per_scan]
-        wide = data.selectExpr(*[f"{pair(i, j)} AS `{i}_{j}`" for i, j in part])
-        rows = ", ".join(
-            f"struct({i} AS i, {j} AS j, {sql_text(names[i])} AS col1, "
-            f"{sql_text(names[j])} AS col2, `{i}_{j}` AS r)"
-            for i, j in part
-        )
-        frames.append(wide.selectExpr(f"inline(array({rows}))"))
-    return reduce(DataFrame.unionByName, frames)
+    return _pair_rows(data, names, means, constant, pairs)
+
+
+def _centred(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[float], list[bool]]:
+    data = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+    facts = data.agg(
+        *[
+            f(F.col(f"c{i}")).alias(f"{tag}{i}")
+            for i in range(len(names))
+            for tag, f in (("m", F.avg), ("a", F.min), ("b", F.max))
+        ]
+    ).first()
+    means = [facts[f"m{i}"] or 0.0 for i in range(len(names))]
+    return data, means, [facts[f"a{i}"] == facts[f"b{i}"] for i in range(len(names))]
 
 
-def corr_matrix(
-    df: DataFrame, columns: Sequence[str] | None = None, first: int | None = None
+def _pair_rows(
+    data: DataFrame,
+    names: list[str],
+    means: list[float],
+    constant: list[bool],
+    pairs: list[tuple[int, int]],
 ) -> DataFrame:
+    sums = pair_sums(data, means, pairs)
+    c = F.col
+    vx, vy = c("xx") - c("x") * c("x") / c("n"), c("yy") - c("y") * c("y") / c("n")
+    # What rounding leaves of a column that does not vary here is no variance.
+    varies = (vx > c("xx") * NO_VARIANCE) & (vy > c("yy") * NO_VARIANCE)
+    r = (c("xy") - c("x") * c("y") / c("n")) / (F.sqrt(vx) * F.sqrt(vy))
+    label = F.array(*[F.lit(n) for n in names])
+    still = F.array(*[F.lit(x) for x in constant])
+    known = (c("n") > 0) & varies & ~still[c("i").cast("int")] & ~still[c("j").cast("int")]
+    return sums.select(
+        c("i").cast("int").alias("i"),
+        c("j").cast("int").alias("j"),
+        label[c("i").cast("int")].alias("col1"),
+        label[c("j").cast("int")].alias("col2"),
+        F.when(known, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
+    )
+
+
+def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The full square in long form (col1, col2, r), diagonal included."""
-    names = list(columns if columns is not None else numeric_columns(df))[:first]
-    pairs = corr_pairs(df, names)
+    names = list(columns if columns is not None else numeric_columns(df))
+    if not names:
+        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
+    data, means, constant = _centred(df, names)
+    # One row per column.
+    diagonal = df.sparkSession.createDataFrame(
+        [(c, c, None if constant[i] else 1.0) for i, c in enumerate(names)],
+        "col1 string, col2 string, r double",
+    )
+    if len(names) < 2:
+        return diagonal
+    pairs = list(combinations(range(len(names)), 2))
     both = F.array(
         F.struct("col1", "col2", "r"),
         F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r"),
     )
-    spread = df.agg(
-        *[
-            F.when(F.min(number(df, c)) < F.max(number(df, c)), F.lit(1.0)).alias(str(i))
-            for i, c in enumerate(names)
-        ]
-    )
-    diagonal = spread.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("col1"), F.lit(c).alias("col2"), F.col(str(i)).alias("r")
-                    )
-                    for i, c in enumerate(names)
-                ]
-            )
-        )
-    )
-    return pairs.select(F.inline(both)).unionByName(diagonal)
+    found = _pair_rows(data, names, means, constant, pairs)
+    return found.select(F.inline(both)).unionByName(diagonal)
 
 
 def high_corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -125,13 +150,12 @@ def high_corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def strong_corr(df: DataFrame, columns: Sequence[str] | None = None, first: int = 5) -> DataFrame:
-    """The first strong pairs in column order."""
+def strong_corr(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """The strong pairs in column order."""
     return (
         corr_pairs(df, columns)
         .where(F.abs(F.col("r")) > R_STRONG)
         .orderBy("i", "j")
-        .limit(first)
         .select("i", "j", "col1", "col2", "r")
     )
 
@@ -162,8 +186,8 @@ def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         .alias("direction"),
         grade_above(
             F.abs(F.col("r")),
-            [(R_VERY_STRONG, "very strongly linked"), (R_STRONG, "moderately linked")],
-            "weakly linked",
+            [(R_VERY_STRONG, "tight"), (R_STRONG, "clear")],
+            "loose",
         ).alias("link"),
     )
 
@@ -204,9 +228,8 @@ def root_cause(df: DataFrame, alerts: DataFrame, metric: str) -> DataFrame:
         "likely_cause",
         "correlation",
         F.format_string(
-            "High %s strongly correlates with %s. Investigate %s parameters.",
-            "symptom",
-            "likely_cause",
+            "Look into %s first: it moves with the high readings of %s.",
             "likely_cause",
+            "symptom",
         ).alias("recommendation"),
     )

@@ -1,229 +1,13 @@
-"""Daily forecasts of many series with boosted trees.
-
-Spark builds the features with windows and hands each series (daily rows, so a
-few thousand at most) to one Python worker, which fits and predicts it. The
-work spreads over series.
-"""
+"""Summaries of daily forecasts, whichever model made them."""
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Sequence
-from datetime import timedelta
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import col
-from tabgauge.functions.rules import (
-    BAND_HIGH,
-    BAND_LOW,
-    DEFAULT_HORIZON,
-    LEARNING_RATE,
-    MAX_HORIZON,
-    TREE_DEPTH,
-    TREES,
-)
-from tabgauge.operators.series import category_features, numeric_features
-
-CALENDAR = ["trend", "day_of_week", "month", "day_of_month"]
-NUMERIC_FEATURES = [*CALENDAR, "quarter", "lag1", "lag7", "rolling7"]
-CATEGORY_FEATURES = [*CALENDAR, "lag1", "lag7", "rolling7"]
-
-
-# Send the fitting code along with the task: executors need not have the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-class BoostedTrees:
-    """Gradient-boosted regression trees; ``quantile`` switches to pinball loss."""
-
-    def __init__(self, quantile: float | None = None, trees: int = TREES):
-        self.quantile = quantile
-        self.trees = trees
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        distinct = [np.unique(column, return_inverse=True) for column in x.T]
-        sizes = np.array([len(values) for values, _ in distinct])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self._values = np.concatenate([values for values, _ in distinct])
-        self._slots = np.stack([codes for _, codes in distinct], axis=1) + starts
-        self._slot_feature = np.repeat(np.arange(len(sizes)), sizes)
-        self._starts = starts
-        nodes = 2 ** (TREE_DEPTH + 1) - 1
-        self.feature = np.full((self.trees, nodes), -1)
-        self.cut = np.zeros((self.trees, nodes))
-        self.value = np.zeros((self.trees, nodes))
-        self.start = y.mean() if self.quantile is None else np.quantile(y, self.quantile)
-        fitted = np.full(len(y), float(self.start))
-        for t in range(self.trees):
-            rest = y - fitted
-            slope = rest if self.quantile is None else np.where(rest > 0, self.quantile, self.quantile - 1)
-            leaf = self._grow(t, x, slope)
-            for node in np.unique(leaf):
-                inside = rest[leaf == node]
-                self.value[t, node] = (
-                    inside.mean() if self.quantile is None else np.quantile(inside, self.quantile)
-                )
-            fitted += LEARNING_RATE * self.value[t, leaf]
-        return self
-
-    def _grow(self, t: int, x: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        """Split level by level; the node each row ends in."""
-        at = np.zeros(len(slope), dtype=np.int64)
-        live = np.arange(len(slope))
-        width = len(self._values)
-        for depth in range(TREE_DEPTH):
-            first, count = 2**depth - 1, 2**depth
-            flat = ((at[live] - first)[:, None] * width + self._slots[live]).ravel()
-            each = np.repeat(slope[live], x.shape[1])
-            n = np.bincount(flat, minlength=count * width).reshape(count, width)
-            s = np.bincount(flat, weights=each, minlength=count * width).reshape(count, width)
-            n_left, s_left = self._running(n), self._running(s)
-            n_all = np.bincount(at[live] - first, minlength=count)[:, None]
-            s_all = np.bincount(at[live] - first, weights=slope[live], minlength=count)[:, None]
-            n_right, s_right = n_all - n_left, s_all - s_left
-            usable = (n > 0) & (n_right > 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                apart = s_left / n_left - s_right / n_right
-                gain = np.where(usable, apart**2 * n_left * n_right / n_all, -1.0)
-            slot = gain.argmax(axis=1)
-            splits = gain[np.arange(count), slot] > 1e-12
-            if not splits.any():
-                break
-            for k in np.flatnonzero(splits):
-                f = self._slot_feature[slot[k]]
-                later = np.flatnonzero(n[k, slot[k] + 1 : self._end(f)])[0] + slot[k] + 1
-                self.feature[t, first + k] = f
-                self.cut[t, first + k] = (self._values[slot[k]] + self._values[later]) / 2
-            live = live[splits[at[live] - first]]
-            node = at[live]
-            right = x[live, self.feature[t, node]] > self.cut[t, node]
-            at[live] = 2 * node + 1 + right
-        return at
-
-    def _end(self, f: int) -> int:
-        return self._starts[f + 1] if f + 1 < len(self._starts) else len(self._values)
-
-    def _running(self, counts: np.ndarray) -> np.ndarray:
-        """Running totals along each feature's distinct values."""
-        total = np.cumsum(counts, axis=1)
-        before = np.concatenate([np.zeros((len(counts), 1)), total], axis=1)[:, self._starts]
-        return total - before[:, self._slot_feature]
-
-    def predict_row(self, row: np.ndarray) -> float:
-        tree = np.arange(self.trees)
-        node = np.zeros(self.trees, dtype=np.int64)
-        for _ in range(TREE_DEPTH):
-            f = self.feature[tree, node]
-            deeper = 2 * node + 1 + (row[f] > self.cut[tree, node])
-            node = np.where(f < 0, node, deeper)
-        return float(self.start + LEARNING_RATE * self.value[tree, node].sum())
-
-
-def _predict(
-    past: pd.DataFrame, features: Sequence[str], horizon: int, band: bool, floor: float | None
-) -> pd.DataFrame:
-    """Fit one series and extend it day by day, each day feeding the next."""
-    past = past.sort_values("trend")
-    x, y = past[list(features)].to_numpy(float), past["y"].to_numpy(float)
-    last = past["day"].iloc[-1]
-    days = [last + timedelta(days=i + 1) for i in range(horizon)]
-    out = pd.DataFrame({"day": days, "prediction": np.nan, "low": np.nan, "high": np.nan})
-    if np.isnan(x).any():
-        return out
-    models = {"prediction": BoostedTrees().fit(x, y)}
-    if band:
-        models["low"] = BoostedTrees(BAND_LOW).fit(x, y)
-        models["high"] = BoostedTrees(BAND_HIGH).fit(x, y)
-    known = list(y)
-    for i, day in enumerate(days):
-        recent = known[-7:]
-        row = {
-            "trend": len(y) + i,
-            "day_of_week": day.weekday(),
-            "month": day.month,
-            "day_of_month": day.day,
-            "quarter": (day.month + 2) // 3,
-            "lag1": known[-1],
-            "lag7": recent[0],
-            "rolling7": float(np.mean(recent)),
-        }
-        values = np.array([row[f] for f in features], dtype=float)
-        for name, model in models.items():
-            out.loc[i, name] = model.predict_row(values)
-        if floor is not None:
-            out.loc[i, "prediction"] = max(floor, out.loc[i, "prediction"])
-        known.append(out.loc[i, "prediction"])
-    return out
-
-
-def _forecast(
-    table: DataFrame,
-    keys: Sequence[str],
-    features: Sequence[str],
-    horizon: int,
-    band: bool,
-    floor: float | None,
-) -> DataFrame:
-    if not 1 <= horizon <= MAX_HORIZON:
-        raise ValueError(f"horizon must be 1 to {MAX_HORIZON} days")
-    columns = [*keys, "day", "prediction"] + (["low", "high"] if band else [])
-    schema = ", ".join(
-        [f"`{k}` {table.schema[k].dataType.simpleString()}" for k in keys]
-        + ["day date", "prediction double"]
-        + (["low double", "high double"] if band else [])
-    )
-
-    def fit_series(past: pd.DataFrame) -> pd.DataFrame:
-        ahead = _predict(past, features, horizon, band, floor)
-        for key in keys:
-            ahead[key] = past[key].iloc[0]
-        return ahead[columns]
-
-    if not keys:
-        return table.groupBy().applyInPandas(fit_series, schema)
-    # Series are few bytes but seconds of fitting: numbered tasks keep them from
-    # being packed together by size.
-    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [col(k) for k in keys]
-    task = F.pmod(F.xxhash64(*names), F.lit(tasks))
-    spread = table.withColumn("__task", task).repartition(tasks, "__task")
-    return spread.groupBy("__task", *names).applyInPandas(fit_series, schema)
-
-
-def forecast_numeric(
-    df: DataFrame,
-    date: str,
-    metric: str,
-    horizon: int = DEFAULT_HORIZON,
-    by: Sequence[str] = (),
-    leak_free: bool = False,
-) -> DataFrame:
-    """(by..., day, prediction, low, high) for each series.
-
-    The band comes from two quantile models of their own, so it can cross the
-    prediction. A series of seven days or fewer cannot be fitted; its
-    predictions are null.
-    """
-    table = numeric_features(df, date, metric, by, leak_free)
-    return _forecast(table, by, NUMERIC_FEATURES, horizon, True, None)
-
-
-def forecast_categories(
-    df: DataFrame,
-    date: str,
-    category: str,
-    horizon: int = DEFAULT_HORIZON,
-    by: Sequence[str] = (),
-    leak_free: bool = False,
-) -> DataFrame:
-    """(by..., category, day, prediction): expected daily rows, never below 0."""
-    table = category_features(df, date, category, by, leak_free)
-    return _forecast(table, [*by, "category"], CATEGORY_FEATURES, horizon, False, 0.0)
 
 
 def forecast_category_summary(forecast: DataFrame) -> DataFrame:
@@ -235,15 +19,17 @@ def forecast_category_summary(forecast: DataFrame) -> DataFrame:
         peak["day"].alias("peak_day"),
         (-peak["p"]).cast("bigint").alias("peak_count"),
     )
-    # One row per category from here on.
-    first = Window.partitionBy(F.lit(1)).orderBy(F.desc("__sum"), "category")
+    # The largest sum, the first category on ties.
+    first = summary.agg(
+        F.min(F.struct((-F.col("__sum")).alias("s"), "category"))["category"]
+    ).scalar()
     return summary.select(
         "category",
         F.col("__sum").cast("bigint").alias("total"),
         "daily_average",
         "peak_day",
         "peak_count",
-        (F.row_number().over(first) == 1).alias("dominant"),
+        F.col("category").eqNullSafe(first).alias("dominant"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import col, grade
@@ -28,10 +28,10 @@ def trend(df: DataFrame, date: str, metric: str) -> DataFrame:
 
 
 def multi_trend(
-    df: DataFrame, date: str, metrics: Sequence[str] | None = None, first: int = 4
+    df: DataFrame, date: str, metrics: Sequence[str] | None = None
 ) -> DataFrame:
-    """The trends of the first numeric columns, from one grouping."""
-    names = list(metrics or numeric_columns(df)[:first])
+    """The trends of the numeric columns, from one grouping."""
+    names = list(metrics or numeric_columns(df))
     return (
         df.where(col(date).isNotNull())
         .groupBy(col(date).alias("stamp"))
@@ -53,25 +53,24 @@ def top_groups(df: DataFrame, category: str, metric: str, n: int = 10) -> DataFr
     return means.orderBy(F.desc_nulls_last("mean"), "value").limit(n)
 
 
-def first_groups(df: DataFrame, category: str, metric: str, n: int = 10) -> DataFrame:
-    return group_means(df, category, metric).orderBy("value").limit(n)
+def first_groups(df: DataFrame, category: str, metric: str) -> DataFrame:
+    """The mean of every category, in category order."""
+    return group_means(df, category, metric).orderBy("value")
 
 
-def unit_share(df: DataFrame, name: str, n: int = 10) -> DataFrame:
-    """The most frequent values and each one's share among those shown."""
-    kept = value_counts(df, name, n)
-    # The window runs over the n kept rows only.
-    whole = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return kept.withColumn("share", F.col("n") / whole)
+def unit_share(df: DataFrame, name: str, n: int | None = None) -> DataFrame:
+    """Values by frequency and each one's share of all rows that have one.
 
+    ``n`` asks for the most frequent ones only; shares stay those of the table.
+    """
+    whole = df.agg(F.count(col(name))).scalar()
+    return value_counts(df, name, n).withColumn("share", F.col("n") / whole)
 
-def hierarchy_counts(
-    df: DataFrame, parent: str, child: str, key: Sequence[str], first: int | None = 1000
-) -> DataFrame:
-    """Rows per (parent, child) and per parent, over the first rows by key."""
-    rows = df if first is None else df.orderBy(*[col(k) for k in key]).limit(first)
+
+def hierarchy_counts(df: DataFrame, parent: str, child: str) -> DataFrame:
+    """Rows per (parent, child) and per parent."""
     return (
-        rows.select(col(parent).alias("parent"), col(child).alias("child"))
+        df.select(col(parent).alias("parent"), col(child).alias("child"))
         .where(F.col("parent").isNotNull())
         .rollup("parent", "child")
         .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
@@ -163,13 +162,11 @@ def risk_score(df: DataFrame, raised: DataFrame) -> DataFrame:
 
 
 def metric_scatter(
-    df: DataFrame, x: str, y: str, hue: str | None, key: Sequence[str], n: int = 5000, seed: int = 42
+    df: DataFrame, x: str, y: str, hue: str | None, key: Sequence[str]
 ) -> DataFrame:
-    from tabgauge.sources.sampling import sample_n
-
-    rows = sample_n(df, key, n, seed)
+    """Both values of every row; take a sample first where fewer points are wanted."""
     shown = [col(x).alias("x"), col(y).alias("y")]
     if hue:
         shown.append(col(hue).alias("hue"))
-    return rows.select(*[col(k) for k in key], *shown)
+    return df.select(*[col(k) for k in key], *shown)
 

@@ -10,40 +10,23 @@ from pyspark.sql import functions as F
 from tabgauge.functions.expr import col
 from tabgauge.session import ensure_checkpoint_dir
 
-# Up to this many rows, one task sorts them all.
-ONE_TASK_ROWS = 1_000_000
 # Rows per task of a running window over row numbers.
 RUN_LENGTH = 1_000_000
 
 
-def with_row_number(
-    df: DataFrame,
-    order: Sequence[str],
-    name: str = "row_number",
-    one_task_rows: int = ONE_TASK_ROWS,
-    rows: int | None = None,
-) -> DataFrame:
+def with_row_number(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
     """Number the rows 0, 1, ... in the given order.
 
-    Few rows are numbered by one window. Many rows are range-partitioned and
-    written once to the checkpoint folder, which fixes which row sits in which
-    range; each range is numbered alone and shifted by the rows before it.
-    ``rows`` saves the count where it is known.
+    Rows are range-partitioned and written once to the checkpoint folder, which fixes
+    which row sits in which range; each range is numbered alone and shifted by the rows
+    before it.
     """
-    rows = df.count() if rows is None else rows
     keys = [col(c) for c in order]
-    if rows <= one_task_rows:
-        place = F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1
-        return df.withColumn(name, place)
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ranges = max(2, rows // one_task_rows + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ensure_checkpoint_dir(df.sparkSession)
     placed = (
-        df.repartitionByRange(ranges, *keys)
-        .withColumn("__range", F.spark_partition_id())
-        .checkpoint()
+        df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()).checkpoint()
     )
-    # One row per range, at most `ranges` of them.
+    # One row per range.
     before = (
         placed.groupBy("__range")
         .agg(F.count(F.lit(1)).alias("__n"))
@@ -71,17 +54,15 @@ def over_previous(
 ) -> DataFrame:
     """Aggregates over each row and the ``rows - 1`` before it, by row number.
 
-    Rows are cut into runs; the last rows of a run are also handed to the next
-    one, so that every window is complete inside its run.
+    Rows are cut into runs; a row is also handed to every later run that has a window
+    reaching back to it, so that each window is complete inside its run.
     """
     run = F.floor(F.col(number) / run_length)
-    tail = F.col(number) % run_length >= run_length - (rows - 1)
+    last = F.floor((F.col(number) + (rows - 1)) / run_length)
     window = (
         Window.partitionBy("__run").orderBy(number).rowsBetween(-(rows - 1), 0)
     )
-    spread = numbered.withColumn(
-        "__run", F.explode(F.when(tail, F.array(run, run + 1)).otherwise(F.array(run)))
-    )
+    spread = numbered.withColumn("__run", F.explode(F.sequence(run, last)))
     return (
         spread.withColumns({name: agg.over(window) for name, agg in make.items()})
         .where(F.col("__run") == run)

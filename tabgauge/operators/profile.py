@@ -276,9 +276,9 @@ def outlier_cells(df: DataFrame, fences: dict[str, Fences] | None = None) -> Dat
     return counted.withColumn("outlier_pct", percent(F.col("outliers"), F.col("rows")))
 
 
-def column_outliers(df: DataFrame, first: int | None = 8) -> DataFrame:
-    """Fences and outlier count of the first numeric columns."""
-    names = numeric_columns(df)[:first]
+def column_outliers(df: DataFrame) -> DataFrame:
+    """Fences and outlier count of each numeric column."""
+    names = numeric_columns(df)
     fences = find_fences(df, names)
     return one_row_per_column(
         df,
@@ -370,34 +370,42 @@ def quality_label(missing_pct: Column) -> Column:
     )
 
 
-def first_values(df: DataFrame, key: Sequence[str], n: int = 3, width: int = 18) -> DataFrame:
-    """(position, sample): the first values of each column in key order.
+def first_values(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
+    """(position, sample): the first ``n`` values of each column in key order.
 
-    One top-n per column: each reads the key and one column, keeps n rows per
-    task, and shuffles nothing but those.
+    One aggregate finds the smallest (key, value) of every column, the next one the
+    smallest above that, and so on: ``n`` scans for any number of columns. The key is
+    taken to be unique.
     """
-    order = [col(c) for c in key]
-    frames = None
-    for position, name in enumerate(df.columns):
-        top = (
-            df.where(col(name).isNotNull())
-            .select(
-                F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)]).alias("at"),
-                F.substring(as_text(df, name), 1, width).alias("value"),
-            )
-            .orderBy("at", "value")
-            .limit(n)
-            .select(F.lit(position).alias("position"), "at", "value")
-        )
-        frames = top if frames is None else frames.unionByName(top)
-    return frames.groupBy("position").agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]
-            ),
-            ", ",
-        ).alias("sample")
-    )
+    at = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(key)])
+    kinds = [df.schema[k].dataType for k in key]
+    found: list[list] = [[] for _ in df.columns]
+    for _ in range(n):
+        wanted = []
+        for position, name in enumerate(df.columns):
+            use = col(name).isNotNull()
+            if found[position]:
+                last = found[position][-1]["at"]
+                if last is None:
+                    use = F.lit(False)
+                else:
+                    limit = [
+                        F.lit(last[f"k{i}"]).cast(kind).alias(f"k{i}")
+                        for i, kind in enumerate(kinds)
+                    ]
+                    use = use & (at > F.struct(*limit))
+            cell = F.struct(at.alias("at"), as_text(df, name).alias("value"))
+            wanted.append(F.min_by(cell, F.when(use, at)).alias(str(position)))
+        row = df.agg(*wanted).first()
+        for position in range(len(df.columns)):
+            found[position].append(row[position] or {"at": None, "value": None})
+    # One row per column of the table.
+    rows = [
+        (position, ", ".join(v["value"] for v in values if v["at"] is not None))
+        for position, values in enumerate(found)
+        if values[0]["at"] is not None
+    ]
+    return df.sparkSession.createDataFrame(rows, "position int, sample string")
 
 
 def profile_report(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
@@ -458,10 +466,10 @@ def zscore_outliers(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), total.alias("z_outliers")).select("z_outliers")
 
 
-def numeric_insights(df: DataFrame, first: int = 10) -> DataFrame:
+def numeric_insights(df: DataFrame) -> DataFrame:
     return one_row_per_column(
         df,
-        numeric_columns(df)[:first],
+        numeric_columns(df),
         {
             "mean": lambda c: F.avg(number(df, c)),
             "max": lambda c: F.max(number(df, c)),
@@ -471,9 +479,9 @@ def numeric_insights(df: DataFrame, first: int = 10) -> DataFrame:
     )
 
 
-def category_insights(df: DataFrame, first: int = 5, top: int = 5) -> DataFrame:
-    """The most frequent values of the first text columns."""
-    names = text_columns(df)[:first]
+def category_insights(df: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent values of each text column."""
+    names = text_columns(df)
     order = Window.partitionBy("position").orderBy(F.desc("n"), "value")
     label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("position") + 1)
     return (

@@ -71,13 +71,37 @@ class _Cell:
         return low < high
 
 
+FLOATING = (T.FloatType, T.DoubleType)
+
+
 def number(df: DataFrame, name: str) -> Column:
-    """The column as double, left bare where it is one so that filters push down."""
+    """The column as double, with NaN missing."""
+    if isinstance(df.schema[name].dataType, FLOATING):
+        return F.nanvl(bare(df, name), F.lit(None).cast("double"))
+    return bare(df, name)
+
+
+def bare(df: DataFrame, name: str) -> Column:
+    """The column as double, left as it is where it is one so that filters push down."""
     if isinstance(df.schema[name].dataType, T.DoubleType):
         return col(name)
     return col(name).cast("double")
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Null, or NaN."""
+    if isinstance(df.schema[name].dataType, FLOATING):
+        return col(name).isNull() | F.isnan(col(name))
+    return col(name).isNull()
+
+
+def _known(df: DataFrame, name: str, test: Column) -> Column:
+    """The test, null for NaN; scans still see the bare comparison."""
+    if isinstance(df.schema[name].dataType, FLOATING):
+        return test & F.when(F.isnan(col(name)), F.lit(None).cast("boolean")).otherwise(True)
+    return test
+
+
 WHOLE_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
@@ -88,7 +112,7 @@ def _bound(df: DataFrame, name: str, limit: float, round_to) -> tuple[Column, Co
     """
     if isinstance(df.schema[name].dataType, WHOLE_TYPES) and abs(limit) < 2**62:
         return col(name), F.lit(round_to(limit)).cast("bigint")
-    return number(df, name), F.lit(limit)
+    return bare(df, name), F.lit(limit)
 
 
 def above(df: DataFrame, name: str, fences: Fences) -> Column:
@@ -96,11 +120,11 @@ def above(df: DataFrame, name: str, fences: Fences) -> Column:
     if fences.high is None:
         return F.lit(False)
     value, limit = _bound(df, name, fences.high, math.floor)
-    return value > limit
+    return _known(df, name, value > limit)
 
 
 def below(df: DataFrame, name: str, fences: Fences) -> Column:
-    """Below the lower fence; null for a missing value."""
+    """Below the lower fence; never so for a missing value."""
     if fences.low is None:
         return F.lit(False)
     value, limit = _bound(df, name, fences.low, math.ceil)
@@ -108,7 +132,11 @@ def below(df: DataFrame, name: str, fences: Fences) -> Column:
 
 
 def outside(df: DataFrame, name: str, fences: Fences) -> Column:
-    return below(df, name, fences) | above(df, name, fences)
+    """Below or above the fences; null for a missing value."""
+    if fences.high is None:
+        return F.lit(False)
+    value, limit = _bound(df, name, fences.high, math.floor)
+    return _known(df, name, below(df, name, fences) | (value > limit))
 
 
 def inside(df: DataFrame, name: str, fences: Fences) -> Column:
@@ -117,7 +145,7 @@ def inside(df: DataFrame, name: str, fences: Fences) -> Column:
         return F.lit(True)
     value, low = _bound(df, name, fences.low, math.ceil)
     _, high = _bound(df, name, fences.high, math.floor)
-    return (value >= low) & (value <= high)
+    return _known(df, name, (value >= low) & (value <= high))
 
 
 def exact_quantiles(
@@ -135,11 +163,13 @@ def exact_quantiles(
     columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    data = df.select(*[number(df, c).alias(c) for c in columns])
+    data = df.select(*[bare(df, c).alias(c) for c in columns])
     if accuracy is not None:
         row = data.agg(
             *[
-                F.percentile_approx(col(c), list(probabilities), accuracy).alias(str(i))
+                F.percentile_approx(
+                    F.nanvl(col(c), F.lit(None).cast("double")), list(probabilities), accuracy
+                ).alias(str(i))
                 for i, c in enumerate(columns)
             ]
         ).first()
@@ -176,9 +206,13 @@ def exact_quantiles(
                 found.update({(cell.name, r): cell.low for r in cell.ranks})
             else:
                 narrow.append(cell)
-        large = [c for c in narrow if c.inside > sort_at_once and c.divisible]
-        small = [c for c in narrow if c not in large]
+        large = [c for c in narrow if c.inside > sort_at_once]
+        small = [c for c in narrow if c.inside <= sort_at_once]
+        ends = [c for c in large if not c.divisible]
+        large = [c for c in large if c.divisible]
         open_cells = []
+        if ends:
+            found.update(_count_ends(data, ends))
         if small:
             found.update(_pick_values(data, small, SORT_TOGETHER))
         if large:
@@ -194,7 +228,7 @@ def exact_quantiles(
                 continue
             low, high = _neighbours(n, p)
             a, b = found[name, low], found[name, high]
-            result[name].append(a + ((n - 1) * p - low) * (b - a))
+            result[name].append(a if a == b else a + ((n - 1) * p - low) * (b - a))
     return result
 
 
@@ -251,6 +285,18 @@ def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tup
     return found
 
 
+def _count_ends(data: DataFrame, cells: list[_Cell]) -> dict[tuple[str, int], float]:
+    """Ranks in cells that hold two values only, an infinity and its neighbour."""
+    row = data.agg(
+        *[F.count_if(col(c.name) == F.lit(c.low)).alias(str(i)) for i, c in enumerate(cells)]
+    ).first()
+    return {
+        (c.name, r): c.low if r - c.below < row[str(i)] else c.high
+        for i, c in enumerate(cells)
+        for r in c.ranks
+    }
+
+
 def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]:
     """One histogram pass: each cell gives way to its parts that hold a rank."""
     values = [

@@ -19,22 +19,17 @@ from tabgauge.operators.quantiles import number
 from tabgauge.operators.roles import parsed_time
 
 
-def moving_average(df: DataFrame, date: str, metric: str, window: int = 7, **options) -> DataFrame:
+def moving_average(df: DataFrame, date: str, metric: str, window: int = 7) -> DataFrame:
     """Mean per date value and its moving average over the last ``window`` of them.
 
     By position, not by calendar; null until the window is full. A table with
     fewer dates than the window uses as many as there are.
     """
-    means = date_means(df, date, metric)
-    rows = means.count()
-    size = min(window, rows)
-    means = with_row_number(means, ["stamp"], "place", rows=rows, **options)
+    means = with_row_number(date_means(df, date, metric), ["stamp"], "place")
     averaged = over_previous(
-        means,
-        max(size, 1),
-        {"filled": F.count("mean"), "average": F.avg("mean")},
-        number="place",
+        means, window, {"filled": F.count("mean"), "average": F.avg("mean")}, number="place"
     )
+    size = F.least(F.lit(window), means.agg(F.count(F.lit(1))).scalar())
     full = F.when(F.col("filled") == size, F.col("average"))
     return averaged.select("stamp", "mean", full.alias("moving_average"))
 
@@ -67,11 +62,16 @@ def daily_mean(
 
 
 def daily_category_counts(
-    df: DataFrame, date: str, category: str, by: Sequence[str] = ()
+    df: DataFrame,
+    date: str,
+    category: str,
+    by: Sequence[str] = (),
+    named: Sequence[str] = (),
 ) -> DataFrame:
-    """(by..., category, day, n): rows per day, 0 on days seen without the category.
+    """(by..., category, day, n): rows per category and day.
 
-    Only days that occur are listed.
+    Only what occurs is listed. The ``named`` categories also get 0 on each day that
+    occurs without them.
     """
     keys = [col(c) for c in by]
     day = day_of(df, date)
@@ -80,16 +80,20 @@ def daily_category_counts(
         .groupBy(*keys, col(category).alias("category"), day.alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    zero = F.lit(0).cast("bigint").alias("n")
-    # Days are few whatever the table; categories may be many and stay spread out.
-    kinds = counted.select(*keys, "category").distinct()
-    if by:
-        days = counted.groupBy(*keys).agg(F.collect_set("day").alias("days"))
-        kinds = kinds.join(days, list(by))
-    else:
-        kinds = kinds.withColumn("days", counted.agg(F.collect_set("day")).scalar())
-    # A category that occurs has a day; the outer form keeps that test out of the scan.
-    zeros = kinds.select(*keys, "category", F.explode_outer("days").alias("day"), zero)
+    if not named:
+        return counted
+    kind = df.schema[category].dataType
+    listed = F.array(*[F.lit(c).cast(kind) for c in dict.fromkeys(named)])
+    zeros = (
+        counted.select(*keys, "day")
+        .distinct()
+        .select(
+            *keys,
+            F.explode(listed).alias("category"),
+            "day",
+            F.lit(0).cast("bigint").alias("n"),
+        )
+    )
     return (
         counted.unionByName(zeros)
         .groupBy(*keys, "category", "day")
@@ -97,10 +101,14 @@ def daily_category_counts(
     )
 
 
-def daily_category_share(df: DataFrame, date: str, category: str) -> DataFrame:
-    counts = daily_category_counts(df, date, category)
-    whole = F.sum("n").over(Window.partitionBy("day"))
-    return counts.withColumn("share", F.coalesce(F.try_divide(F.col("n"), whole), F.lit(0.0)))
+def daily_category_share(
+    df: DataFrame, date: str, category: str, named: Sequence[str] = ()
+) -> DataFrame:
+    """The counts and each one's share of its day; the days' sums are joined back."""
+    counts = daily_category_counts(df, date, category, named=named)
+    whole = counts.groupBy("day").agg(F.sum("n").alias("__whole"))
+    share = F.coalesce(F.try_divide(F.col("n"), F.col("__whole")), F.lit(0.0))
+    return counts.join(whole, "day").select("category", "day", "n", share.alias("share"))
 
 
 def calendar_features(frame: DataFrame, day: str = "day", quarter: bool = True) -> DataFrame:
@@ -175,10 +183,15 @@ def numeric_features(
 
 
 def category_features(
-    df: DataFrame, date: str, category: str, by: Sequence[str] = (), leak_free: bool = False
+    df: DataFrame,
+    date: str,
+    category: str,
+    by: Sequence[str] = (),
+    leak_free: bool = False,
+    named: Sequence[str] = (),
 ) -> DataFrame:
     """The training table of the category forecast, one series per category."""
-    counts = daily_category_counts(df, date, category, by)
+    counts = daily_category_counts(df, date, category, by, named)
     series = counts.withColumn("y", F.col("n").cast("double")).drop("n")
     keys = [*by, "category"]
     indexed = trend_index(calendar_features(series, quarter=False), keys)

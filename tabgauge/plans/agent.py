@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.expr import col, merge_rows
+from tabgauge.functions.expr import col
 from tabgauge.functions.rules import DATE_PHRASES
 from tabgauge.operators.correlation import strong_corr
 from tabgauge.operators.profile import category_insights, numeric_insights
@@ -98,49 +98,58 @@ def shown_columns(columns: Sequence[str], date: str | None) -> list[str]:
 
 
 def project_relevant(
-    df: DataFrame, columns: Sequence[str], date: str | None, key: Sequence[str], n: int = 20
+    df: DataFrame, columns: Sequence[str], date: str | None, key: Sequence[str]
 ) -> DataFrame:
-    """The asked columns and the date, first rows in key order."""
-    ordered = df.orderBy(*[col(k) for k in key]).limit(n)
+    """The asked columns and the date of every row, in key order."""
+    ordered = df.orderBy(*[col(k) for k in key])
     return ordered.select(*[col(c) for c in shown_columns(columns, date)])
 
 
 def asked_columns(df: DataFrame, question: str) -> tuple[list[str], str | None]:
-    columns = matching_names(question, df.columns, numeric_columns(df)[:5])
+    columns = matching_names(question, df.columns, numeric_columns(df))
     return columns, context_date_name(df.columns)
 
 
-def question_context(
-    df: DataFrame, question: str, key: Sequence[str], n: int = 20
-) -> DataFrame:
-    """The rows that bear on a question: its columns, its day, the first rows."""
+def question_context(df: DataFrame, question: str, key: Sequence[str]) -> DataFrame:
+    """The rows that bear on a question: its columns, its day, in key order."""
     columns, date = asked_columns(df, question)
     rows = date_text_filter(df, date, question) if date else df
-    return project_relevant(rows, columns, date, key, n)
+    return project_relevant(rows, columns, date, key)
 
 
-def context_text(df: DataFrame, question: str, key: Sequence[str], n: int = 20) -> DataFrame:
-    """One row of text: the question, the main facts and the relevant rows.
+def context_text(df: DataFrame, question: str, key: Sequence[str]) -> DataFrame:
+    """(part, place, line): the question, the columns, all facts and all rows that bear
+    on it, one line of text each.
 
-    Only the facts of the first five numeric columns and pairs and the first
-    ``n`` rows are joined into the text.
+    Read in the order of part and place, they are the text to answer from. A row's
+    place is its key; other places are numbers, as text.
     """
     numbers, texts = numeric_columns(df), text_columns(df)
     columns, date = asked_columns(df, question)
     shown = shown_columns(columns, date)
     section, key_, stat, value = (F.col(c) for c in ("section", "key", "stat", "value"))
-    figure = F.format_number(value, 2)
+    # A handful of lines made from names.
+    head = df.sparkSession.createDataFrame(
+        [
+            (1, "0", f"question: {question}"),
+            (2, "0", "numeric: " + ", ".join(numbers)),
+            (2, "1", "categorical: " + ", ".join(texts)),
+            (2, "2", "shown: " + ",".join(shown)),
+        ],
+        "part int, place string, line string",
+    )
+    figure = F.round(value, 2).cast("decimal(38,2)").cast("string")
     facts = (
         insights(df)
-        .where(
-            (section == "total")
-            | ((section == "summary") & key_.isin(numbers[:5]))
-            | (section == "correlation")
-        )
+        .where(section.isin("total", "summary", "correlation"))
         .select(
-            F.when(section == "total", 1).when(section == "summary", 2).otherwise(3).alias("part"),
-            "place",
-            "stat",
+            F.lit(3).alias("part"),
+            F.concat_ws(
+                "/",
+                F.when(section == "total", "1").when(section == "summary", "2").otherwise("3"),
+                F.col("place").cast("string"),
+                stat,
+            ).alias("place"),
             F.when(section == "total", F.concat(F.lit("rows: "), value.cast("bigint")))
             .when(section == "summary", F.concat_ws(" ", key_, stat, figure))
             .otherwise(F.concat_ws(" ", key_, F.lit("~"), stat, figure))
@@ -148,28 +157,10 @@ def context_text(df: DataFrame, question: str, key: Sequence[str], n: int = 20)
         )
     )
     rows = date_text_filter(df, date, question) if date else df
-    first = rows.orderBy(*[col(k) for k in key]).limit(n)
     cells = [F.coalesce(col(c).cast("string"), F.lit("")) for c in shown]
-    sample = first.select(
-        F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(key)]).alias("at"),
+    lines = rows.select(
+        F.lit(4).alias("part"),
+        F.concat_ws("/", *[col(k).cast("string") for k in key]).alias("place"),
         F.concat_ws(",", *cells).alias("line"),
     )
-
-    def in_order(*place: str) -> Column:
-        listed = F.array_sort(F.collect_list(F.struct(*place, "line")))
-        return F.array_join(F.transform(listed, lambda x: x["line"]), "\n")
-
-    head = [
-        f"question: {question}",
-        "numeric: " + ", ".join(numbers[:8]),
-        "categorical: " + ", ".join(texts[:5]),
-    ]
-    merged = merge_rows(
-        facts.agg(in_order("part", "place", "stat").alias("facts")),
-        sample.agg(in_order("at").alias("sample")),
-    )
-    return merged.select(
-        F.concat_ws(
-            "\n", F.lit("\n".join(head)), "facts", F.lit(",".join(shown)), "sample"
-        ).alias("text")
-    )
+    return head.unionByName(facts).unionByName(lines)

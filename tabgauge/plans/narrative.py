@@ -92,14 +92,14 @@ def volatility_label(cv: Column) -> Column:
 
 
 def growth_label(change: Column) -> Column:
-    up = grade_above(change, [(20.0, "growing strongly"), (5.0, "growing steadily")], "")
-    down = grade(change, [(-20.0, "declining significantly"), (-5.0, "declining slightly")], "holding steady")
+    up = grade_above(change, [(20.0, "rising fast"), (5.0, "rising")], "")
+    down = grade(change, [(-20.0, "falling fast"), (-5.0, "falling")], "level")
     return F.when(up != "", up).otherwise(down)
 
 
 def concentration_label(share: Column) -> Column:
     return grade_above(
-        share, [(60.0, "dangerously concentrated"), (40.0, "somewhat concentrated")], "well balanced"
+        share, [(60.0, "in one place"), (40.0, "uneven")], "spread out"
     )
 
 

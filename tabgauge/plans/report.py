@@ -64,7 +64,7 @@ def report_sections(
         if texts:
             frames["dashboard_groups"] = first_groups(df, texts[0], numbers[0])
         if len(numbers) > 1:
-            frames["dashboard_correlation"] = corr_matrix(df, first=6)
+            frames["dashboard_correlation"] = corr_matrix(df)
     if "inspector" in sections:
         frames["inspector_columns"] = profile_report(df)
         frames["inspector_complete"] = complete_columns(df)

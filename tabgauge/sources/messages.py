@@ -51,6 +51,6 @@ def chat_export(log: DataFrame, message: str = "message") -> DataFrame:
     text = col(message)
     for old, new in (("<", "&lt;"), (">", "&gt;"), ("\n", "<br>")):
         text = F.replace(text, F.lit(old), F.lit(new))
-    label = F.when(col("role") == "user", "You").otherwise("AI Data Analyst")
+    label = F.when(col("role") == "user", "asked").otherwise("answered")
     kept = [col(c) for c in log.columns if c not in ("role", message)]
     return log.select(*kept, label.alias("role"), text.alias("content"))

@@ -28,19 +28,12 @@ def preview(df: DataFrame, key: Sequence[str], n: int = 15) -> DataFrame:
     return df.orderBy(*[col(k) for k in key]).limit(n)
 
 
-def missing_matrix(df: DataFrame, key: Sequence[str], n: int = 100) -> DataFrame:
-    """(key..., column, missing) of the first n rows; empty if nothing is missing."""
-    rows = preview(df, key, n)
+def missing_matrix(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(key..., column, missing) of every cell, 1 where it is missing."""
     flags = F.array(
         *[
             F.struct(F.lit(c).alias("column"), col(c).isNull().cast("int").alias("missing"))
             for c in df.columns
         ]
     )
-    any_missing = df.agg(
-        F.coalesce(
-            F.bool_or(F.greatest(*[col(c).isNull() for c in df.columns], F.lit(False))),
-            F.lit(False),
-        )
-    ).scalar()
-    return rows.select(*[col(k) for k in key], F.inline(flags)).where(any_missing)
+    return df.select(*[col(k) for k in key], F.inline(flags))

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabgauge.functions.expr import col
+from tabgauge.operators.roles import normalize
 
 WHOLE_TYPES = [
     ("tinyint", -(2**7), 2**7 - 1),
     ("smallint", -(2**15), 2**15 - 1),
     ("int", -(2**31), 2**31 - 1),
 ]
+# Tried in this order when a CSV is read.
+INFERRED_TYPES = ("int", "bigint", "double", "timestamp", "boolean")
+# Texts that common CSV readers take as a missing value; fixed values.
+MISSING_TEXTS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
 # A double is narrowed when no value moves by more than this.
 FLOAT_TOLERANCE = 5e-4
 
@@ -21,21 +29,51 @@ FLOAT_TOLERANCE = 5e-4
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | str | None = None
 ) -> DataFrame | None:
-    """A CSV file or folder with a header; None when it cannot be read.
+    """A CSV file or folder with a header; None when it cannot be found or has no header.
 
-    Types are inferred from the whole input; give a schema to save that pass.
+    The usual texts for a missing value are read as missing before types are inferred
+    from the whole input, in one aggregate over all columns; give a schema to save that
+    pass. What is damaged further in shows when the rows are read.
     """
-    reader = spark.read.option("header", True)
     try:
-        if schema is not None:
-            return reader.schema(schema).csv(path)
-        return reader.option("inferSchema", True).csv(path)
+        texts = spark.read.option("header", True).csv(path)
     except AnalysisException:
         return None
+    cells = {c: F.when(~col(c).isin(MISSING_TEXTS), col(c)) for c in texts.columns}
+    texts = texts.select(*[cell.alias(c) for c, cell in cells.items()])
+    if schema is not None:
+        if isinstance(schema, str):
+            schema = T.StructType.fromDDL(schema)
+        kinds = {f.name: f.dataType.simpleString() for f in schema}
+    else:
+        kinds = infer_types(texts)
+    named = [c for c in texts.columns if c in kinds]
+    return normalize(texts.select(*[col(c).try_cast(kinds[c]).alias(c) for c in named]))
+
+
+def infer_types(texts: DataFrame) -> dict[str, str]:
+    """The first of a few types that all texts of a column fit; string for none."""
+    if not texts.columns:
+        return {}
+    fits = texts.agg(
+        *[
+            F.coalesce(
+                F.bool_and(F.trim(col(c)).try_cast(kind).isNotNull() | col(c).isNull())
+                & (F.count(col(c)) > 0),
+                F.lit(False),
+            ).alias(f"{i}_{kind}")
+            for i, c in enumerate(texts.columns)
+            for kind in INFERRED_TYPES
+        ]
+    ).first()
+    return {
+        c: next((kind for kind in INFERRED_TYPES if fits[f"{i}_{kind}"]), "string")
+        for i, c in enumerate(texts.columns)
+    }
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return normalize(spark.read.parquet(path))
 
 
 def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tabgauge.operators.clean import (
@@ -13,6 +14,7 @@ from tabgauge.operators.clean import (
     fill_mode,
     filled_cells,
     filter_category,
+    require_rows,
     filter_values,
     label_codes,
     remove_all_outliers,
@@ -112,7 +114,7 @@ def test_sequential_removal_matches_pandas_on_given_tables(events):
 
 def test_removed_rows_are_filtered_in_the_scan(events):
     pushed = {
-        "Or(IsNull(value),And(GreaterThanOrEqual(value": remove_outliers(events, "value"),
+        "Or(IsNull(event_id),And(GreaterThanOrEqual(event_id": remove_outliers(events, "event_id"),
         "Or(IsNull(user_id),And(GreaterThanOrEqual(user_id": remove_all_outliers(events),
         "Or(LessThan(value": rows_outlier(events, "value"),
         "GreaterThan(value": rows_above_threshold(events, "value"),
@@ -138,10 +140,14 @@ def test_filters(spark, nulls, orders):
     assert rows_missing(nulls, "s").count() == 3
     assert drop_missing_rows(nulls).count() == 2
     assert [r[0] for r in filter_values(nulls, "s").collect()] == ["x", "y"]
-    assert filter_category(orders, "o_orderstatus", "").count() == orders.count()
+    assert filter_category(orders, "o_orderstatus", "").count() == 0
+    assert filter_category(nulls, "s", "x").count() == 2
+    assert filter_category(nulls, "s", None).count() == 3
+    zeros = spark.createDataFrame([(0,), (1,)], "n int")
+    assert filter_category(zeros, "n", 0).count() == 1
     with pytest.raises(ValueError):
-        filter_category(nulls, "s", "x")
-    assert filter_category(nulls, "s", "x", min_rows=2).count() == 2
+        require_rows(filter_category(nulls, "s", "x"))
+    assert require_rows(nulls, 2).count() == nulls.count()
 
 
 def test_conversions_turn_misfits_into_missing(spark):
@@ -155,11 +161,10 @@ def test_conversions_turn_misfits_into_missing(spark):
         convert_type(dates, "d", "colour")
 
 
-def test_codes_do_not_depend_on_how_the_ranking_is_spread(spark):
+def test_codes_follow_the_value_order(spark):
     df = spark.range(500).select(F.concat(F.lit("v"), F.col("id") % 97).alias("s"))
     one = {r["value"]: r["code"] for r in label_codes(df, "s").collect()}
-    many = {r["value"]: r["code"] for r in label_codes(df, "s", one_task_rows=10).collect()}
-    assert one == many
+    assert sorted(one.values()) == list(range(97))
     assert [v for v, _ in sorted(one.items(), key=lambda x: x[1])] == sorted(one)
     coded = encode_labels(df.unionByName(spark.createDataFrame([(None,)], "s string")), "s")
     assert coded.count() == 501
@@ -182,6 +187,24 @@ def test_edits_update_clear_delete_and_add(spark):
     )
     got = sorted(apply_edits(df, edits, ["k"]).collect())
     assert got == [(1, "z", 1.0), (3, None, 3.0), (9, "n", None)]
+    plan = apply_edits(df, edits, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
+
+
+def test_edits_of_repeated_and_of_null_keys(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "n"), (2, "b")], "k int, s string")
+    edits = spark.createDataFrame(
+        [(1, "first", 1), (1, "last", 2), (None, "null", 3), (5, "new", 4)],
+        "k int, s string, no int",
+    )
+    got = apply_edits(df, edits, ["k"], order="no").collect()
+    assert sorted(map(str, got)) == sorted(
+        map(str, [Row(k=1, s="last"), Row(k=None, s="null"), Row(k=2, s="b"), Row(k=5, s="new")])
+    )
+    with pytest.raises(Exception, match="more than once"):
+        apply_edits(df, edits.drop("no"), ["k"]).collect()
+    unique = edits.where("no > 1").drop("no")
+    assert apply_edits(df, unique, ["k"]).count() == 4
 
 
 def test_fences_of_a_filtered_frame_use_its_rows(events):

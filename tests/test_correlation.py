@@ -42,10 +42,9 @@ def mixed(spark):
     return spark.createDataFrame(rows, "a double, b double, c double, k double, n int")
 
 
-@pytest.mark.parametrize("per_scan", [4, 300])
-def test_pairs_use_rows_where_both_are_present(mixed, per_scan):
+def test_pairs_use_rows_where_both_are_present(mixed):
     want = mixed.toPandas().corr()
-    got = pairs(corr_pairs(mixed, pairs_per_scan=per_scan))
+    got = pairs(corr_pairs(mixed))
     assert len(got) == 10
     for (x, y), r in got.items():
         if "k" in (x, y) or "n" in (x, y):
@@ -79,12 +78,29 @@ def test_square_has_both_sides_and_a_diagonal(mixed):
 def test_strong_pairs(mixed):
     assert pairs(high_corr_pairs(mixed)).keys() == {("a", "b")}
     assert high_corr_pairs(mixed).first()["issue"] == "Very High"
-    assert strong_corr(mixed, first=5).count() == 1
+    assert strong_corr(mixed).count() == 1
     best = strongest_pair(mixed).first()
     assert (best["col1"], best["col2"], best["direction"]) == ("a", "b", "in the same direction")
     assert report_relationship(mixed).first()["relation"] == "strong positive"
 
 
+def test_nan_is_missing_in_correlation(spark):
+    nan = float("nan")
+    rows = [(float(i), float(-i), float(i % 3)) for i in range(30)] + [(nan, 1.0, 2.0), (1.0, None, nan)]
+    df = spark.createDataFrame(rows, "x double, y double, z double")
+    want = df.toPandas().corr()
+    for (x, y), r in pairs(corr_pairs(df)).items():
+        assert r == pytest.approx(want.loc[x, y])
+
+
+def test_wide_tables_take_one_scan_for_all_pairs(spark):
+    df = spark.range(200).selectExpr(*[f"sin(id * {i + 1}) AS c{i}" for i in range(40)])
+    got = pairs(corr_pairs(df))
+    want = df.toPandas().corr()
+    assert len(got) == 780
+    assert all(abs(r - want.loc[x, y]) < 1e-9 for (x, y), r in got.items())
+
+
 def test_single_column_has_no_pairs(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     assert corr_pairs(df).count() == 0
@@ -141,9 +157,9 @@ def test_groups_leave_out_missing_keys(readings):
 def test_hierarchy_totals(spark):
     rows = [(1, "a", "x"), (2, "a", None), (3, "b", "x"), (4, None, "x"), (5, "b", "y")]
     df = spark.createDataFrame(rows, "k int, p string, c string")
-    got = {(r["parent"], r["child"], r["is_total"]): r["n"] for r in hierarchy_counts(df, "p", "c", ["k"], 4).collect()}
+    got = {(r["parent"], r["child"], r["is_total"]): r["n"] for r in hierarchy_counts(df, "p", "c").collect()}
     assert got == {("a", "x", False): 1, ("a", None, False): 1, ("a", None, True): 2,
-                   ("b", "x", False): 1, ("b", None, True): 1}
+                   ("b", "x", False): 1, ("b", "y", False): 1, ("b", None, True): 2}
 
 
 def test_trend_is_per_raw_date_value(spark):

@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tabgauge.functions.expr import broadcast_if_small, merge_rows
+from tabgauge.functions.expr import merge_rows
+from tabgauge.operators.clean import remove_outliers, rows_outlier
 from tabgauge.operators.profile import (
     cardinality,
     categorical_stats,
@@ -123,7 +124,7 @@ def test_profile_sample_takes_the_first_filled_values(spark):
     rows = [(3, "c"), (1, None), (2, "b" * 30), (4, "d"), (5, "e")]
     df = spark.createDataFrame(rows, "k int, s string")
     got = {r["column"]: r for r in profile_report(df, ["k"]).collect()}
-    assert got["s"]["sample"] == "b" * 18 + ", c, d"
+    assert got["s"]["sample"] == "b" * 30 + ", c, d"
     assert got["s"]["quality"] == "Poor" and got["k"]["quality"] == "Excellent"
 
 
@@ -164,9 +165,21 @@ def test_merging_rows_keeps_each_fact(spark):
     assert merge_rows(a, b).first().asDict() == {"x": 1, "y": "q", "z": True}
 
 
-def test_only_small_frames_are_broadcast(spark):
-    df = spark.range(1000).selectExpr("id", "cast(id as string) as s")
-    small = broadcast_if_small(df)._jdf.queryExecution().logical().toString()
-    large = broadcast_if_small(df, limit=100)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in small and "broadcast" not in large
-    assert math.isfinite(len(small))
+def test_nan_is_missing_in_profiles(spark):
+    nan = float("nan")
+    rows = [(float(i), i) for i in range(20)] + [(nan, 20), (500.0, 21), (None, 22)]
+    df = spark.createDataFrame(rows, "x double, k int")
+    clean = spark.createDataFrame([r for r in rows if r[0] == r[0]], "x double, k int")
+    assert describe(df, "x").first() == describe(clean, "x").first()
+    assert rows_outlier(df, "x").count() == 1
+    assert remove_outliers(df, "x").count() == 22
+    assert outlier_cells(df).first()["outliers"] == 1
+
+
+def test_samples_take_a_fixed_number_of_scans(spark):
+    rows = [(3, None, "c" * 30), (1, 5.0, None), (2, 6.0, "b"), (4, 7.0, "d"), (5, 8.0, "e")]
+    df = spark.createDataFrame(rows, "k int, x double, s string")
+    got = {r["column"]: r["sample"] for r in profile_report(df, ["k"]).collect()}
+    assert got == {"k": "1, 2, 3", "x": "5.0, 6.0, 7.0", "s": "b, " + "c" * 30 + ", d"}
+    none = spark.createDataFrame([(1, None)], "k int, x double")
+    assert {r["sample"] for r in profile_report(none, ["k"]).collect()} == {"1", None}

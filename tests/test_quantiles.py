@@ -71,3 +71,11 @@ def test_approximate_quantiles_on_request(spark, sf_dir):
     exact = exact_quantiles(df, ["l_extendedprice"], (0.5,))["l_extendedprice"][0]
     near = exact_quantiles(df, ["l_extendedprice"], (0.5,), accuracy=1000)["l_extendedprice"][0]
     assert near == pytest.approx(exact, rel=0.02)
+
+
+def test_infinities_and_the_largest_double_are_counted(spark):
+    largest = 1.7976931348623157e308
+    rows = [(largest,)] * 30 + [(float("inf"),)] * 31
+    df = spark.createDataFrame(rows, "x double")
+    got = exact_quantiles(df, ["x"], (0.0, 29 / 60, 0.5, 1.0), cells=4, sort_at_once=5)["x"]
+    assert got[0] == largest and got[2] == got[3] == float("inf")
