@@ -6,6 +6,7 @@ from catalog.frames import (
     LABELLED,
     MACHINES,
     UNITS,
+    each,
     fences,
     labelled,
     machines,
@@ -58,6 +59,28 @@ def _multi_trend(spark, sf_dir):
     return multi_trend(table(spark, sf_dir, "lineitem"), "l_shipdate")
 
 
+PART_NUMBERS = ["p_partkey", "p_size", "p_retailprice"]
+
+
+@query(
+    "multi_trend_dateless",
+    each(
+        PART_NUMBERS,
+        """SELECT '{c}' AS "column", CAST(g.i AS INTEGER) AS bin, a + g.i * ((b - a) / 30.0) AS low,
+        a + (g.i + 1) * ((b - a) / 30.0) AS high, coalesce(n, 0) AS n
+        FROM (SELECT CAST(min({c}) AS DOUBLE) AS a, CAST(max({c}) AS DOUBLE) AS b FROM part) AS e,
+        range(30) AS g(i) LEFT JOIN (
+            SELECT CAST(least(floor(({c} - a) / ((b - a) / 30.0)), 29) AS INTEGER) AS bin, count(*) AS n
+            FROM part, (SELECT CAST(min({c}) AS DOUBLE) AS a, CAST(max({c}) AS DOUBLE) AS b FROM part) AS f
+            GROUP BY 1) AS c ON c.bin = g.i""",
+    ),
+    low=4,
+    high=4,
+)
+def _multi_trend_dateless(spark, sf_dir):
+    return multi_trend(table(spark, sf_dir, "part"), None)
+
+
 MEANS = """(SELECT p_brand AS "value", avg(p_retailprice) AS mean FROM part
     WHERE p_brand IS NOT NULL GROUP BY 1)"""
 

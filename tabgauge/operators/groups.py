@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import col, grade
 from tabgauge.functions.rules import ALERT_SHARE, SYSTEM_WIDE
-from tabgauge.operators.profile import value_counts
+from tabgauge.operators.profile import histograms, value_counts
 from tabgauge.operators.quantiles import above, find_fences, number
 from tabgauge.operators.roles import numeric_columns
 
@@ -28,10 +28,13 @@ def trend(df: DataFrame, date: str, metric: str) -> DataFrame:
 
 
 def multi_trend(
-    df: DataFrame, date: str, metrics: Sequence[str] | None = None
+    df: DataFrame, date: str | None, metrics: Sequence[str] | None = None
 ) -> DataFrame:
-    """The trends of the numeric columns, from one grouping."""
+    """The trends of the numeric columns, from one grouping; without a date, their
+    histograms."""
     names = list(metrics or numeric_columns(df))
+    if date is None:
+        return histograms(df, names)
     return (
         df.where(col(date).isNotNull())
         .groupBy(col(date).alias("stamp"))

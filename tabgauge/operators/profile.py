@@ -364,6 +364,44 @@ def histogram(df: DataFrame, name: str, bins: int = 30) -> DataFrame:
     )
 
 
+def histograms(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 30) -> DataFrame:
+    """(column, bin, low, high, n) of each numeric column, all from two scans.
+
+    What to show of a table without a date. Equal-width bins, the last one closed, empty
+    ones included; a column without a value has none.
+    """
+    names = list(columns or numeric_columns(df))
+    schema = "column string, bin int, low double, high double, n bigint"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
+    values = [number(df, c) for c in names]
+    edges = df.agg(
+        *[f(v).alias(f"{t}{i}") for i, v in enumerate(values) for t, f in (("a", F.min), ("b", F.max))]
+    ).first()
+    places, rows = [], []
+    for i, (name, value) in enumerate(zip(names, values)):
+        low, high = edges[f"a{i}"], edges[f"b{i}"]
+        width = 0.0 if low is None else (high - low) / bins
+        at = F.lit(0.0) if not width else F.floor((value - F.lit(low)) / F.lit(width))
+        place = F.least(at.cast("int"), F.lit(bins - 1))
+        places.append(F.when(value.isNotNull(), place))
+        if low is not None:
+            rows += [(i, name, b, low + b * width, low + (b + 1) * width) for b in range(bins)]
+    # One row per column and bin.
+    empty = df.sparkSession.createDataFrame(
+        rows, "position int, column string, bin int, low double, high double"
+    )
+    counted = (
+        unfold(df, places)
+        .where(F.col("value").isNotNull())
+        .groupBy("position", F.col("value").alias("bin"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return empty.join(counted, ["position", "bin"], "left").select(
+        "column", "bin", "low", "high", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+    )
+
+
 def quality_label(missing_pct: Column) -> Column:
     return F.when(missing_pct == 0, "Excellent").otherwise(
         grade(missing_pct, QUALITY_STEPS, "Poor")

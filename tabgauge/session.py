@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,7 @@ def local_session(cores: str = "*", partitions: int = 8, **extra: str) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by the cluster; invent one in local mode only."""
+    """Use the folder named by the cluster; invent one in local mode only, and remove it."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
@@ -37,7 +39,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         context.setCheckpointDir(named)
     elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tabgauge-checkpoint-"))
+        own = tempfile.mkdtemp(prefix="tabgauge-checkpoint-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     else:
         raise RuntimeError(
             "set spark.checkpoint.dir to a folder every executor can reach"

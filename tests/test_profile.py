@@ -16,6 +16,7 @@ from tabgauge.operators.profile import (
     distinct_counts,
     duplicate_stats,
     histogram,
+    histograms,
     missing_cells,
     outlier_cells,
     problem_columns,
@@ -183,3 +184,14 @@ def test_samples_take_a_fixed_number_of_scans(spark):
     assert got == {"k": "1, 2, 3", "x": "5.0, 6.0, 7.0", "s": "b, " + "c" * 30 + ", d"}
     none = spark.createDataFrame([(1, None)], "k int, x double")
     assert {r["sample"] for r in profile_report(none, ["k"]).collect()} == {"1", None}
+
+
+def test_histograms_of_all_columns_agree_with_one_by_one(spark):
+    nan = float("nan")
+    rows = [(float(i % 7), i, 5.0) for i in range(100)] + [(None, None, None), (nan, 3, 5.0)]
+    df = spark.createDataFrame(rows, "x double, k int, c double")
+    got = histograms(df, bins=6)
+    for name in ("x", "k", "c"):
+        one = histogram(df, name, 6).select("bin", "n").collect()
+        assert sorted(got.where(f"column = '{name}'").select("bin", "n").collect()) == sorted(one)
+    assert histograms(spark.createDataFrame([], "x double")).count() == 0
