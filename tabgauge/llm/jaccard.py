@@ -4,7 +4,7 @@ A document's set holds the distinct 64-bit hashes of its ``n``-word shingles. Do
 link when ``100 * intersection >= percent * union``. Documents with equal sets form a
 class; everything after works on one member per class.
 
-Shingles have one global order: frequent ones last, then by hash. Linked sets share a
+Shingles have one global order: the others by hash, then frequent ones, rarest first. Linked sets share a
 shingle among the first ``size - ceil(percent% of size) + 1`` of each (the prefix), so only
 documents that share a prefix shingle can link:
 
@@ -12,18 +12,19 @@ documents that share a prefix shingle can link:
   shingles of a pair are counted; with the sizes they bound its overlap, and most pairs
   end there.
 - A shingle in more prefixes (large groups of near copies, boilerplate) pairs its classes
-  in rounds with a few leaders, and only across components found so far, until one
-  component or no leader is left. No pair of different components goes unseen, and no
-  round makes more than ``LEADERS`` pairs per row.
+  in rounds with a few leaders, one each of the smallest components found so far. A leader
+  has then met all others and leaves; the bucket ends when one component is left. No pair
+  of different components goes unseen, and no round makes more than ``LEADERS`` pairs per
+  row, and fewer in larger buckets.
 
 Candidate pairs are verified by vertical partitioning: the order is cut into fragments by
 hash, the overlap of each fragment is counted by itself, and the counts are summed per
 pair. Links are contracted to components by hooking and pointer jumping.
 
-"Frequent" is decided from counts over all documents: shingles seen at least
-``SEEN`` times in a chunk, summed over chunks, reaching ``FREQUENT``. At most ``MOST_FREQUENT``
-of them, the most frequent, are broadcast. Any choice gives the same links; it only
-decides which shingles are compared first.
+"Frequent" is decided from counts over all documents: shingles of at least ``SEEN`` sets
+of a chunk, summed over chunks, reaching ``FREQUENT``. At most ``MOST_FREQUENT`` of them, the
+most frequent, are broadcast. Any choice gives the same links; it only decides which
+shingles are compared first.
 
 Defined results: white space and A-Z case are as in the contract; a null or blank text has
 an empty set, links with nothing and is its own component; a text with fewer words than
@@ -34,6 +35,8 @@ empty result.
 
 from __future__ import annotations
 
+import hashlib
+import struct
 import sys
 from collections.abc import Iterator
 
@@ -51,13 +54,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 4
 PERCENT = 85
-BUCKET = 32
-LEADERS = 4
+BUCKET = 64
+# Leaders of a bucket per round: 2 at least, so that they meet about this many members.
+LEADERS = 64
+MEETINGS = 16_384
 FRAGMENTS = 8
-SEEN = 3
-FREQUENT = 32
+SEEN = 2
+FREQUENT = 8
 MOST_FREQUENT = 1_000_000
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
+COUNTED_SHINGLES = 3_000_000
 U = np.uint64
 MIXERS = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
@@ -124,8 +130,8 @@ def sets_of(part: pa.RecordBatch, at: int, words: int, scale: Scale):
 
 def set_digest(own: np.ndarray) -> tuple[int, int]:
     """128 bits that depend on the set only."""
-    a, b = mix(own + MIXERS[0]).sum(), mix(own ^ MIXERS[2]).sum()
-    return int(a.astype(np.int64)), int(b.astype(np.int64))
+    digest = hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+    return struct.unpack("<qq", digest)
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -137,40 +143,60 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def frequent(rows: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of frequent shingles, from all documents."""
+def frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of frequent shingles and their ranks, rarest first, from all documents."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = Scale(0)
+        # Copies within a chunk count once.
+        own: dict[tuple[int, int], np.ndarray] = {}
+        held = 0
+
+        def counted() -> pa.RecordBatch:
+            every = np.sort(np.concatenate([*own.values(), np.zeros(0, np.uint64)]))
+            first = np.flatnonzero(np.concatenate([every[:1] == every[:1], every[1:] != every[:-1]]))
+            n = np.diff(np.concatenate([first, [len(every)]]))
+            keep = n >= SEEN
+            return pa.RecordBatch.from_arrays(
+                [signed(every[first[keep]]), pa.array(n[keep], pa.int64())], ["shingle", "n"]
+            )
+
         for part in parts:
             for _, _, sets in sets_of(part, 0, words, scale):
-                # Copies within a chunk count once.
-                own = {set_digest(s): s for s in sets if len(s)}
-                if not own:
-                    continue
-                found, n = np.unique(np.concatenate(list(own.values())), return_counts=True)
-                keep = n >= SEEN
-                yield pa.RecordBatch.from_arrays(
-                    [signed(found[keep]), pa.array(n[keep], pa.int64())], ["shingle", "n"]
-                )
+                for s in sets:
+                    if len(s):
+                        own[set_digest(s)] = s
+                        held += len(s)
+                if held >= COUNTED_SHINGLES:
+                    yield counted()
+                    own, held = {}, 0
+        yield counted()
 
     counts = rows.select("text").mapInArrow(run, "shingle bigint, n bigint")
     total = counts.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = total.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).select("shingle")
-    found = top.toArrow().column(0).to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    top = total.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    found = top.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    counts = top.column("n").to_numpy().astype(np.int64)
+    order = np.argsort(found)
+    found, counts = found[order], counts[order]
+    ranks = np.empty(len(found), np.int64)
+    ranks[np.lexsort((found, counts))] = np.arange(len(found))
+    return found, ranks
 
 
 def prefix_size(n: np.ndarray | int, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def describe(rows: DataFrame, words: int, percent: int, hot: np.ndarray) -> DataFrame:
+def describe(
+    rows: DataFrame, words: int, percent: int, hot: tuple[np.ndarray, np.ndarray]
+) -> DataFrame:
     """(id, mark, n, d1, d2, prefix) of each document."""
-    held = rows.sparkSession.sparkContext.broadcast(hot.tobytes())
+    held = rows.sparkSession.sparkContext.broadcast(tuple(a.tobytes() for a in hot))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale, often = Scale(0), np.frombuffer(held.value, np.uint64)
+        scale, (often, ranks) = Scale(0), held.value
+        often, ranks = np.frombuffer(often, np.uint64), np.frombuffer(ranks, np.int64)
         for part in parts:
             for first, last, sets in sets_of(part, 2, words, scale):
                 prefixes = []
@@ -179,7 +205,8 @@ def describe(rows: DataFrame, words: int, percent: int, hot: np.ndarray) -> Data
                     if len(own) and len(often):
                         at = np.minimum(np.searchsorted(often, own), len(often) - 1)
                         is_hot = often[at] == own
-                        own = np.concatenate([own[~is_hot], own[is_hot]])
+                        by_rank = np.argsort(ranks[at[is_hot]])
+                        own = np.concatenate([own[~is_hot], own[is_hot][by_rank]])
                     prefixes.append(own[:size].view(np.int64))
                 digests = [set_digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -309,44 +336,57 @@ def prefix_column(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + 1
 
 
+def joined(whole: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (k, component) after some more links."""
+    ends = links.select(F.col("a").alias("k")).union(links.select(F.col("b").alias("k")))
+    new = ends.distinct().join(whole, "k", "left_anti")
+    whole = saved(whole.union(new.select("k", F.col("k").alias("component"))))
+    a, b = whole.toDF("a", "ca"), whole.toDF("b", "cb")
+    moved = links.join(a, "a").join(b, "b").where("ca <> cb")
+    step = components(moved.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return saved(
+        whole.join(step.toDF("component", "to"), "component", "left").select(
+            "k", F.coalesce("to", "component").alias("component")
+        )
+    )
+
+
 def large_buckets(
     shared: DataFrame,
-    links: DataFrame,
+    whole: DataFrame,
     cut_for,
     percent: int,
     bucket: int,
 ) -> DataFrame:
-    """All links, after pairing the classes of large buckets across components."""
-    large = saved(shared.where(F.col("held") > bucket).select("shingle", "k", "n"))
-    if not large.limit(1).count():
-        return links
-    cut = cut_for(large.select("k").distinct())
+    """The components, after pairing the classes of large buckets across components."""
+    rows = saved(shared.where(F.col("held") > bucket).select("shingle", "k", "n"))
+    if not rows.limit(1).count():
+        return whole
+    cut = cut_for(rows.select("k").distinct())
     c = F.col
-    rows = large.withColumn("led", F.lit(False))
-    seen = None
+    tried = None
     while True:
-        linked = components(links)
-        now = rows.join(linked, "k", "left").select(
-            "shingle", "k", "n", "led", F.coalesce("component", "k").alias("own")
+        now = rows.join(whole, "k", "left").select(
+            "shingle", "k", "n", F.coalesce("component", "k").alias("own")
         )
-        # Done: buckets in one component, or with nobody left to lead.
-        state = now.groupBy("shingle").agg(
-            F.min("own").alias("low"),
-            F.max("own").alias("high"),
-            F.min(F.when(~c("led"), c("own"))).alias("open"),
-        )
-        alive = state.where((c("low") != c("high")) & c("open").isNotNull()).select("shingle")
-        now = saved(now.join(alive, "shingle"))
+        state = now.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high"))
+        now = saved(now.join(state.where("low <> high").select("shingle"), "shingle"))
         if not now.limit(1).count():
-            return links
-        turn = Window.partitionBy("shingle").orderBy(F.xxhash64("own", "shingle"), "k")
-        leaders = (
-            now.where("not led")
+            return whole
+        # One of each component, the smallest ones first, then a second of each, and so on;
+        # the rest of a bucket at once when it has become small.
+        kin = Window.partitionBy("shingle", "own")
+        turn = Window.partitionBy("shingle").orderBy("nth", "size", "own", "k")
+        rest = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+        lead = F.greatest(F.lit(2), F.least(F.lit(LEADERS), F.floor(F.lit(MEETINGS) / c("rest"))))
+        leaders = saved(
+            now.withColumn("nth", F.row_number().over(kin.orderBy("k")))
+            .withColumn("size", F.count(F.lit(1)).over(kin))
+            .withColumn("rest", rest)
             .withColumn("place", F.row_number().over(turn))
-            .where(c("place") <= LEADERS)
+            .where((c("place") <= lead) | (c("rest") <= bucket))
             .select("shingle", c("k").alias("leader"), c("n").alias("nl"), c("own").alias("lead"))
         )
-        leaders = saved(leaders)
         met = now.join(leaders, "shingle").where(
             (c("own") != c("lead")) & comparable(c("n"), c("nl"), percent)
         )
@@ -356,17 +396,16 @@ def large_buckets(
             F.when(c("k") < c("leader"), c("n")).otherwise(c("nl")).alias("na"),
             F.when(c("k") < c("leader"), c("nl")).otherwise(c("n")).alias("nb"),
         ).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs)
-        tried = pairs.select("a", "b")
-        seen = tried if seen is None else seen.union(tried)
-        links = saved(links.union(verify(pairs, cut, percent)))
-        done = leaders.select("shingle", c("leader").alias("k"), F.lit(True).alias("leads"))
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        links = saved(verify(pairs, cut, percent))
+        if links.limit(1).count():
+            whole = joined(whole, links)
         rows = saved(
-            now.join(done, ["shingle", "k"], "left").select(
-                "shingle", "k", "n", (c("led") | F.coalesce("leads", F.lit(False))).alias("led")
-            )
+            now.join(leaders.select("shingle", c("leader").alias("k")), ["shingle", "k"], "left_anti")
+            .select("shingle", "k", "n")
         )
 
 
@@ -406,10 +445,10 @@ def near_components(
 
     pairs = saved(small_buckets(shared, classes, percent, bucket))
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k")))
-    links = saved(verify(pairs, cut_for(ends.distinct()), percent))
-    links = large_buckets(shared, links, cut_for, percent, bucket)
+    links = verify(pairs, cut_for(ends.distinct()), percent)
+    whole = large_buckets(shared, components(links), cut_for, percent, bucket)
     own = F.struct("id", "mark")
-    linked = components(links).join(classes.select("k", own.alias("own")), "k")
+    linked = whole.join(classes.select("k", own.alias("own")), "k")
     lowest = linked.groupBy("component").agg(F.min("own").alias("lowest"))
     by_class = linked.join(lowest, "component").select("k", "lowest")
     of_class = classes.join(by_class, "k", "left").select(

@@ -94,7 +94,8 @@ class Scale:
 
     def take(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > self.n:
-            self.n = n
+            # In steps, so that slightly longer strings do not compute all anew.
+            self.n = n = max(1 << 12, 1 << (n - 1).bit_length())
             self.up, self.down = powers(self.base, n), powers(inverse(self.base), n)
         return self.up, self.down
 

@@ -235,7 +235,7 @@ def test_archives(spark, folder):
         (8, 200_000, digest("x" * 200_000), "response", None),
         (9, 4, digest("same"), "response", None),
         (9, 4, digest("same"), "revisit", 9),
-        (None, 42, digest("WARC/1.1\r\n\r\n" * 3), "response", None),
+        (None, 36, digest("WARC/1.1\r\n\r\n" * 3), "response", None),
     ]
     payloads = {bytes(r.response.payload) for r in nested.where("response.type = 'response'").collect()}
     assert payloads == {(r[2] or "").encode() for r in rows}
