@@ -359,7 +359,9 @@ def large_buckets(
     bucket: int,
 ) -> DataFrame:
     """The components, after pairing the classes of large buckets across components."""
-    rows = saved(shared.where(F.col("held") > bucket).select("shingle", "k", "n"))
+    many = F.count(F.lit(1)).over(Window.partitionBy("k"))
+    large = shared.where(F.col("held") > bucket).withColumn("many", many)
+    rows = saved(large.select("shingle", "k", "n", "many"))
     if not rows.limit(1).count():
         return whole
     cut = cut_for(rows.select("k").distinct())
@@ -367,20 +369,21 @@ def large_buckets(
     tried = None
     while True:
         now = rows.join(whole, "k", "left").select(
-            "shingle", "k", "n", F.coalesce("component", "k").alias("own")
+            "shingle", "k", "n", "many", F.coalesce("component", "k").alias("own")
         )
         state = now.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high"))
         now = saved(now.join(state.where("low <> high").select("shingle"), "shingle"))
         if not now.limit(1).count():
             return whole
         # One of each component, the smallest ones first, then a second of each, and so on;
-        # the rest of a bucket at once when it has become small.
+        # the rest of a bucket at once when it has become small. Those in most large buckets
+        # lead: the text that near copies were made from has the most in common with them.
         kin = Window.partitionBy("shingle", "own")
-        turn = Window.partitionBy("shingle").orderBy("nth", "size", "own", "k")
+        turn = Window.partitionBy("shingle").orderBy("nth", "size", F.desc("many"), "own", "k")
         rest = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
         lead = F.greatest(F.lit(2), F.least(F.lit(LEADERS), F.floor(F.lit(MEETINGS) / c("rest"))))
         leaders = saved(
-            now.withColumn("nth", F.row_number().over(kin.orderBy("k")))
+            now.withColumn("nth", F.row_number().over(kin.orderBy(F.desc("many"), "k")))
             .withColumn("size", F.count(F.lit(1)).over(kin))
             .withColumn("rest", rest)
             .withColumn("place", F.row_number().over(turn))
@@ -405,7 +408,7 @@ def large_buckets(
             whole = joined(whole, links)
         rows = saved(
             now.join(leaders.select("shingle", c("leader").alias("k")), ["shingle", "k"], "left_anti")
-            .select("shingle", "k", "n")
+            .select("shingle", "k", "n", "many")
         )
 
 
