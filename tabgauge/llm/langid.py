@@ -4,8 +4,15 @@ A text becomes the counts of its character n-grams (1 to 3 letters of lower-case
 with the word's edges), hashed to ``DIMS`` places, weighted by TF-IDF with damped counts
 and brought to length 1. Each language has a few centroids, found by spherical k-means
 within the language. A text gets the language of the centroid of largest cosine; the
-cosine is the score. A text farther than ``FARTHEST`` from every centroid (1 - cosine) is
-marked as rejected.
+cosine is the score. A text farther (1 - cosine) from that centroid than its limit is marked
+as rejected. A text with few different n-grams is far from any centroid, so each centroid
+has a limit per band of richness, the binary logarithm of the number of places a text fills:
+``SLACK`` times the ``QUANTILE`` of the distances that fitted rows of the band have to the
+nearest centroid of their language, each left out of its own centroid. Fewer than ``LEAST``
+such rows make way for those of the whole language, then for all rows of the band, then for
+the limit of the band below. No limit is above ``FARTHEST``, which also stands where no
+fitted rows tell, or below ``CLOSEST``: a text half in one known language and half in
+another is nearer than that.
 
 The model is fitted on a bounded sample: about ``SAMPLE`` labelled rows, spread evenly
 over the languages, chosen by a hash of their ids. Everything else reads every row and
@@ -40,6 +47,11 @@ SAMPLE = 4000
 CENTROIDS = 4
 ROUNDS = 10
 FARTHEST = 0.95
+CLOSEST = 0.6
+QUANTILE = 0.99
+SLACK = 1.25
+LEAST = 50
+BANDS = 13  # of 1 to DIMS places
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 20
 BATCH_ROWS = 512
@@ -50,6 +62,7 @@ class Model(NamedTuple):
     langs: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray
+    limits: np.ndarray  # the farthest distance, of each centroid and band
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +135,44 @@ def cluster(rows: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
+def bands(counts: np.ndarray) -> np.ndarray:
+    """The band of richness of each row."""
+    places = np.maximum(1, (counts > 0).sum(1))
+    return np.floor(np.log2(places)).astype(np.int64)
+
+
+def left_out(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row and its distance, the row left out of its own centre."""
+    cosine = rows @ centres.T
+    own = np.argmax(cosine, axis=1)
+    sums = np.zeros_like(centres)
+    np.add.at(sums, own, rows)
+    alone = np.bincount(own, minlength=len(centres))[own] < 2
+    others = (unit(sums[own] - rows) * rows).sum(1)
+    cosine[np.arange(len(rows)), own] = np.where(alone, 0, others)
+    nearest = np.argmax(cosine, axis=1)
+    return nearest, 1 - cosine[np.arange(len(rows)), nearest]
+
+
+def limits(
+    langs: list[str], nearest: np.ndarray, band: np.ndarray, far: np.ndarray, farthest: float
+) -> np.ndarray:
+    """The farthest distance of each centroid and band, from the fitted rows' own."""
+    names = np.array(langs)
+    out = np.full((len(langs), BANDS), farthest)
+    for c, name in enumerate(langs):
+        for b in range(BANDS):
+            here = band == b
+            for some in (here & (nearest == c), here & (names[nearest] == name), here):
+                if some.sum() >= LEAST:
+                    most = max(CLOSEST, SLACK * np.quantile(far[some], QUANTILE))
+                    out[c, b] = min(farthest, most)
+                    break
+            else:
+                out[c, b] = out[c, b - 1] if b else farthest
+    return out
+
+
 def sample_rows(labelled: DataFrame, id_col: str, lang_col: str, size: int) -> DataFrame:
     """About ``size`` rows, as many of each language, by a hash of the id."""
     counts = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n"))
@@ -140,8 +191,9 @@ def fit(
     size: int = SAMPLE,
     centroids: int = CENTROIDS,
     rounds: int = ROUNDS,
+    farthest: float = FARTHEST,
 ) -> Model:
-    """Learn idf and centroids from a bounded sample of rows with text and language.
+    """Learn idf, centroids and their limits from a bounded sample of rows with text and language.
 
     The sample's count vectors (``size`` x ``DIMS`` small integers) come to the driver;
     the number of languages is taken to be far below ``size``.
@@ -173,44 +225,62 @@ def fit(
     )
     found.sort(key=lambda r: (r.lang, bytes(r.counts)))
     if not found:
-        return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32))
+        return Model([], np.ones(DIMS), np.zeros((0, DIMS), np.float32), np.zeros((0, BANDS)))
     counts = np.stack(
         [np.frombuffer(bytes(r.counts), f"<u{r.wide}").astype(np.float32) for r in found]
     )
+    return learn(counts, np.array([r.lang for r in found]), centroids, rounds, farthest)
+
+
+def learn(
+    counts: np.ndarray, lang: np.ndarray, centroids: int, rounds: int, farthest: float
+) -> Model:
+    """The model of count vectors and their languages."""
     seen = (counts > 0).sum(0)
-    idf = np.log((1 + len(found)) / (1 + seen)) + 0.1
+    idf = np.log((1 + len(counts)) / (1 + seen)) + 0.1
     rows = vectors(counts, idf.astype(np.float32))
-    lang = np.array([r.lang for r in found])
+    nearest, far = np.zeros(len(rows), np.int64), np.zeros(len(rows))
     langs, centres = [], []
     for name in sorted(set(lang.tolist())):
-        own = cluster(rows[lang == name], centroids, rounds)
+        mine = lang == name
+        own = cluster(rows[mine], centroids, rounds)
+        at, far[mine] = left_out(rows[mine], own)
+        nearest[mine] = at + len(langs)
         langs += [name] * len(own)
         centres.append(own)
-    return Model(langs, idf.astype(np.float32), np.concatenate(centres).astype(np.float32))
+    return Model(
+        langs,
+        idf.astype(np.float32),
+        np.concatenate(centres).astype(np.float32),
+        limits(langs, nearest, bands(counts), far, farthest),
+    )
 
 
-def classify(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
+def classify(model: Model, texts: list[str]) -> tuple[list[str], list[float], list[bool]]:
+    """The language of each text, its score, and whether it is rejected."""
     counts, letters = grams(texts)
     if not model.langs:
-        return [UNKNOWN] * len(texts), [0.0] * len(texts)
+        return [UNKNOWN] * len(texts), [0.0] * len(texts), [True] * len(texts)
     cosine = vectors(counts.astype(np.float32), model.idf) @ model.centroids.T
     best = np.argmax(cosine, axis=1)
     score = np.clip(cosine[np.arange(len(texts)), best], 0.0, 1.0).astype(float)
     score = np.round(np.where(letters, score, 0.0), 6)
+    gone = ~letters | (score < 1 - model.limits[best, bands(counts)])
     names = [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters)]
-    return names, score.tolist()
-
-
-def rejected(lang: Column, score: Column, farthest: float = FARTHEST) -> Column:
-    return (lang == UNKNOWN) | (score < 1 - farthest)
+    return names, score.tolist(), gone.tolist()
 
 
 def predict(
-    docs: DataFrame, model: Model, text_col: str = "text", names=("lang_pred", "score")
+    docs: DataFrame,
+    model: Model,
+    text_col: str = "text",
+    names=("lang_pred", "score", "rejected"),
 ) -> DataFrame:
-    """The documents with their language and its score; columns so named are replaced."""
+    """The documents with their language, its score and whether they are rejected.
+
+    Columns so named are replaced."""
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
-    lang_name, score_name = names
+    lang_name, score_name, gone_name = names
     kept = docs.drop(*names)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,15 +289,19 @@ def predict(
             at = part.schema.get_field_index(text_col)
             texts = [t or "" for t in part.column(at).to_pylist()]
             for some in slices(texts):
-                langs, score = classify(own, texts[some])
+                langs, score, gone = classify(own, texts[some])
+                found = [
+                    pa.array(langs, pa.string()),
+                    pa.array(score, pa.float64()),
+                    pa.array(gone, pa.bool_()),
+                ]
                 rows = part.slice(some.start, some.stop - some.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                    [*part.schema.names, lang_name, score_name],
+                    [*rows.columns, *found], [*part.schema.names, *names]
                 )
 
     typed = kept.withColumns(
-        {lang_name: F.lit("").cast("string"), score_name: F.lit(0.0)}
+        {lang_name: F.lit("").cast("string"), score_name: F.lit(0.0), gone_name: F.lit(False)}
     )
     return kept.mapInArrow(run, typed.schema)
 
@@ -253,11 +327,7 @@ def identify(
         col(text_col).cast("string").alias("text"),
     )
     return predict(rows, model, "text").select(
-        F.col("id").alias(id_col),
-        "held_out",
-        "lang_pred",
-        "score",
-        rejected(F.col("lang_pred"), F.col("score")).alias("rejected"),
+        F.col("id").alias(id_col), "held_out", "lang_pred", "score", "rejected"
     )
 
 
@@ -266,12 +336,10 @@ def keep_known(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    farthest: float = FARTHEST,
     **options,
 ) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **options)
     marked = docs.withColumns({"__text": col(text_col).cast("string")})
-    found = predict(marked, model, "__text", ("__lang", "__score"))
-    kept = ~rejected(F.col("__lang"), F.col("__score"), farthest)
-    return found.where(kept).select(*[col(c) for c in docs.columns])
+    found = predict(marked, model, "__text", ("__lang", "__score", "__rejected"))
+    return found.where(~F.col("__rejected")).select(*[col(c) for c in docs.columns])

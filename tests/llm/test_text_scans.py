@@ -200,3 +200,29 @@ def test_language_odd(odd, odd_rows, nothing):
     assert kept.columns == odd.columns and kept.where("doc_id in (3, 4, 5)").count() == 0
     assert kept.where("doc_id = 8").count() == 1
     assert langid.keep_known(nothing).count() == 0
+
+
+def unseen(seed, letters, words):
+    """Words made up of letters, as an unknown language or as junk."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice(letters) for _ in range(rnd.randint(2, 9)))
+    known = [word() for _ in range(300)]
+    return " ".join(rnd.choice(known) for _ in range(words))
+
+
+def test_language_rejects_the_unseen(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    clean = langid.predict(docs.where(langid.held_out()), model).where("lang_pred <> 'und'")
+    assert clean.where("rejected").count() <= 0.01 * clean.count()
+    polish, cyrillic = "abcdefghijklmnoprstuwyząęłśćżź", "абвгдежзийклмнопрстуфхцчшщыэюя"
+    texts = [
+        unseen(seed, letters, words)
+        for letters in (polish, cyrillic, "abcdefghijklmnopqrstuvwxyz", "qwrtpsdfghjklzxcvbnm")
+        for words in (150, 1500)
+        for seed in range(10)
+    ]
+    strange = make(spark, [(i, t) for i, t in enumerate(texts)]).select(docs.columns)
+    kept = langid.keep_known(docs.union(strange))
+    assert kept.where(F.col("text").isin(texts)).count() == 0
+    assert kept.count() >= 0.99 * docs.count()
