@@ -250,7 +250,8 @@ def fragments(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                     ["k", "fragment", "shingles"],
                 )
 
-    one = rows.join(wanted, ["id", "mark"]).select("k", "text")
+    # Repeated rows have equal ids and marks; the fragments of one of them count.
+    one = rows.join(wanted, ["id", "mark"]).dropDuplicates(["id", "mark"]).select("k", "text")
     return one.mapInArrow(run, "k bigint, fragment int, shingles array<bigint>")
 
 

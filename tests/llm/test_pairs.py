@@ -167,6 +167,28 @@ def test_components(spark, seed, bucket):
         assert (got[i].n_shingles, got[i].component_id) == (len(sets[i]), want[i]), texts[i]
 
 
+@pytest.mark.parametrize("bucket", [32, 1])
+def test_components_of_repeated_rows(spark, bucket):
+    """Near documents that do not link, given as repeated rows and as copies without an id."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(12):
+        base = [f"v{i}x{k}" for k in range(60)]
+        other = list(base)
+        for k in rnd.sample(range(60), 1 + i % 3):
+            other[k] = f"z{i}x{k}"
+        rows += [(2 * i, " ".join(base))] * 2 + [(2 * i + 1, " ".join(other))] * (1 + i % 2)
+    rows += [(None, " ".join(f"v0x{k}" for k in range(8, 60)))] * 3
+    want, _ = linked([t for _, t in rows], 4, 85)
+    lowest = [rows[w][0] for w in want]
+    assert len(set(lowest)) > 13
+    got = jaccard.jaccard_join(make(spark, rows), bucket=bucket).collect()
+    # A component is named by its smallest id, a null one by none but itself.
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter(
+        (i, c) for (i, _), c in zip(rows, lowest)
+    )
+
+
 def test_drop_near_copies(spark):
     texts = near_texts(8)
     docs = make(spark, [(i, t) for i, t in enumerate(texts)])
