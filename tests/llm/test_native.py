@@ -4,7 +4,7 @@ import hashlib
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from corpus_helpers import make
@@ -195,3 +195,44 @@ def test_simhash_odd(odd, odd_rows, nothing):
     assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert simhash.simhash(nothing).count() == 0
     assert simhash.simhash(odd.where("doc_id = 9")).first().near_next == 1.0
+
+
+def terms(text):
+    words = re.split(r"[\x20\x09-\x0D]+", text)
+    return Counter(zip(words, words[1:] + [None]))
+
+
+def cosine(a, b):
+    length = lambda t: math.sqrt(sum(n * n for n in t.values()))
+    return sum(n * b[t] for t, n in a.items()) / (length(a) * length(b))
+
+
+def test_simhash_finds_near_copies(spark):
+    """Of the pairs of a cosine of 0.95 or more, nine of ten are within the radius."""
+    rnd = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(40):
+        base = [rnd.choice(vocabulary) for _ in range(100)]
+        texts.append(" ".join(base))
+        for changes in (1, 1, 2, 2):
+            own = list(base)
+            for k in rnd.sample(range(100), changes):
+                own[k] = rnd.choice(vocabulary)
+            texts.append(" ".join(own))
+    docs = make(spark, [(i, t) for i, t in enumerate(texts)])
+    got = rows_of(simhash.simhash(docs, every=1))
+    bits = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    far = lambda i, j: (bits[i] ^ bits[j]).bit_count()
+    for r in got:
+        assert r["n_within"] == sum(far(r["doc_id"], j) <= simhash.NEAR_RADIUS for j in bits)
+    sets = [terms(t) for t in texts]
+    near = [
+        (i, j)
+        for i in range(len(texts))
+        for j in range(i)
+        if cosine(sets[i], sets[j]) >= simhash.NEAR_COSINE
+    ]
+    found = (sum(r["n_within"] for r in got) - len(texts)) / 2
+    within = sum(far(i, j) <= simhash.NEAR_RADIUS for i, j in near)
+    assert len(near) > 200 and within >= 0.9 * len(near) and found >= within
