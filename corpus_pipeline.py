@@ -8,7 +8,7 @@ before the next one reads it. All but the last return the columns of ``documents
 3. ngram_jaccard: of documents linked by five-word shingles at a similarity of 0.8,
    one per group stays.
 4. mixing: documents are repeated or dropped so that sources meet their target weights.
-5. bpe: each document with its token ids.
+5. bpe: each document with its token ids, and the SHA-256 of the text decoded from them.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), decode=True)
 
 
 STAGES = [

@@ -315,9 +315,11 @@ def encode(
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer: str, text_col: str = "text"
+    docs: DataFrame, tokenizer: str, text_col: str = "text", decode: bool = False
 ) -> DataFrame:
-    """The documents with their own columns and one more, ``token_ids``."""
+    """The documents with their own columns and one more, ``token_ids``.
+
+    ``decode=True`` also decodes the ids and adds the decoded text's ``decoded_sha256``."""
     held = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,15 +327,19 @@ def encode_documents(
         for part in parts:
             texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
             for some in batches(texts):
-                lists = [
-                    np.frombuffer(i, "<u4").astype(np.int32) for i in bpe.encode_batch(texts[some])
-                ]
+                ids = bpe.encode_batch(texts[some])
+                lists = [np.frombuffer(i, "<u4").astype(np.int32) for i in ids]
+                out = [pa.array(lists, pa.list_(pa.int32()))]
+                if decode:
+                    raw = [bpe.decode(i).encode("utf-8", "replace") for i in ids]
+                    out.append(pa.array([hashlib.sha256(d).hexdigest() for d in raw]))
                 rows = part.slice(some.start, some.stop - some.start)
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(lists, pa.list_(pa.int32()))],
-                    [*part.schema.names, "token_ids"],
+                    [*rows.columns, *out], [*part.schema.names, *added]
                 )
 
-    kept = docs.drop("token_ids")
-    schema = kept.withColumn("token_ids", F.array().cast("array<int>")).schema
+    added = ["token_ids", "decoded_sha256"] if decode else ["token_ids"]
+    kept = docs.drop(*added)
+    typed = {"token_ids": F.array().cast("array<int>"), "decoded_sha256": F.lit("").cast("string")}
+    schema = kept.withColumns({name: typed[name] for name in added}).schema
     return kept.mapInArrow(run, schema)

@@ -135,6 +135,19 @@ def test_bpe_odd(odd, odd_rows, nothing):
     assert kept.where("doc_id = 5").first().token_ids == []
 
 
+def test_pipeline_decodes(spark, odd):
+    import corpus_pipeline
+
+    docs = odd.union(make(spark, spread(odd_texts()[:40])))
+    got = corpus_pipeline.bpe_tokens(spark, docs, "")
+    assert got.columns == [*docs.columns, "token_ids", "decoded_sha256"]
+    library = Tokenizer.from_file(FILE)
+    for r in got.collect():
+        text = library.decode(r.token_ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert text == (r.text or "")
+
+
 @pytest.fixture
 def cache():
     path = tempfile.mkdtemp(prefix="token-cache-")
