@@ -14,9 +14,9 @@ the limit of the band below. No limit is above ``FARTHEST``, which also stands w
 fitted rows tell, or below ``CLOSEST``: a text half in one known language and half in
 another is nearer than that.
 
-The model is fitted on a bounded sample: about ``SAMPLE`` labelled rows, spread evenly
-over the languages, chosen by a hash of their ids. Everything else reads every row and
-the whole of every text.
+Document frequencies come from all labelled rows to learn from. Centroids and limits are
+fitted on a bounded sample: about ``SAMPLE`` of these rows, spread evenly over the languages,
+chosen by a hash of their ids. Everything else reads every row and the whole of every text.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is
 rejected; ties go to the first centroid, languages in code-point order; with no labelled
@@ -183,6 +183,28 @@ def sample_rows(labelled: DataFrame, id_col: str, lang_col: str, size: int) -> D
     )
 
 
+def presence(labelled: DataFrame, text_col: str) -> tuple[int, np.ndarray]:
+    """The number of rows with a letter, and of those that fill each place; all rows count."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, seen = 0, np.zeros(DIMS, np.int64)
+        for part in parts:
+            texts = part.column(0).to_pylist()
+            for some in slices(texts):
+                counts, letters = grams(texts[some])
+                n += int(letters.sum())
+                seen += (counts[letters] > 0).sum(0)
+        # Place -1 stands for the rows.
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(-1, DIMS), pa.int32()), pa.array([n, *seen.tolist()], pa.int64())],
+            ["place", "n"],
+        )
+
+    found = labelled.select(col(text_col)).mapInArrow(run, "place int, n bigint")
+    sums = dict(found.groupBy("place").agg(F.sum("n")).collect())
+    return sums.get(-1, 0), np.array([sums.get(p, 0) for p in range(DIMS)], np.int64)
+
+
 def fit(
     labelled: DataFrame,
     id_col: str = "doc_id",
@@ -193,7 +215,8 @@ def fit(
     rounds: int = ROUNDS,
     farthest: float = FARTHEST,
 ) -> Model:
-    """Learn idf, centroids and their limits from a bounded sample of rows with text and language.
+    """Learn idf from all rows with text and language, and centroids and their limits from a
+    bounded sample of them.
 
     The sample's count vectors (``size`` x ``DIMS`` small integers) come to the driver;
     the number of languages is taken to be far below ``size``.
@@ -229,16 +252,21 @@ def fit(
     counts = np.stack(
         [np.frombuffer(bytes(r.counts), f"<u{r.wide}").astype(np.float32) for r in found]
     )
-    return learn(counts, np.array([r.lang for r in found]), centroids, rounds, farthest)
+    n, seen = presence(rows, text_col)
+    idf = (np.log((1 + n) / (1 + seen)) + 0.1).astype(np.float32)
+    return learn(counts, np.array([r.lang for r in found]), idf, centroids, rounds, farthest)
 
 
 def learn(
-    counts: np.ndarray, lang: np.ndarray, centroids: int, rounds: int, farthest: float
+    counts: np.ndarray,
+    lang: np.ndarray,
+    idf: np.ndarray,
+    centroids: int,
+    rounds: int,
+    farthest: float,
 ) -> Model:
-    """The model of count vectors and their languages."""
-    seen = (counts > 0).sum(0)
-    idf = np.log((1 + len(counts)) / (1 + seen)) + 0.1
-    rows = vectors(counts, idf.astype(np.float32))
+    """The model of count vectors, their languages and the weights of the places."""
+    rows = vectors(counts, idf)
     nearest, far = np.zeros(len(rows), np.int64), np.zeros(len(rows))
     langs, centres = [], []
     for name in sorted(set(lang.tolist())):
@@ -250,7 +278,7 @@ def learn(
         centres.append(own)
     return Model(
         langs,
-        idf.astype(np.float32),
+        idf,
         np.concatenate(centres).astype(np.float32),
         limits(langs, nearest, bands(counts), far, farthest),
     )

@@ -239,3 +239,12 @@ def test_language_rejects_the_unseen(spark):
     kept = langid.keep_known(docs.union(strange))
     assert kept.where(F.col("text").isin(texts)).count() == 0
     assert kept.count() >= 0.99 * docs.count()
+
+
+def test_language_weights_from_all_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.repartition(5), size=40)
+    counts, letters = langid.grams([r.text for r in docs.where("text is not null").collect()])
+    seen = (counts[letters] > 0).sum(0)
+    want = np.log((1 + letters.sum()) / (1 + seen)) + 0.1
+    assert np.allclose(model.idf, want, atol=1e-5)
