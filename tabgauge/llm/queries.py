@@ -5,7 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabgauge.llm import bpe, exact, jaccard, langid, mixing, pii, simhash, suffix, tokens, warc
+from tabgauge.llm import (
+    bpe,
+    conversations,
+    exact,
+    jaccard,
+    langid,
+    mixing,
+    pii,
+    pivots,
+    simhash,
+    suffix,
+    tokens,
+    warc,
+    whitening,
+)
 from tabgauge.llm.common import documents
 from tabgauge.session import scratch_path
 
@@ -57,6 +71,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.simhash_components(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_conversations(rows, damaged=True, real=False)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +97,9 @@ QUERIES = {
         op8_jaccard,
         op9_bpe,
         op10_language,
+        op11_pivots,
+        op12_whitening,
+        op13_conversations,
     )
 }
 
