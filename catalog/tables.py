@@ -156,6 +156,25 @@ def _csv_missing_texts(spark, sf_dir):
     return read_csv(spark, path)
 
 
+QUOTED_TEXTS = """'He said "' || "text" || '", then:' || chr(10) || '"yes", "no"'"""
+
+
+@query(
+    "csv_quoted_texts",
+    f"""SELECT CAST(doc_id AS INTEGER) AS doc_id, sha256({QUOTED_TEXTS}) AS note_sha256,
+    length({QUOTED_TEXTS}) AS note_chars, lang FROM documents""",
+)
+def _csv_quoted_texts(spark, sf_dir):
+    """Documents with quotes, commas and line breaks, written as CSV and read back."""
+    path = scratch_path(spark)
+    docs = table(spark, sf_dir, "documents")
+    note = F.concat(F.lit('He said "'), "text", F.lit('", then:\n"yes", "no"'))
+    to_csv(docs.select("doc_id", note.alias("note"), "lang"), path)
+    read = read_csv(spark, path)
+    length = F.length("note").cast("bigint").alias("note_chars")
+    return read.select("doc_id", F.sha2("note", 256).alias("note_sha256"), length, "lang")
+
+
 @query(
     "append_messages",
     """SELECT CAST(conv_id AS VARCHAR) AS user_email, role, "text" AS message, true AS stamped

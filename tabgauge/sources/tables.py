@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tabgauge.functions.expr import col
 from tabgauge.operators.roles import normalize
+from tabgauge.sources.records import read_texts
 
 WHOLE_TYPES = [
     ("tinyint", -(2**7), 2**7 - 1),
@@ -33,10 +34,11 @@ def read_csv(
 
     The usual texts for a missing value are read as missing before types are inferred
     from the whole input, in one aggregate over all columns; give a schema to save that
-    pass. What is damaged further in shows when the rows are read.
+    pass. Quoted fields may hold commas, doubled quotes and line breaks. What is damaged
+    further in shows when the rows are read.
     """
     try:
-        texts = spark.read.option("header", True).csv(path)
+        texts = read_texts(spark, path)
     except AnalysisException:
         return None
     cells = {c: F.when(~col(c).isin(MISSING_TEXTS), col(c)) for c in texts.columns}
@@ -113,7 +115,9 @@ def narrow_types(df: DataFrame, floats: bool = False) -> DataFrame:
 
 
 def to_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """A folder of CSV files with a header each; quotes are doubled and white space is kept."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(header=True, escape='"', **kept).csv(path)
 
 
 def write_text(lines: DataFrame, path: str) -> None:
