@@ -1,32 +1,32 @@
 """Exact quantiles of whole columns, without gathering a column anywhere.
 
 Spark's exact ``percentile`` keeps every distinct value of the column in one
-buffer, which a large table outgrows. Here the wanted order statistics are
-closed in on instead: a map-side-combined histogram of the value range picks
-the cell holding each wanted rank, the next scan looks only inside the picked
-cells, and once a cell holds few enough rows its values are sorted outright.
-All columns and ranks share each scan. The driver sees cell borders and counts
-only.
+buffer, which a large table outgrows. Here a mergeable sketch brackets each wanted
+order statistic in one aggregate over all columns. The next scan counts what lies
+below the bracket and keeps the few values inside it, so the order statistic is
+read off exactly. Where even the bracket holds too many values, that scan sketches
+them instead, and the bracket narrows again by the same factor; values that repeat
+at a border are counted, never kept. All columns and ranks share each scan, rows
+are not unfolded, and the driver sees borders, counts and sketches only.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabgauge.functions.expr import col, sql_double, sql_name, unfold
+from tabgauge.functions.expr import col, sql_double, sql_name
 from tabgauge.functions.rules import FENCE_WIDTH
+from tabgauge.operators.sketches import SKETCH, error_of, gathered, quantiles_of
 
-CELLS = 2048
-SORT_AT_ONCE = 100_000
-SORT_TOGETHER = 1_000_000
-LARGEST = sys.float_info.max
+# Values kept for one rank, and for all ranks of a scan.
+KEEP = 100_000
+KEEP_TOGETHER = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -51,24 +51,21 @@ class Fences:
 
 @dataclass
 class _Cell:
-    """A closed value range of one column and the ranks sought inside it."""
+    """An open value range of one column and the ranks sought inside it.
+
+    ``below`` values come before the range; ``inside`` are in it. The ranks are likely
+    between ``lo`` and ``hi``; without those, anywhere in the range.
+    """
 
     name: str
-    low: float
-    high: float
+    low: float | None
+    high: float | None
     below: int
     inside: int
     ranks: list[int]
-
-    @property
-    def finite(self) -> tuple[float, float]:
-        return max(self.low, -LARGEST), min(self.high, LARGEST)
-
-    @property
-    def divisible(self) -> bool:
-        """False when only an infinity and its neighbour are left."""
-        low, high = self.finite
-        return low < high
+    lo: float | None = None
+    hi: float | None = None
+    likely: float = 0.0
 
 
 FLOATING = (T.FloatType, T.DoubleType)
@@ -152,13 +149,14 @@ def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    cells: int = CELLS,
-    sort_at_once: int = SORT_AT_ONCE,
+    k: int = SKETCH,
+    keep: int = KEEP,
     accuracy: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linear-interpolated quantiles per column; None where a column is empty.
 
-    ``accuracy`` switches to one pass of ``percentile_approx``.
+    ``k`` is the size of the sketches, 200 at least, and ``keep`` the number of values to
+    keep for a rank. ``accuracy`` switches to one pass of ``percentile_approx``.
     """
     columns = list(dict.fromkeys(columns))
     if not columns:
@@ -178,49 +176,28 @@ def exact_quantiles(
             for i, c in enumerate(columns)
         }
 
-    # NaN is missing here; the range filters of the later scans leave it out anyway.
-    sizes = data.agg(
-        *[
-            f(F.nanvl(col(c), F.lit(None).cast("double"))).alias(f"{i}{tag}")
-            for i, c in enumerate(columns)
-            for tag, f in (("n", F.count), ("a", F.min), ("b", F.max))
-        ]
+    # NaN is missing here: sketches leave it out, and so do the later scans.
+    real = [F.nanvl(col(c), F.lit(None).cast("double")).alias(c) for c in columns]
+    known = data.select(*real)
+    sizes = gathered(
+        known, {c: F.count(col(c)) for c in columns}, columns, lows=columns, highs=columns, k=k
     ).first()
-    counts: dict[str, int] = {}
-    open_cells: list[_Cell] = []
-    for i, name in enumerate(columns):
-        n = sizes[f"{i}n"]
-        counts[name] = n
-        if n:
-            wanted = sorted(
-                {r for p in probabilities for r in _neighbours(n, p)}
-            )
-            open_cells.append(
-                _Cell(name, sizes[f"{i}a"], sizes[f"{i}b"], 0, n, wanted)
-            )
     found: dict[tuple[str, int], float] = {}
-    while open_cells:
-        narrow = []
-        for cell in open_cells:
-            if cell.low == cell.high:
-                found.update({(cell.name, r): cell.low for r in cell.ranks})
-            else:
-                narrow.append(cell)
-        large = [c for c in narrow if c.inside > sort_at_once]
-        small = [c for c in narrow if c.inside <= sort_at_once]
-        ends = [c for c in large if not c.divisible]
-        large = [c for c in large if c.divisible]
-        open_cells = []
-        if ends:
-            found.update(_count_ends(data, ends))
-        if small:
-            found.update(_pick_values(data, small, SORT_TOGETHER))
-        if large:
-            open_cells = _split_cells(data, large, cells)
+    cells, sketches = [], []
+    for name in columns:
+        n = sizes[f"n:{name}"]
+        for p in probabilities if n else ():
+            found[name, 0], found[name, n - 1] = sizes[f"a:{name}"], sizes[f"b:{name}"]
+            ranks = [r for r in _neighbours(n, p) if (name, r) not in found]
+            if ranks:
+                cells.append(_Cell(name, None, None, 0, n, ranks))
+                sketches.append(sizes[f"s:{name}"])
+    _bracket(df.sparkSession, cells, sketches, k)
+    _close_in(data, cells, found, k, keep)
 
     result: dict[str, list[float | None]] = {}
     for name in columns:
-        n = counts[name]
+        n = sizes[f"n:{name}"]
         result[name] = []
         for p in probabilities:
             if not n:
@@ -237,109 +214,124 @@ def _neighbours(n: int, p: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 
 
-def _between(name: str, cell: _Cell) -> str:
-    return f"{name} BETWEEN {sql_double(cell.low)} AND {sql_double(cell.high)}"
-
-
-def _any_cell(cells: list[_Cell]) -> str:
-    return " OR ".join(f"({_between(sql_name(c.name), c)})" for c in cells)
-
-
-def _pick_values(data: DataFrame, cells: list[_Cell], together: int) -> dict[tuple[str, int], float]:
-    """Sort the few values of each cell and read off the wanted ranks.
-
-    Cells share a job as long as they hold no more than ``together`` values.
-    """
-    found = {}
-    batch: list[_Cell] = []
-    held = 0
-    for cell in [*cells, None]:
-        if batch and (cell is None or held + cell.inside > together):
-            row = (
-                data.where(_any_cell(batch))
-                .agg(
-                    *[
-                        F.expr(
-                            f"sort_array(collect_list(CASE WHEN {_between(sql_name(c.name), c)} "
-                            f"THEN {sql_name(c.name)} END))"
-                        ).alias(str(i))
-                        for i, c in enumerate(batch)
-                    ]
-                )
-                .selectExpr(
-                    *[
-                        f"`{i}`[{rank - c.below}] AS `{i}_{rank}`"
-                        for i, c in enumerate(batch)
-                        for rank in c.ranks
-                    ]
-                )
-                .first()
-            )
-            found.update(
-                {(c.name, r): row[f"{i}_{r}"] for i, c in enumerate(batch) for r in c.ranks}
+def _bracket(spark, cells: list[_Cell], sketches: list[bytes], k: int) -> None:
+    """Likely borders of the ranks of each cell, from a sketch of the values in it."""
+    error = error_of(k)
+    shares = [
+        (
+            (c.ranks[0] - c.below) / c.inside - error,
+            (c.ranks[-1] - c.below + 1) / c.inside + error,
+        )
+        for c in cells
+    ]
+    for cell, (lo, hi), share in zip(
+        cells, quantiles_of(spark, list(zip(sketches, shares))), shares
+    ):
+        cell.lo, cell.hi = lo, hi
+        # Both borders may be off by the error as well.
+        cell.likely = cell.inside * min(share[1] - share[0] + 2 * error, 1.0)
+
+
+def _close_in(
+    data: DataFrame,
+    cells: list[_Cell],
+    found: dict[tuple[str, int], float],
+    k: int,
+    keep: int,
+) -> None:
+    """Scan until the ranks of all cells are found."""
+    while cells:
+        kept, held = set(), 0
+        for i, cell in enumerate(cells):
+            likely = cell.inside if cell.lo is None else cell.likely
+            if likely <= keep and held + likely <= KEEP_TOGETHER:
+                kept.add(i)
+                held += likely
+        row = _scan(data, cells, kept, k)
+        left, sketches, fresh = [], [], []
+        for i, cell in enumerate(cells):
+            at = cell.below
+            parts = []
+            for part in ("below", "lo", "mid", "hi"):
+                parts.append((part, at, row[f"n:{part}{i}"]))
+                at += row[f"n:{part}{i}"]
+            ends = {part: (start, n) for part, start, n in parts}
+            spread: dict[str, list[int]] = {}
+            for rank in cell.ranks:
+                part = next((p for p, start, n in parts if rank < start + n), "above")
+                spread.setdefault(part, []).append(rank)
+            for part, ranks in spread.items():
+                if part in ("lo", "hi"):
+                    value = cell.lo if part == "lo" else cell.hi
+                    found.update({(cell.name, r): value for r in ranks})
+                elif part == "mid" and i in kept:
+                    start = ends["mid"][0]
+                    found.update({(cell.name, r): row[f"v{i}_{r}"] for r in ranks})
+                elif part == "mid":
+                    start, n = ends["mid"]
+                    low = cell.low if cell.lo is None else cell.lo
+                    high = cell.high if cell.hi is None else cell.hi
+                    left.append(_Cell(cell.name, low, high, start, n, ranks))
+                    sketches.append(row[f"s:mid{i}"])
+                elif part == "below":
+                    # The sketch was further off than it should be.
+                    start, n = ends["below"]
+                    fresh.append(_Cell(cell.name, cell.low, cell.lo, start, n, ranks))
+                else:
+                    n = cell.inside - (at - cell.below)
+                    fresh.append(_Cell(cell.name, cell.hi, cell.high, at, n, ranks))
+        _bracket(data.sparkSession, left, sketches, k)
+        cells = left + fresh
+
+
+def _scan(data: DataFrame, cells: list[_Cell], kept: set[int], k: int):
+    """One scan: how many values of each cell are below, at and between its borders, and
+    the wanted ones of those between, or a sketch of them."""
+    sides, mids = [], []
+    for i, cell in enumerate(cells):
+        name = sql_name(cell.name)
+        within = [f"{name} = {name} AND NOT isnan({name})"]
+        if cell.low is not None:
+            within.append(f"{name} > {sql_double(cell.low)}")
+        if cell.high is not None:
+            within.append(f"{name} < {sql_double(cell.high)}")
+        if cell.lo is None:
+            side = "2"
+        else:
+            lo, hi = sql_double(cell.lo), sql_double(cell.hi)
+            side = (
+                f"CASE WHEN {name} < {lo} THEN 0 WHEN {name} = {lo} THEN 1 "
+                f"WHEN {name} < {hi} THEN 2 WHEN {name} = {hi} THEN 3 END"
             )
-            batch, held = [], 0
-        if cell is not None:
-            batch.append(cell)
-            held += cell.inside
-    return found
-
-
-def _count_ends(data: DataFrame, cells: list[_Cell]) -> dict[tuple[str, int], float]:
-    """Ranks in cells that hold two values only, an infinity and its neighbour."""
-    row = data.agg(
-        *[F.count_if(col(c.name) == F.lit(c.low)).alias(str(i)) for i, c in enumerate(cells)]
-    ).first()
-    return {
-        (c.name, r): c.low if r - c.below < row[str(i)] else c.high
-        for i, c in enumerate(cells)
-        for r in c.ranks
+        sides.append(F.expr(f"CASE WHEN {' AND '.join(within)} THEN {side} END").alias(f"side{i}"))
+        mids.append(F.expr(f"CASE WHEN side{i} = 2 THEN {name} END").alias(f"mid{i}"))
+    if all(c.low is not None and c.high is not None for c in cells):
+        data = data.where(_any_cell(cells))
+    marked = data.select("*", *sides)
+    marked = marked.select(*[f"side{i}" for i in range(len(cells))], *mids)
+    counts = {
+        f"{part}{i}": F.count_if(F.col(f"side{i}") == side)
+        for i in range(len(cells))
+        for side, part in enumerate(("below", "lo", "mid", "hi"))
     }
+    listed = [f"mid{i}" for i in sorted(kept)]
+    sketched = [f"mid{i}" for i in range(len(cells)) if i not in kept]
+    row = gathered(marked, counts, sketched, listed, k=k)
+    picked = []
+    for i in sorted(kept):
+        before = F.lit(cells[i].below) + F.col(f"`n:below{i}`") + F.col(f"`n:lo{i}`")
+        for rank in cells[i].ranks:
+            place = (F.lit(rank) - before).cast("int")
+            picked.append(F.get(F.col(f"`l:mid{i}`"), place).alias(f"v{i}_{rank}"))
+    sums = [col(f"n:{name}") for name in counts]
+    return row.select(*sums, *[col(f"s:{c}") for c in sketched], *picked).first()
 
 
-def _split_cells(data: DataFrame, cells: list[_Cell], parts: int) -> list[_Cell]:
-    """One histogram pass: each cell gives way to its parts that hold a rank."""
-    values = [
-        F.expr(f"CASE WHEN {_between(sql_name(c.name), c)} THEN {sql_name(c.name)} END")
+def _any_cell(cells: list[_Cell]) -> str:
+    return " OR ".join(
+        f"({sql_name(c.name)} > {sql_double(c.low)} AND {sql_name(c.name)} < {sql_double(c.high)})"
         for c in cells
-    ]
-    ends = [cell.finite for cell in cells]
-    # Halves keep the width of a cell finite. Short code: borders by lookup.
-    lows = ", ".join(sql_double(low / 2) for low, _ in ends)
-    widths = ", ".join(sql_double(high / 2 - low / 2) for low, high in ends)
-    clamped = f"greatest(least(value, {sql_double(LARGEST)}), {sql_double(-LARGEST)}) / 2"
-    share = f"({clamped} - array({lows})[cell]) / array({widths})[cell]"
-    order = Window.partitionBy("cell").orderBy("part")
-    counted = (
-        unfold(data.where(_any_cell(cells)), values, "cell")
-        .where("value IS NOT NULL")
-        .selectExpr(
-            "cell",
-            f"least(greatest(floor({share} * {parts}), 0L), {parts - 1}L) AS part",
-            "value",
-        )
-        .groupBy("cell", "part")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
-        .withColumn("upto", F.sum("n").over(order))
     )
-    wanted = " OR ".join(
-        f"(cell = {i} AND upto - n <= {rank - cell.below} AND upto > {rank - cell.below})"
-        for i, cell in enumerate(cells)
-        for rank in cell.ranks
-    )
-    result = []
-    for row in counted.where(wanted).collect():
-        cell = cells[row["cell"]]
-        below = cell.below + row["upto"] - row["n"]
-        ranks = [r for r in cell.ranks if below <= r < below + row["n"]]
-        result.append(
-            _Cell(cell.name, row["low"], row["high"], below, row["n"], ranks)
-        )
-    return result
 
 
 def find_fences(

@@ -1,7 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tabgauge.operators import quantiles
 from tabgauge.operators.quantiles import exact_quantiles, find_fences
+from tabgauge.operators.sketches import gathered
 
 P = (0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0)
 
@@ -25,12 +28,12 @@ def samples():
     }
 
 
-@pytest.mark.parametrize("cells, sort_at_once", [(8, 30), (2048, 100_000)])
-def test_every_way_of_narrowing_gives_the_sorted_values(spark, cells, sort_at_once):
+@pytest.mark.parametrize("k, keep", [(200, 0), (200, 30), (4096, 100_000)])
+def test_every_way_of_narrowing_gives_the_sorted_values(spark, k, keep):
     data = samples()
     names = [n for n in data if n != "edges"]
     df = frame(spark, {n: data[n] for n in names})
-    got = exact_quantiles(df, names, P, cells=cells, sort_at_once=sort_at_once)
+    got = exact_quantiles(df, names, P, k=k, keep=keep)
     for name in names:
         ordered = np.sort(data[name].astype(float))
         for p, q in zip(P, got[name]):
@@ -42,7 +45,7 @@ def test_every_way_of_narrowing_gives_the_sorted_values(spark, cells, sort_at_on
 def test_infinities_are_narrowed_too(spark):
     data = samples()["edges"]
     df = frame(spark, {"edges": data})
-    got = exact_quantiles(df, ["edges"], (0.5,), cells=4, sort_at_once=2)["edges"][0]
+    got = exact_quantiles(df, ["edges"], (0.5,), k=200, keep=2)["edges"][0]
     ordered = np.sort(data)
     assert got == pytest.approx((ordered[299] + ordered[300]) / 2)
 
@@ -61,7 +64,7 @@ def test_matches_pandas_on_given_tables(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     names = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount"]
     want = df.select(*names).toPandas().quantile([0.25, 0.5, 0.75])
-    got = exact_quantiles(df, names, (0.25, 0.5, 0.75), cells=16, sort_at_once=50)
+    got = exact_quantiles(df, names, (0.25, 0.5, 0.75), k=200, keep=50)
     for name in names:
         assert got[name] == pytest.approx(list(want[name]))
 
@@ -77,5 +80,54 @@ def test_infinities_and_the_largest_double_are_counted(spark):
     largest = 1.7976931348623157e308
     rows = [(largest,)] * 30 + [(float("inf"),)] * 31
     df = spark.createDataFrame(rows, "x double")
-    got = exact_quantiles(df, ["x"], (0.0, 29 / 60, 0.5, 1.0), cells=4, sort_at_once=5)["x"]
+    got = exact_quantiles(df, ["x"], (0.0, 29 / 60, 0.5, 1.0), k=200, keep=5)["x"]
     assert got[0] == largest and got[2] == got[3] == float("inf")
+
+
+def test_borders_that_miss_the_rank_are_mended(spark, monkeypatch):
+    """A sketch may be off by more than its error; the counts show it."""
+    monkeypatch.setattr(quantiles, "error_of", lambda k: -0.02)
+    rng = np.random.default_rng(5)
+    values = np.round(rng.normal(size=9000), 2)
+    df = frame(spark, {"x": values})
+    ordered = np.sort(values)
+    for keep in (0, 100):
+        got = exact_quantiles(df, ["x"], P, k=200, keep=keep)["x"]
+        for p, q in zip(P, got):
+            place = (len(ordered) - 1) * p
+            a, b = ordered[int(np.floor(place))], ordered[int(np.ceil(place))]
+            assert q == pytest.approx(a + (place - np.floor(place)) * (b - a))
+
+
+@pytest.mark.parametrize("columns", [1, 6, 30])
+def test_scans_do_not_grow_with_the_columns(spark, monkeypatch, columns):
+    scans = []
+
+    def counted(*args, **options):
+        scans.append(args)
+        return gathered(*args, **options)
+
+    monkeypatch.setattr(quantiles, "gathered", counted)
+    rng = np.random.default_rng(columns)
+    df = frame(spark, {f"c{i}": rng.normal(size=4000) ** 3 for i in range(columns)})
+    find_fences(df, df.columns)
+    assert len(scans) == 2
+    find_fences(df, df.columns, k=200, keep=300)
+    assert len(scans) <= 2 + 3
+
+
+def test_a_value_in_most_rows_is_counted_not_kept(spark, monkeypatch):
+    """Repeats at a border never reach a list."""
+    longest = []
+
+    def watched(*args, **options):
+        made = gathered(*args, **options)
+        lists = [c for c in made.columns if c.startswith("l:")]
+        longest.extend(made.select(*[F.size(F.col(f"`{c}`")) for c in lists]).first())
+        return made
+
+    monkeypatch.setattr(quantiles, "gathered", watched)
+    values = np.concatenate([np.full(9000, 5.0), np.arange(1000) / 100])
+    got = exact_quantiles(frame(spark, {"x": values}), ["x"], (0.25, 0.5, 0.75))
+    assert got == {"x": [5.0, 5.0, 5.0]}
+    assert max(longest) < 200
