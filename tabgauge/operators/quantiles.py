@@ -3,11 +3,12 @@
 Spark's exact ``percentile`` keeps every distinct value of the column in one
 buffer, which a large table outgrows. Here a mergeable sketch brackets each wanted
 order statistic in one aggregate over all columns. The next scan counts what lies
-below the bracket and keeps the few values inside it, so the order statistic is
-read off exactly. Where even the bracket holds too many values, that scan sketches
-them instead, and the bracket narrows again by the same factor; values that repeat
-at a border are counted, never kept. All columns and ranks share each scan, rows
-are not unfolded, and the driver sees borders, counts and sketches only.
+below the bracket and at its borders, and the third reads the few values inside it,
+so the order statistic is read off exactly; a range that holds few values anyway is
+read at once. Where even the bracket holds too many
+values, they are sketched instead, and the bracket narrows again by the same factor;
+values that repeat at a border are counted, never kept. All columns and ranks share
+each scan, rows are not unfolded, and the driver sees borders, counts and sketches only.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class _Cell:
     """An open value range of one column and the ranks sought inside it.
 
     ``below`` values come before the range; ``inside`` are in it. The ranks are likely
-    between ``lo`` and ``hi``; without those, anywhere in the range.
+    between ``lo`` and ``hi``.
     """
 
     name: str
@@ -65,7 +66,6 @@ class _Cell:
     ranks: list[int]
     lo: float | None = None
     hi: float | None = None
-    likely: float = 0.0
 
 
 FLOATING = (T.FloatType, T.DoubleType)
@@ -224,12 +224,8 @@ def _bracket(spark, cells: list[_Cell], sketches: list[bytes], k: int) -> None:
         )
         for c in cells
     ]
-    for cell, (lo, hi), share in zip(
-        cells, quantiles_of(spark, list(zip(sketches, shares))), shares
-    ):
-        cell.lo, cell.hi = lo, hi
-        # Both borders may be off by the error as well.
-        cell.likely = cell.inside * min(share[1] - share[0] + 2 * error, 1.0)
+    for cell, (lo, hi) in zip(cells, quantiles_of(spark, list(zip(sketches, shares)))):
+        cell.lo, cell.hi = min(lo, hi), max(lo, hi)
 
 
 def _close_in(
@@ -239,99 +235,108 @@ def _close_in(
     k: int,
     keep: int,
 ) -> None:
-    """Scan until the ranks of all cells are found."""
+    """Count at the borders and look between them, until the ranks of all cells are found.
+
+    A cell that holds few values is looked into at once."""
     while cells:
-        kept, held = set(), 0
-        for i, cell in enumerate(cells):
-            likely = cell.inside if cell.lo is None else cell.likely
-            if likely <= keep and held + likely <= KEEP_TOGETHER:
-                kept.add(i)
-                held += likely
-        row = _scan(data, cells, kept, k)
-        left, sketches, fresh = [], [], []
-        for i, cell in enumerate(cells):
-            at = cell.below
-            parts = []
-            for part in ("below", "lo", "mid", "hi"):
-                parts.append((part, at, row[f"n:{part}{i}"]))
-                at += row[f"n:{part}{i}"]
-            ends = {part: (start, n) for part, start, n in parts}
-            spread: dict[str, list[int]] = {}
-            for rank in cell.ranks:
-                part = next((p for p, start, n in parts if rank < start + n), "above")
-                spread.setdefault(part, []).append(rank)
-            for part, ranks in spread.items():
-                if part in ("lo", "hi"):
-                    value = cell.lo if part == "lo" else cell.hi
-                    found.update({(cell.name, r): value for r in ranks})
-                elif part == "mid" and i in kept:
-                    start = ends["mid"][0]
-                    found.update({(cell.name, r): row[f"v{i}_{r}"] for r in ranks})
-                elif part == "mid":
-                    start, n = ends["mid"]
-                    low = cell.low if cell.lo is None else cell.lo
-                    high = cell.high if cell.hi is None else cell.hi
-                    left.append(_Cell(cell.name, low, high, start, n, ranks))
-                    sketches.append(row[f"s:mid{i}"])
-                elif part == "below":
-                    # The sketch was further off than it should be.
-                    start, n = ends["below"]
-                    fresh.append(_Cell(cell.name, cell.low, cell.lo, start, n, ranks))
-                else:
-                    n = cell.inside - (at - cell.below)
-                    fresh.append(_Cell(cell.name, cell.hi, cell.high, at, n, ranks))
-        _bracket(data.sparkSession, left, sketches, k)
-        cells = left + fresh
-
-
-def _scan(data: DataFrame, cells: list[_Cell], kept: set[int], k: int):
-    """One scan: how many values of each cell are below, at and between its borders, and
-    the wanted ones of those between, or a sketch of them."""
-    sides, mids = [], []
-    for i, cell in enumerate(cells):
-        name = sql_name(cell.name)
-        within = [f"{name} = {name} AND NOT isnan({name})"]
-        if cell.low is not None:
-            within.append(f"{name} > {sql_double(cell.low)}")
-        if cell.high is not None:
-            within.append(f"{name} < {sql_double(cell.high)}")
-        if cell.lo is None:
-            side = "2"
+        inner = [c for c in cells if c.inside <= keep]
+        large = [c for c in cells if c.inside > keep]
+        for cell, counts in zip(large, _count_borders(data, large)):
+            inner += _parts(cell, counts, found)
+        cells = _look_inside(data, inner, found, k, keep)
+
+
+def _count_borders(data: DataFrame, cells: list[_Cell]) -> list[list[int]]:
+    """Values of each column below its cell's low border, up to it, below the high one, and
+    up to that; one scan."""
+    if not cells:
+        return []
+    tests = [
+        f"{sql_name(c.name)} {test} {sql_double(border)}"
+        for c in cells
+        for border in (c.lo, c.hi)
+        for test in ("<", "<=")
+    ]
+    different = list(dict.fromkeys(tests))
+    counts = [f"sum(CASE WHEN {t} THEN 1L ELSE 0L END)" for t in different]
+    row = data.agg(*[F.expr(c).alias(str(i)) for i, c in enumerate(counts)]).first()
+    counted = dict(zip(different, row))
+    found = [counted[t] for t in tests]
+    return [found[i : i + 4] for i in range(0, len(found), 4)]
+
+
+def _parts(cell: _Cell, counts: list[int], found: dict[tuple[str, int], float]) -> list[_Cell]:
+    """The ranks at the borders are found; the parts of the cell that hold the others."""
+    under_lo, upto_lo, under_hi, upto_hi = counts
+    name, end = cell.name, cell.below + cell.inside
+    pieces = [
+        # The outer two are needed only if the sketch was further off than it should be.
+        _Cell(name, cell.low, cell.lo, cell.below, under_lo - cell.below, []),
+        _Cell(name, cell.lo, cell.hi, upto_lo, under_hi - upto_lo, []),
+        _Cell(name, cell.hi, cell.high, upto_hi, end - upto_hi, []),
+    ]
+    for rank in cell.ranks:
+        if under_lo <= rank < upto_lo:
+            found[name, rank] = cell.lo
+        elif under_hi <= rank < upto_hi:
+            found[name, rank] = cell.hi
         else:
-            lo, hi = sql_double(cell.lo), sql_double(cell.hi)
-            side = (
-                f"CASE WHEN {name} < {lo} THEN 0 WHEN {name} = {lo} THEN 1 "
-                f"WHEN {name} < {hi} THEN 2 WHEN {name} = {hi} THEN 3 END"
-            )
-        sides.append(F.expr(f"CASE WHEN {' AND '.join(within)} THEN {side} END").alias(f"side{i}"))
-        mids.append(F.expr(f"CASE WHEN side{i} = 2 THEN {name} END").alias(f"mid{i}"))
-    if all(c.low is not None and c.high is not None for c in cells):
-        data = data.where(_any_cell(cells))
-    marked = data.select("*", *sides)
-    marked = marked.select(*[f"side{i}" for i in range(len(cells))], *mids)
-    counts = {
-        f"{part}{i}": F.count_if(F.col(f"side{i}") == side)
-        for i in range(len(cells))
-        for side, part in enumerate(("below", "lo", "mid", "hi"))
-    }
-    listed = [f"mid{i}" for i in sorted(kept)]
-    sketched = [f"mid{i}" for i in range(len(cells)) if i not in kept]
-    row = gathered(marked, counts, sketched, listed, k=k)
-    picked = []
-    for i in sorted(kept):
-        before = F.lit(cells[i].below) + F.col(f"`n:below{i}`") + F.col(f"`n:lo{i}`")
-        for rank in cells[i].ranks:
-            place = (F.lit(rank) - before).cast("int")
-            picked.append(F.get(F.col(f"`l:mid{i}`"), place).alias(f"v{i}_{rank}"))
-    sums = [col(f"n:{name}") for name in counts]
-    return row.select(*sums, *[col(f"s:{c}") for c in sketched], *picked).first()
+            holder = next(c for c in pieces if c.below <= rank < c.below + c.inside)
+            holder.ranks.append(rank)
+    return [c for c in pieces if c.ranks]
+
+
+def _look_inside(
+    data: DataFrame,
+    cells: list[_Cell],
+    found: dict[tuple[str, int], float],
+    k: int,
+    keep: int,
+) -> list[_Cell]:
+    """One scan: values of the cells that hold few are sorted and picked from, the others
+    are sketched; those come back with closer borders."""
+    if not cells:
+        return []
+    few, many, held = [], [], 0
+    for cell in cells:
+        if cell.inside <= keep and held + cell.inside <= KEEP_TOGETHER:
+            few.append(cell)
+            held += cell.inside
+        else:
+            many.append(cell)
+    names = [f"v{i}" for i in range(len(cells))]
+    values = [
+        F.expr(f"CASE WHEN {_within(c)} THEN {sql_name(c.name)} END").alias(name)
+        for c, name in zip(few + many, names)
+    ]
+    listed, sketched = names[: len(few)], names[len(few) :]
+    row = gathered(data.where(_any_cell(cells)).select(*values), {}, sketched, listed, k=k)
+    picked = [
+        F.get(col(f"l:{name}"), F.lit(rank - cell.below)).alias(f"{name}_{rank}")
+        for cell, name in zip(few, names)
+        for rank in cell.ranks
+    ]
+    row = row.select(*[col(f"s:{c}") for c in sketched], *picked).first()
+    for cell, name in zip(few, names):
+        found.update({(cell.name, r): row[f"{name}_{r}"] for r in cell.ranks})
+    _bracket(data.sparkSession, many, [row[f"s:{c}"] for c in sketched], k)
+    return many
+
+
+def _within(cell: _Cell) -> str:
+    """Strictly inside the cell, and not NaN."""
+    name = sql_name(cell.name)
+    limits = []
+    if cell.low is not None:
+        limits.append(f"{name} > {sql_double(cell.low)}")
+    limits.append(f"{name} <= {sql_double(math.inf)}")
+    if cell.high is not None:
+        limits[-1] = f"{name} < {sql_double(cell.high)}"
+    return " AND ".join(limits)
 
 
 def _any_cell(cells: list[_Cell]) -> str:
-    return " OR ".join(
-        f"({sql_name(c.name)} > {sql_double(c.low)} AND {sql_name(c.name)} < {sql_double(c.high)})"
-        for c in cells
-    )
+    return " OR ".join(f"({_within(c)})" for c in cells)
 
 
 def find_fences(
