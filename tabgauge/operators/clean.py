@@ -12,12 +12,13 @@ from tabgauge.operators.ordering import with_row_number
 from tabgauge.operators.quantiles import (
     above,
     find_fences,
-    inside,
     missing,
     number,
     outside,
+    within_fences,
 )
 from tabgauge.operators.roles import numeric_columns, parsed_time, text_columns
+from tabgauge.operators.survival import sequential_fences
 
 
 def remove_duplicates(df: DataFrame) -> DataFrame:
@@ -102,21 +103,16 @@ def fill_mode(df: DataFrame, name: str) -> DataFrame:
 
 def remove_outliers(df: DataFrame, name: str, **options) -> DataFrame:
     """Rows inside the fences of one column; rows missing the value stay."""
-    fences = find_fences(df, [name], **options)[name]
-    if fences.low is None:
-        return df
-    return df.where(missing(df, name) | inside(df, name, fences))
+    return within_fences(df, list(find_fences(df, [name], **options).items()))
 
 
 def remove_all_outliers(df: DataFrame, columns: Sequence[str] | None = None, **options) -> DataFrame:
     """Column after column, fences taken from the rows still there.
 
-    The fences found so far are literals, so each step is a filter on the
-    source scan reading only the columns met so far; nothing is kept between.
+    All fences are found together, in scans that do not grow with the columns. They are
+    literals, so what is left is one filter on the source scan.
     """
-    for name in columns or numeric_columns(df):
-        df = remove_outliers(df, name, **options)
-    return df
+    return within_fences(df, sequential_fences(df, columns or numeric_columns(df), **options))
 
 
 def rows_outlier(df: DataFrame, name: str) -> DataFrame:

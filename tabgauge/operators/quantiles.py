@@ -51,7 +51,7 @@ class Fences:
 
 
 @dataclass
-class _Cell:
+class Cell:
     """An open value range of one column and the ranks sought inside it.
 
     ``below`` values come before the range; ``inside`` are in it. The ranks are likely
@@ -188,12 +188,12 @@ def exact_quantiles(
         n = sizes[f"n:{name}"]
         for p in probabilities if n else ():
             found[name, 0], found[name, n - 1] = sizes[f"a:{name}"], sizes[f"b:{name}"]
-            ranks = [r for r in _neighbours(n, p) if (name, r) not in found]
+            ranks = [r for r in neighbours(n, p) if (name, r) not in found]
             if ranks:
-                cells.append(_Cell(name, None, None, 0, n, ranks))
+                cells.append(Cell(name, None, None, 0, n, ranks))
                 sketches.append(sizes[f"s:{name}"])
     _bracket(df.sparkSession, cells, sketches, k)
-    _close_in(data, cells, found, k, keep)
+    close_in(data, cells, found, k, keep)
 
     result: dict[str, list[float | None]] = {}
     for name in columns:
@@ -203,18 +203,18 @@ def exact_quantiles(
             if not n:
                 result[name].append(None)
                 continue
-            low, high = _neighbours(n, p)
+            low, high = neighbours(n, p)
             a, b = found[name, low], found[name, high]
             result[name].append(a if a == b else a + ((n - 1) * p - low) * (b - a))
     return result
 
 
-def _neighbours(n: int, p: float) -> tuple[int, int]:
+def neighbours(n: int, p: float) -> tuple[int, int]:
     place = (n - 1) * p
     return math.floor(place), math.ceil(place)
 
 
-def _bracket(spark, cells: list[_Cell], sketches: list[bytes], k: int) -> None:
+def _bracket(spark, cells: list[Cell], sketches: list[bytes], k: int) -> None:
     """Likely borders of the ranks of each cell, from a sketch of the values in it."""
     error = error_of(k)
     shares = [
@@ -228,9 +228,9 @@ def _bracket(spark, cells: list[_Cell], sketches: list[bytes], k: int) -> None:
         cell.lo, cell.hi = min(lo, hi), max(lo, hi)
 
 
-def _close_in(
+def close_in(
     data: DataFrame,
-    cells: list[_Cell],
+    cells: list[Cell],
     found: dict[tuple[str, int], float],
     k: int,
     keep: int,
@@ -246,7 +246,7 @@ def _close_in(
         cells = _look_inside(data, inner, found, k, keep)
 
 
-def _count_borders(data: DataFrame, cells: list[_Cell]) -> list[list[int]]:
+def _count_borders(data: DataFrame, cells: list[Cell]) -> list[list[int]]:
     """Values of each column below its cell's low border, up to it, below the high one, and
     up to that; one scan."""
     if not cells:
@@ -265,15 +265,15 @@ def _count_borders(data: DataFrame, cells: list[_Cell]) -> list[list[int]]:
     return [found[i : i + 4] for i in range(0, len(found), 4)]
 
 
-def _parts(cell: _Cell, counts: list[int], found: dict[tuple[str, int], float]) -> list[_Cell]:
+def _parts(cell: Cell, counts: list[int], found: dict[tuple[str, int], float]) -> list[Cell]:
     """The ranks at the borders are found; the parts of the cell that hold the others."""
     under_lo, upto_lo, under_hi, upto_hi = counts
     name, end = cell.name, cell.below + cell.inside
     pieces = [
         # The outer two are needed only if the sketch was further off than it should be.
-        _Cell(name, cell.low, cell.lo, cell.below, under_lo - cell.below, []),
-        _Cell(name, cell.lo, cell.hi, upto_lo, under_hi - upto_lo, []),
-        _Cell(name, cell.hi, cell.high, upto_hi, end - upto_hi, []),
+        Cell(name, cell.low, cell.lo, cell.below, under_lo - cell.below, []),
+        Cell(name, cell.lo, cell.hi, upto_lo, under_hi - upto_lo, []),
+        Cell(name, cell.hi, cell.high, upto_hi, end - upto_hi, []),
     ]
     for rank in cell.ranks:
         if under_lo <= rank < upto_lo:
@@ -288,11 +288,11 @@ def _parts(cell: _Cell, counts: list[int], found: dict[tuple[str, int], float])
 
 def _look_inside(
     data: DataFrame,
-    cells: list[_Cell],
+    cells: list[Cell],
     found: dict[tuple[str, int], float],
     k: int,
     keep: int,
-) -> list[_Cell]:
+) -> list[Cell]:
     """One scan: values of the cells that hold few are sorted and picked from, the others
     are sketched; those come back with closer borders."""
     if not cells:
@@ -323,7 +323,7 @@ def _look_inside(
     return many
 
 
-def _within(cell: _Cell) -> str:
+def _within(cell: Cell) -> str:
     """Strictly inside the cell, and not NaN."""
     name = sql_name(cell.name)
     limits = []
@@ -335,7 +335,7 @@ def _within(cell: _Cell) -> str:
     return " AND ".join(limits)
 
 
-def _any_cell(cells: list[_Cell]) -> str:
+def _any_cell(cells: list[Cell]) -> str:
     return " OR ".join(f"({_within(c)})" for c in cells)
 
 
@@ -345,3 +345,11 @@ def find_fences(
     """Quartiles and fences of several columns, found together."""
     quartiles = exact_quantiles(df, columns, (0.25, 0.75), **options)
     return {name: Fences(q[0], q[1]) for name, q in quartiles.items()}
+
+
+def within_fences(df: DataFrame, fences: Sequence[tuple[str, Fences]]) -> DataFrame:
+    """The rows inside the fences of every column, or missing its value."""
+    for name, limits in fences:
+        if limits.low is not None:
+            df = df.where(missing(df, name) | inside(df, name, limits))
+    return df

@@ -69,11 +69,11 @@ def quantiles_of(
     """Values at shares of the ranks, per filled sketch; no job is needed for this."""
     if not wanted:
         return []
+    # As text, since a literal for each share would take a call each.
+    lists = [", ".join(f"{min(max(s, 0.0), 1.0)!r}D" for s in shares) for _, shares in wanted]
     found = [
-        F.kll_sketch_get_quantile_double(
-            F.lit(bytes(sketch)), F.array(*[F.lit(min(max(s, 0.0), 1.0)) for s in shares])
-        ).alias(str(i))
-        for i, (sketch, shares) in enumerate(wanted)
+        F.kll_sketch_get_quantile_double(F.lit(bytes(sketch)), F.expr(f"array({shares})")).alias(str(i))
+        for i, ((sketch, _), shares) in enumerate(zip(wanted, lists))
     ]
     row: Row = spark.sql("SELECT 1").select(*found).first()
     return [list(values) for values in row]

@@ -109,7 +109,7 @@ def test_sequential_removal_matches_pandas_on_given_tables(events):
         low, high = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         pdf = pdf[~((pdf[c] < low) | (pdf[c] > high))]
     assert remove_all_outliers(events).count() == len(pdf)
-    assert remove_all_outliers(events, k=200, keep=10).count() == len(pdf)
+    assert remove_all_outliers(events, k=400, kept_rows=0).count() == len(pdf)
 
 
 def test_removed_rows_are_filtered_in_the_scan(events):
