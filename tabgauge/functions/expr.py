@@ -117,27 +117,6 @@ def value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return unfold(df, [as_text(df, c) for c in columns]).where(F.col("value").isNotNull())
 
 
-def cell_groups(df: DataFrame, columns: Sequence[str]) -> list[tuple[list[int], list[Column]]]:
-    """Columns that can share one value column: their places and their cells."""
-    groups: dict[str, tuple[list[int], list[Column]]] = {}
-    for place, name in enumerate(columns):
-        kind = df.schema[name].dataType
-        if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            carrier, cell = "bigint", col(name).cast("bigint")
-        elif isinstance(kind, (T.FloatType, T.DoubleType)):
-            carrier, cell = "double", col(name).cast("double")
-        elif isinstance(kind, T.StringType):
-            carrier, cell = "string", compact(df, name)
-        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-            carrier, cell = "string", F.sha2(as_text(df, name), 256)
-        else:
-            carrier, cell = kind.simpleString(), col(name)
-        places, cells = groups.setdefault(carrier, ([], []))
-        places.append(place)
-        cells.append(cell)
-    return list(groups.values())
-
-
 def as_text(df: DataFrame, name: str) -> Column:
     """Cell as text; complex values as JSON so that equal cells give equal text."""
     kind = df.schema[name].dataType
@@ -166,3 +145,10 @@ def compact(df: DataFrame, name: str, keep: int = 64) -> Column:
         return col(name)
     digest = F.concat(F.lit("#"), F.sha2(col(name), 256))
     return F.when(F.length(col(name)) <= keep, col(name)).otherwise(digest)
+
+
+def stand_in(df: DataFrame, name: str) -> Column:
+    """What tells cells apart and can be ordered: the cell, or a digest of it."""
+    if isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.sha2(as_text(df, name), 256)
+    return compact(df, name)

@@ -50,8 +50,8 @@ def _fill(df: DataFrame, fills: dict[str, object]) -> DataFrame:
         value = fills.get(name)
         if value is None:
             return col(name)
-        kind = "string" if name in texts else "double"
-        return F.coalesce(col(name).cast(kind), F.lit(value)).alias(name)
+        known = col(name).cast("string") if name in texts else number(df, name)
+        return F.coalesce(known, F.lit(value)).alias(name)
 
     return df.select(*[filled(c) for c in df.columns])
 
@@ -66,7 +66,7 @@ def fill_missing(df: DataFrame) -> DataFrame:
     if not numbers and not texts:
         return df
     facts = df.agg(
-        *[F.count_if(col(c).isNull()).alias(f"n_{c}") for c in numbers + texts],
+        *[F.count_if(missing(df, c)).alias(f"n_{c}") for c in numbers + texts],
         *[F.avg(number(df, c)).alias(f"m_{c}") for c in numbers],
     ).first()
     fills: dict[str, object] = {c: facts[f"m_{c}"] for c in numbers if facts[f"n_{c}"]}
@@ -78,27 +78,27 @@ def filled_cells(df: DataFrame) -> DataFrame:
     """How many cells ``fill_missing`` fills."""
     total = F.lit(0).cast("bigint")
     for name in numeric_columns(df) + text_columns(df):
-        missing = F.count_if(col(name).isNull())
-        total = total + F.when(F.count(col(name)) > 0, missing).otherwise(0)
+        gap = missing(df, name)
+        total = total + F.when(F.count_if(~gap) > 0, F.count_if(gap)).otherwise(0)
     return df.agg(total.alias("filled"))
 
 
 def fill_mean(df: DataFrame, name: str) -> DataFrame:
     mean = df.agg(F.avg(number(df, name)).alias("mean")).first()["mean"]
-    filled = col(name).cast("double")
+    filled = number(df, name)
     if mean is not None:
         filled = F.coalesce(filled, F.lit(mean))
     return df.withColumn(name, filled)
 
 
 def fill_mode(df: DataFrame, name: str) -> DataFrame:
-    counted = df.where(col(name).isNotNull()).groupBy(col(name).alias("value")).agg(
+    counted = df.where(~missing(df, name)).groupBy(col(name).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
     best = counted.agg(F.min(F.struct((-F.col("n")).alias("n"), "value"))["value"].alias("value"))
     kind = df.schema[name].dataType
     fill = F.lit(best.first()["value"]).cast(kind)
-    return df.withColumn(name, F.coalesce(col(name), fill))
+    return df.withColumn(name, F.when(missing(df, name), fill).otherwise(col(name)))
 
 
 def remove_outliers(df: DataFrame, name: str, **options) -> DataFrame:
@@ -124,7 +124,7 @@ def rows_above_threshold(df: DataFrame, name: str) -> DataFrame:
 
 
 def rows_missing(df: DataFrame, name: str) -> DataFrame:
-    return df.where(col(name).isNull())
+    return df.where(missing(df, name))
 
 
 def rows_duplicated(df: DataFrame, chunk: int = 1_000_000) -> DataFrame:
@@ -163,13 +163,13 @@ def require_rows(df: DataFrame, least: int = 10) -> DataFrame:
 
 def filter_values(df: DataFrame, name: str) -> DataFrame:
     return (
-        df.where(col(name).isNotNull()).select(col(name).alias("value")).distinct().orderBy("value")
+        df.where(~missing(df, name)).select(col(name).alias("value")).distinct().orderBy("value")
     )
 
 
 def label_codes(df: DataFrame, name: str) -> DataFrame:
     """(value, code): distinct values in order, numbered from 0."""
-    values = df.where(col(name).isNotNull()).select(col(name).alias("value")).distinct()
+    values = df.where(~missing(df, name)).select(col(name).alias("value")).distinct()
     return with_row_number(values, ["value"], "code")
 
 

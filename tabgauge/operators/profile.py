@@ -7,24 +7,28 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabgauge.functions.expr import (
     as_text,
-    cell_groups,
     col,
     compact,
     grade,
     one_row_per_column,
     percent,
+    stand_in,
     unfold,
     value_counts_by_column,
 )
 from tabgauge.functions.rules import Z_LIMIT
 from tabgauge.operators.quantiles import (
+    FLOATING,
+    WHOLE_TYPES,
     Fences,
     exact_quantiles,
     find_fences,
     inside,
+    missing,
     number,
     outside,
 )
@@ -33,26 +37,75 @@ from tabgauge.operators.roles import numeric_columns, text_columns, type_name
 QUALITY_STEPS = [(5.0, "Good")]
 
 
+# Values that one bitmap of ``bitmap_construct_agg`` tells apart.
+BITMAP = 32768
+
+
+def _as_whole(df: DataFrame, name: str) -> Column | None:
+    """A whole number that stands for the cell; null for cells that are not whole."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, WHOLE_TYPES):
+        return col(name).cast("bigint")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(col(name)).cast("bigint")
+    if isinstance(kind, FLOATING):
+        value = number(df, name)
+        return F.when(value == F.floor(value), F.floor(value))
+    return None
+
+
+def _narrow_columns(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """The smallest value of each column of whole values that span less than a bitmap."""
+    whole = {c: v for c in columns if (v := _as_whole(df, c)) is not None}
+    if not whole:
+        return {}
+    facts = df.agg(
+        *[
+            f.alias(f"{t}{i}")
+            for i, (c, v) in enumerate(whole.items())
+            for t, f in (
+                ("a", F.min(v)),
+                ("b", F.max(v)),
+                ("n", F.count_if(~missing(df, c) & v.isNull())),
+            )
+        ]
+    ).first()
+    found = {}
+    for i, name in enumerate(whole):
+        low, high = facts[f"a{i}"], facts[f"b{i}"]
+        if low is not None and not facts[f"n{i}"] and high - low < BITMAP:
+            found[name] = low
+    return found
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(position, unique), nulls not counted.
+    """(position, unique), missing cells not counted.
 
-    Cells are counted as narrow (position, value) rows, so equal cells merge
-    before the shuffle and no distinct value set sits in one buffer. Columns of
-    one type share a scan of just those columns. Long text travels as a digest.
+    One aggregate over the columns of numbers finds those whose values are whole and close
+    together; a bitmap each counts them, all in one more aggregate. Each of the others is
+    counted from its own column alone, its equal cells merging before the shuffle, so no
+    cells are unfolded into rows and no distinct value set sits in one buffer. Long text
+    travels as a digest.
     """
+    columns = list(columns)
+    narrow = _narrow_columns(df, columns)
     counted = []
-    for places, cells in cell_groups(df, columns):
-        place = F.array(*[F.lit(p) for p in places])[F.col("position")]
-        counted.append(
-            unfold(df, cells)
-            .where(F.col("value").isNotNull())
-            .groupBy("position", "value")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("position")
-            .agg(F.count(F.lit(1)).alias("unique"))
-            .select(place.alias("position"), "unique")
-        )
-    return reduce(DataFrame.unionByName, counted)
+    if narrow:
+        bits = [
+            F.bitmap_count(
+                F.bitmap_construct_agg(F.bitmap_bit_position(_as_whole(df, c) - F.lit(low) + 1))
+            ).alias(c)
+            for c, low in narrow.items()
+        ]
+        places = [F.struct(F.lit(columns.index(c)).alias("position"), col(c).alias("unique")) for c in narrow]
+        counted.append(df.agg(*bits).select(F.inline(F.array(*places))))
+    for position, name in enumerate(columns):
+        if name in narrow:
+            continue
+        cell = F.when(~missing(df, name), stand_in(df, name)).alias("value")
+        place = F.lit(position).alias("position")
+        counted.append(df.select(cell).distinct().agg(place, F.count("value").alias("unique")))
+    return reduce(DataFrame.union, counted)
 
 
 def column_facts(
@@ -67,11 +120,11 @@ def column_facts(
 
     measures = {
         "rows": lambda c: F.count(F.lit(1)),
-        "missing": lambda c: F.count_if(col(c).isNull()),
+        "missing": lambda c: F.count_if(missing(df, c)),
         "mean": mean,
     }
     if not exact:
-        measures["unique"] = lambda c: F.approx_count_distinct(col(c))
+        measures["unique"] = lambda c: F.approx_count_distinct(F.when(~missing(df, c), col(c)))
     facts = one_row_per_column(
         df, columns, measures, {"type": lambda c: F.lit(type_name(df, c))}
     )
@@ -87,7 +140,8 @@ def column_summary(df: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def _counted(df: DataFrame, name: str) -> DataFrame:
-    return df.groupBy(col(name).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    value = F.when(~missing(df, name), col(name))
+    return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _most_frequent() -> Column:
@@ -184,7 +238,7 @@ def categorical_stats(df: DataFrame, name: str) -> DataFrame:
 def value_counts(df: DataFrame, name: str, n: int | None = 20) -> DataFrame:
     """Most frequent values first; ties in value order. ``n=None`` lists all."""
     counted = (
-        df.where(col(name).isNotNull())
+        df.where(~missing(df, name))
         .groupBy(col(name).alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "value")
@@ -196,7 +250,7 @@ def missing_of(df: DataFrame) -> Column:
     """Missing cells of all columns, as one aggregate expression."""
     total = F.lit(0).cast("bigint")
     for name in df.columns:
-        total = total + F.count_if(col(name).isNull())
+        total = total + F.count_if(missing(df, name))
     return total
 
 
@@ -222,7 +276,7 @@ def missing_by_column(df: DataFrame) -> DataFrame:
         df.columns,
         {
             "rows": lambda c: F.count(F.lit(1)),
-            "missing": lambda c: F.count_if(col(c).isNull()),
+            "missing": lambda c: F.count_if(missing(df, c)),
         },
     ).withColumn("missing_pct", percent(F.col("missing"), F.col("rows")))
 
@@ -408,42 +462,41 @@ def quality_label(missing_pct: Column) -> Column:
     )
 
 
+# First rows that are looked at for the first values of all columns together.
+FIRST_ROWS = 64
+
+
 def first_values(df: DataFrame, key: Sequence[str], n: int = 3) -> DataFrame:
     """(position, sample): the first ``n`` values of each column in key order.
 
-    One aggregate finds the smallest (key, value) of every column, the next one the
-    smallest above that, and so on: ``n`` scans for any number of columns. The key is
-    taken to be unique.
+    One scan takes the first rows of the table, each task keeping its own first few, and
+    most columns have their values there. A column with more gaps than that is read by
+    itself in the same way, with its gaps left out in the scan. The key is taken to be
+    unique.
     """
-    at = F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(key)])
-    kinds = [df.schema[k].dataType for k in key]
-    found: list[list] = [[] for _ in df.columns]
-    for _ in range(n):
-        wanted = []
-        for position, name in enumerate(df.columns):
-            use = col(name).isNotNull()
-            if found[position]:
-                last = found[position][-1]["at"]
-                if last is None:
-                    use = F.lit(False)
-                else:
-                    limit = [
-                        F.lit(last[f"k{i}"]).cast(kind).alias(f"k{i}")
-                        for i, kind in enumerate(kinds)
-                    ]
-                    use = use & (at > F.struct(*limit))
-            cell = F.struct(at.alias("at"), as_text(df, name).alias("value"))
-            wanted.append(F.min_by(cell, F.when(use, at)).alias(str(position)))
-        row = df.agg(*wanted).first()
-        for position in range(len(df.columns)):
-            found[position].append(row[position] or {"at": None, "value": None})
-    # One row per column of the table.
-    rows = [
-        (position, ", ".join(v["value"] for v in values if v["at"] is not None))
-        for position, values in enumerate(found)
-        if values[0]["at"] is not None
+    order = [col(k) for k in key]
+    names = [f"v{i}" for i in range(len(df.columns))]
+    cells = [
+        F.when(~missing(df, c), as_text(df, c)).alias(v) for c, v in zip(df.columns, names)
     ]
-    return df.sparkSession.createDataFrame(rows, "position int, sample string")
+    rows = df.orderBy(*order).limit(FIRST_ROWS).select(*cells).collect()
+    found = [[r[v] for r in rows if r[v] is not None][:n] for v in names]
+    if len(rows) == FIRST_ROWS:
+        short = [i for i, values in enumerate(found) if len(values) < n]
+        parts = [
+            df.where(~missing(df, df.columns[i]))
+            .orderBy(*order)
+            .limit(n)
+            .select(F.lit(i).alias("position"), as_text(df, df.columns[i]).alias("value"))
+            for i in short
+        ]
+        for i in short:
+            found[i] = []
+        for row in reduce(DataFrame.union, parts).collect() if parts else ():
+            found[row["position"]].append(row["value"])
+    # One row per column of the table.
+    samples = [(i, ", ".join(values)) for i, values in enumerate(found) if values]
+    return df.sparkSession.createDataFrame(samples, "position int, sample string")
 
 
 def profile_report(df: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
@@ -480,7 +533,14 @@ def cardinality(df: DataFrame) -> DataFrame:
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    return column_facts(df).where(F.col("unique") == 1).select("position", "column")
+    """Columns with one value, gaps aside: their smallest value is their largest."""
+
+    def still(name: str) -> Column:
+        cell = F.when(~missing(df, name), stand_in(df, name))
+        return F.coalesce(F.min(cell) == F.max(cell), F.lit(False))
+
+    facts = one_row_per_column(df, df.columns, {"still": still})
+    return facts.where("still").select("position", "column")
 
 
 def find_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple]:

@@ -177,22 +177,21 @@ def exact_quantiles(
         }
 
     # NaN is missing here: sketches leave it out, and so do the later scans.
-    real = [F.nanvl(col(c), F.lit(None).cast("double")).alias(c) for c in columns]
-    known = data.select(*real)
-    sizes = gathered(
-        known, {c: F.count(col(c)) for c in columns}, columns, lows=columns, highs=columns, k=k
-    ).first()
+    sizes = gathered(data, columns, k=k).first()
+    filled = [c for c in columns if sizes[f"n:{c}"]]
+    ends = quantiles_of(df.sparkSession, [(sizes[f"s:{c}"], (0.0, 1.0)) for c in filled])
     found: dict[tuple[str, int], float] = {}
     cells, sketches = [], []
-    for name in columns:
+    for name, (least, most) in zip(filled, ends):
         n = sizes[f"n:{name}"]
-        for p in probabilities if n else ():
-            found[name, 0], found[name, n - 1] = sizes[f"a:{name}"], sizes[f"b:{name}"]
-            ranks = [r for r in neighbours(n, p) if (name, r) not in found]
+        found[name, 0], found[name, n - 1] = least, most
+        for p in probabilities:
+            ranks = [r for r in dict.fromkeys(neighbours(n, p)) if (name, r) not in found]
             if ranks:
                 cells.append(Cell(name, None, None, 0, n, ranks))
                 sketches.append(sizes[f"s:{name}"])
-    _bracket(df.sparkSession, cells, sketches, k)
+    large = [i for i, cell in enumerate(cells) if cell.inside > keep]
+    bracket(df.sparkSession, [cells[i] for i in large], [sketches[i] for i in large], k)
     close_in(data, cells, found, k, keep)
 
     result: dict[str, list[float | None]] = {}
@@ -214,7 +213,7 @@ def neighbours(n: int, p: float) -> tuple[int, int]:
     return math.floor(place), math.ceil(place)
 
 
-def _bracket(spark, cells: list[Cell], sketches: list[bytes], k: int) -> None:
+def bracket(spark, cells: list[Cell], sketches: list[bytes], k: int) -> None:
     """Likely borders of the ranks of each cell, from a sketch of the values in it."""
     error = error_of(k)
     shares = [
@@ -239,51 +238,57 @@ def close_in(
 
     A cell that holds few values is looked into at once."""
     while cells:
-        inner = [c for c in cells if c.inside <= keep]
-        large = [c for c in cells if c.inside > keep]
-        for cell, counts in zip(large, _count_borders(data, large)):
-            inner += _parts(cell, counts, found)
-        cells = _look_inside(data, inner, found, k, keep)
-
-
-def _count_borders(data: DataFrame, cells: list[Cell]) -> list[list[int]]:
-    """Values of each column below its cell's low border, up to it, below the high one, and
-    up to that; one scan."""
+        inner = [c for c in cells if c.inside <= keep or c.lo is None]
+        bordered = [c for c in cells if c.inside > keep and c.lo is not None]
+        again = []
+        for cell, counts in zip(bordered, _count_borders(data, bordered)):
+            parts = _parts(cell, counts, found)
+            inner += [c for c in parts if c.lo is None]
+            again += [c for c in parts if c.lo is not None]
+        cells = again + _look_inside(data, inner, found, k, keep)
+
+
+def _tests(cell: Cell) -> tuple[str, str]:
+    """What tells a rank between the borders: values up to the low one, and below the high
+    one. Where both are one value, those below it and up to it."""
+    name, lo, hi = sql_name(cell.name), sql_double(cell.lo), sql_double(cell.hi)
+    first, second = ("<", "<=") if cell.lo == cell.hi else ("<=", "<")
+    return f"{name} {first} {lo}", f"{name} {second} {hi}"
+
+
+def _count_borders(data: DataFrame, cells: list[Cell]) -> list[tuple[int, int]]:
+    """The two counts of each cell; one scan."""
     if not cells:
         return []
-    tests = [
-        f"{sql_name(c.name)} {test} {sql_double(border)}"
-        for c in cells
-        for border in (c.lo, c.hi)
-        for test in ("<", "<=")
-    ]
-    different = list(dict.fromkeys(tests))
+    different = list(dict.fromkeys(t for c in cells for t in _tests(c)))
     counts = [f"sum(CASE WHEN {t} THEN 1L ELSE 0L END)" for t in different]
     row = data.agg(*[F.expr(c).alias(str(i)) for i, c in enumerate(counts)]).first()
     counted = dict(zip(different, row))
-    found = [counted[t] for t in tests]
-    return [found[i : i + 4] for i in range(0, len(found), 4)]
-
-
-def _parts(cell: Cell, counts: list[int], found: dict[tuple[str, int], float]) -> list[Cell]:
-    """The ranks at the borders are found; the parts of the cell that hold the others."""
-    under_lo, upto_lo, under_hi, upto_hi = counts
-    name, end = cell.name, cell.below + cell.inside
-    pieces = [
-        # The outer two are needed only if the sketch was further off than it should be.
-        Cell(name, cell.low, cell.lo, cell.below, under_lo - cell.below, []),
-        Cell(name, cell.lo, cell.hi, upto_lo, under_hi - upto_lo, []),
-        Cell(name, cell.hi, cell.high, upto_hi, end - upto_hi, []),
-    ]
+    return [tuple(counted[t] for t in _tests(c)) for c in cells]
+
+
+def _parts(cell: Cell, counts: tuple[int, int], found: dict[tuple[str, int], float]) -> list[Cell]:
+    """The ranks at a border are found; the parts of the cell that hold the others."""
+    first, second = counts
+    name, end, one = cell.name, cell.below + cell.inside, cell.lo == cell.hi
+    if one:
+        low = Cell(name, cell.low, cell.lo, cell.below, first - cell.below, [])
+        high = Cell(name, cell.hi, cell.high, second, end - second, [])
+    else:
+        # A rank that is not strictly between the borders is likely at one of them.
+        low = Cell(name, cell.low, cell.high, cell.below, cell.inside, [], cell.lo, cell.lo)
+        high = Cell(name, cell.low, cell.high, cell.below, cell.inside, [], cell.hi, cell.hi)
+    middle = Cell(name, cell.lo, cell.hi, first, second - first, [])
     for rank in cell.ranks:
-        if under_lo <= rank < upto_lo:
+        if rank < first:
+            low.ranks.append(rank)
+        elif rank >= second:
+            high.ranks.append(rank)
+        elif one:
             found[name, rank] = cell.lo
-        elif under_hi <= rank < upto_hi:
-            found[name, rank] = cell.hi
         else:
-            holder = next(c for c in pieces if c.below <= rank < c.below + c.inside)
-            holder.ranks.append(rank)
-    return [c for c in pieces if c.ranks]
+            middle.ranks.append(rank)
+    return [c for c in (low, middle, high) if c.ranks]
 
 
 def _look_inside(
@@ -293,34 +298,40 @@ def _look_inside(
     k: int,
     keep: int,
 ) -> list[Cell]:
-    """One scan: values of the cells that hold few are sorted and picked from, the others
-    are sketched; those come back with closer borders."""
-    if not cells:
-        return []
+    """One scan each: values of the cells that hold few are sorted and picked from, the
+    others are sketched; those come back with borders."""
     few, many, held = [], [], 0
     for cell in cells:
-        if cell.inside <= keep and held + cell.inside <= KEEP_TOGETHER:
+        shared = [c for c in few if (c.name, c.low, c.high) == (cell.name, cell.low, cell.high)]
+        if shared:
+            shared[0].ranks += cell.ranks
+        elif cell.inside <= keep and held + cell.inside <= KEEP_TOGETHER:
             few.append(cell)
             held += cell.inside
         else:
             many.append(cell)
-    names = [f"v{i}" for i in range(len(cells))]
+    if few:
+        lists = [F.sort_array(F.collect_list(f"v{i}")).alias(f"v{i}") for i in range(len(few))]
+        picked = [
+            F.get(F.col(f"v{i}"), F.lit(rank - cell.below)).alias(f"{i}_{rank}")
+            for i, cell in enumerate(few)
+            for rank in dict.fromkeys(cell.ranks)
+        ]
+        row = _cell_values(data, few).agg(*lists).select(*picked).first()
+        found.update({(c.name, r): row[f"{i}_{r}"] for i, c in enumerate(few) for r in c.ranks})
+    if many:
+        row = gathered(_cell_values(data, many), [f"v{i}" for i in range(len(many))], k=k).first()
+        bracket(data.sparkSession, many, [row[f"s:v{i}"] for i in range(len(many))], k)
+    return many
+
+
+def _cell_values(data: DataFrame, cells: list[Cell]) -> DataFrame:
+    """A column per cell with the values that lie in it."""
     values = [
-        F.expr(f"CASE WHEN {_within(c)} THEN {sql_name(c.name)} END").alias(name)
-        for c, name in zip(few + many, names)
+        F.expr(f"CASE WHEN {_within(c)} THEN {sql_name(c.name)} END").alias(f"v{i}")
+        for i, c in enumerate(cells)
     ]
-    listed, sketched = names[: len(few)], names[len(few) :]
-    row = gathered(data.where(_any_cell(cells)).select(*values), {}, sketched, listed, k=k)
-    picked = [
-        F.get(col(f"l:{name}"), F.lit(rank - cell.below)).alias(f"{name}_{rank}")
-        for cell, name in zip(few, names)
-        for rank in cell.ranks
-    ]
-    row = row.select(*[col(f"s:{c}") for c in sketched], *picked).first()
-    for cell, name in zip(few, names):
-        found.update({(cell.name, r): row[f"{name}_{r}"] for r in cell.ranks})
-    _bracket(data.sparkSession, many, [row[f"s:{c}"] for c in sketched], k)
-    return many
+    return data.where(" OR ".join(f"({_within(c)})" for c in cells)).select(*values)
 
 
 def _within(cell: Cell) -> str:
@@ -335,10 +346,6 @@ def _within(cell: Cell) -> str:
     return " AND ".join(limits)
 
 
-def _any_cell(cells: list[Cell]) -> str:
-    return " OR ".join(f"({_within(c)})" for c in cells)
-
-
 def find_fences(
     df: DataFrame, columns: Sequence[str], **options
 ) -> dict[str, Fences]:

@@ -30,37 +30,24 @@ def error_of(k: int) -> float:
 
 def gathered(
     data: DataFrame,
-    sums: dict[str, Column],
-    sketched: Sequence[str] = (),
-    listed: Sequence[str] = (),
-    lows: Sequence[str] = (),
-    highs: Sequence[str] = (),
+    columns: Sequence[str],
+    sums: dict[str, Column] | None = None,
     k: int = SKETCH,
     groups: int = GROUPS,
 ) -> DataFrame:
-    """One row over the whole frame: sums by name, and for columns a sketch (``s:``), the
-    sorted list of values (``l:``), the minimum (``a:``) and the maximum (``b:``)."""
-    size = F.lit(k)
+    """One row over the whole frame: a sketch of each column (``s:``) and the number of its
+    values (``n:``), missing and NaN left out, and sums by name (``n:``)."""
+    size, sums = F.lit(k), sums or {}
     first = data.groupBy((F.spark_partition_id() % groups).alias("group")).agg(
-        F.count(F.lit(1)).alias("rows"),
         *[c.alias(f"n:{name}") for name, c in sums.items()],
-        *[F.kll_sketch_agg_double(col(c), size).alias(f"s:{c}") for c in sketched],
-        *[F.collect_list(col(c)).alias(f"l:{c}") for c in listed],
-        *[F.min(col(c)).alias(f"a:{c}") for c in lows],
-        *[F.max(col(c)).alias(f"b:{c}") for c in highs],
+        *[F.kll_sketch_agg_double(col(c), size).alias(f"s:{c}") for c in columns],
     )
-    zero = F.lit(0).cast("bigint")
-    return first.agg(
-        F.coalesce(F.sum("rows"), zero).alias("rows"),
-        *[F.coalesce(F.sum(f"`n:{name}`"), zero).alias(f"n:{name}") for name in sums],
-        *[F.kll_merge_agg_double(col(f"s:{c}"), size).alias(f"s:{c}") for c in sketched],
-        *[
-            F.sort_array(F.flatten(F.collect_list(col(f"l:{c}")))).alias(f"l:{c}")
-            for c in listed
-        ],
-        *[F.min(col(f"a:{c}")).alias(f"a:{c}") for c in lows],
-        *[F.max(col(f"b:{c}")).alias(f"b:{c}") for c in highs],
+    merged = first.agg(
+        *[F.sum(col(f"n:{name}")).alias(f"n:{name}") for name in sums],
+        *[F.kll_merge_agg_double(col(f"s:{c}"), size).alias(f"s:{c}") for c in columns],
     )
+    counts = [F.kll_sketch_get_n_double(col(f"s:{c}")).alias(f"n:{c}") for c in columns]
+    return merged.select("*", *counts)
 
 
 def quantiles_of(

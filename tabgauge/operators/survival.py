@@ -43,7 +43,7 @@ from tabgauge.session import remove_path, scratch_path
 
 QUARTILES = (0.25, 0.75)
 # Shares of the ranks at which a sketch is read.
-GRID = 1000
+GRID = 500
 # Scans that improve the first guess, at most.
 ROUNDS = 4
 # Kept rows that are taken to the driver; more are worked on as a table.
@@ -154,7 +154,7 @@ def _sketched(data: DataFrame, guesses: list[Fences] | None, k: int):
         data = staged.select(
             *[F.expr(f"CASE WHEN alive >= {i} THEN {c} END").alias(c) for i, c in enumerate(names)]
         )
-    row = gathered(data, {c: F.count(c) for c in names}, names, k=k).first()
+    row = gathered(data, names, k=k).first()
     return _grids(data.sparkSession, row, names), [row[f"n:{c}"] for c in names]
 
 
@@ -216,7 +216,7 @@ class _Many:
         under, upto = counts
         found: dict = {}
         ranks = [under + place for place in places]
-        cell = Cell(f"c{i}", *limits, under, upto - under, ranks)
+        cell = Cell(f"c{i}", *limits, under, upto - under, list(ranks))
         close_in(self.rows, [cell], found, SKETCH, KEEP)
         return [found[cell.name, r] for r in ranks]
 

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabgauge.functions.expr import col, merge_rows
+from tabgauge.functions.expr import merge_rows
 from tabgauge.operators.correlation import corr_matrix, report_relationship
 from tabgauge.operators.groups import first_groups, trend
 from tabgauge.operators.profile import complete_columns, describe, histogram, profile_report
+from tabgauge.operators.quantiles import number
 from tabgauge.operators.roles import date_names, numeric_columns, text_columns
 from tabgauge.operators.series import trend_direction
 from tabgauge.plans.health import quality_report, report_health_score, report_recommendations
@@ -37,7 +38,7 @@ def report_story(df: DataFrame) -> DataFrame:
 
 def report_forecast(df: DataFrame, date: str, metric: str) -> DataFrame:
     """Current average and projected direction of a metric."""
-    average = df.agg(F.avg(col(metric)).alias("current_average"))
+    average = df.agg(F.avg(number(df, metric)).alias("current_average"))
     return merge_rows(average, trend_direction(df, date, metric).select("direction"))
 
 

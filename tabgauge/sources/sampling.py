@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import col
+from tabgauge.operators.quantiles import missing
 
 
 def sample_n(df: DataFrame, key: Sequence[str], n: int = 5000, seed: int = 42) -> DataFrame:
@@ -32,7 +33,7 @@ def missing_matrix(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """(key..., column, missing) of every cell, 1 where it is missing."""
     flags = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), col(c).isNull().cast("int").alias("missing"))
+            F.struct(F.lit(c).alias("column"), missing(df, c).cast("int").alias("missing"))
             for c in df.columns
         ]
     )
