@@ -42,8 +42,8 @@ def _forecast_category_summary(spark, sf_dir):
     j AS (SELECT c.event_type, current, mean, high, low,
         CASE WHEN current <> 0 THEN (mean - current) / current * 100 ELSE 0 END AS change_pct
         FROM c JOIN s ON c.event_type = s.event_type)
-    SELECT *, CASE WHEN change_pct > 2 THEN 'increase' WHEN change_pct < -2 THEN 'decrease'
-    ELSE 'remain stable' END AS direction FROM j""",
+    SELECT *, CASE WHEN change_pct > 2 THEN 'up' WHEN change_pct < -2 THEN 'down'
+    ELSE 'level' END AS direction FROM j""",
     current=4,
     mean=4,
     high=4,

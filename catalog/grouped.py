@@ -206,7 +206,7 @@ def _kpi(spark, sf_dir):
     CASE WHEN 100 - 2 * 100.0 * (2 * count(*) - count(quality) - count(toxic)) / (6 * count(*)) > 95
     THEN 'Excellent'
     WHEN 100 - 2 * 100.0 * (2 * count(*) - count(quality) - count(toxic)) / (6 * count(*)) > 80
-    THEN 'Check Sensors' ELSE 'Critical Issues' END AS integrity_status
+    THEN 'Fair' ELSE 'Poor' END AS integrity_status
     FROM {LABELLED} AS t, {fences(LABELLED, 'toxic')} AS f""",
     efficiency=4,
     integrity=4,

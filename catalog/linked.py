@@ -84,7 +84,7 @@ def _strong_corr(spark, sf_dir):
 @query(
     "strongest_pair",
     f"""SELECT col1, col2, r, abs(r) AS strength,
-    CASE WHEN r > 0 THEN 'in the same direction' ELSE 'in opposite directions' END AS direction,
+    CASE WHEN r > 0 THEN 'rising together' ELSE 'one falling as the other rises' END AS direction,
     CASE WHEN abs(r) > 0.8 THEN 'tight' WHEN abs(r) > 0.5 THEN 'clear'
     ELSE 'loose' END AS link FROM {BEST} AS b""",
     r=6,
@@ -97,8 +97,8 @@ def _strongest_pair(spark, sf_dir):
 @query(
     "report_relationship",
     f"""SELECT col1, col2, r,
-    CASE WHEN r > 0 THEN 'strong positive' ELSE 'strong negative' END AS relation,
-    CASE WHEN r > 0 THEN 'move in the same direction' ELSE 'move in the opposite direction' END
+    CASE WHEN r > 0 THEN 'positive, above the limit' ELSE 'negative, above the limit' END AS relation,
+    CASE WHEN r > 0 THEN 'both rise and fall together' ELSE 'one rises while the other falls' END
     AS movement FROM {BEST} AS b WHERE abs(r) > 0.5""",
     r=6,
 )

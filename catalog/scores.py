@@ -97,8 +97,8 @@ def _report_health_score(spark, sf_dir):
 
 @query(
     "integrity_score",
-    f"""SELECT s AS score, CASE WHEN s > 95 THEN 'Excellent' WHEN s > 80 THEN 'Check Sensors'
-    ELSE 'Critical Issues' END AS status FROM (
+    f"""SELECT s AS score, CASE WHEN s > 95 THEN 'Excellent' WHEN s > 80 THEN 'Fair'
+    ELSE 'Poor' END AS status FROM (
     SELECT greatest(0.0, 100 - 2 * missing_pct) AS s FROM {ORDER_FACTS} AS f) AS t""",
     score=4,
 )

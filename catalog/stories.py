@@ -75,8 +75,8 @@ def _narrative_facts(spark, sf_dir):
     ELSE 'level' END AS growth,
     CASE WHEN top_pct > 60 THEN 'in one place' WHEN top_pct > 40
     THEN 'uneven' ELSE 'spread out' END AS concentration,
-    CASE WHEN std < mean * 0.3 THEN 'relatively stable' WHEN std < mean * 0.6
-    THEN 'moderate variability' ELSE 'high variability' END AS variability,
+    CASE WHEN std < mean * 0.3 THEN 'steady' WHEN std < mean * 0.6
+    THEN 'varied' ELSE 'scattered' END AS variability,
     CASE WHEN spread > mean THEN 'wide' ELSE 'manageable' END AS spread FROM {TOLD} AS f""",
 )
 def _narrative_labels(spark, sf_dir):
@@ -158,8 +158,8 @@ def _action_list(spark, sf_dir):
 @query(
     "report_story",
     f"""SELECT 'l_orderkey' AS metric, mean, min, max, std,
-    CASE WHEN std < mean * 0.3 THEN 'relatively stable' WHEN std < mean * 0.6
-    THEN 'moderate variability' ELSE 'high variability' END AS variability
+    CASE WHEN std < mean * 0.3 THEN 'steady' WHEN std < mean * 0.6
+    THEN 'varied' ELSE 'scattered' END AS variability
     FROM ({describe_sql('lineitem', 'l_orderkey')}) AS d""",
     mean=2,
     std=2,

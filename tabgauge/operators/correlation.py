@@ -1,14 +1,23 @@
-"""Pearson correlation of column pairs, over the rows where both are present."""
+"""Pearson correlation of column pairs, over the rows where both are present.
+
+One aggregate finds means, extremes and gaps. One scan then adds up the Gram matrix of a
+vector per row. The vector holds the centred values, 0 where missing, and a 1; if there are
+gaps, also their squares, and for each column with gaps whether it is there. Every sum that a
+pair needs over the rows where both are present is an entry of that matrix, so tables of any
+width take the same two scans. The few entries of a narrow table are so many sums of one
+aggregate; for a wide one Spark's row matrix adds blocks in the JVM and merges them in a tree.
+"""
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark.ml.feature import VectorAssembler
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,123 +26,113 @@ from tabgauge.functions.rules import R_HIGH, R_STRONG, R_VERY_HIGH, R_VERY_STRON
 from tabgauge.operators.quantiles import number
 from tabgauge.operators.roles import numeric_columns
 
-# Pickled with the functions, so executors need no copy of the library.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-SUMS = ["n", "x", "y", "xx", "yy", "xy"]
 NO_VARIANCE = 1e-13
-
-def pair_sums(data: DataFrame, centre: list[float], pairs: list[tuple[int, int]]) -> DataFrame:
-    """(i, j, n, x, y, xx, yy, xy): sums over the rows where both columns are present.
-
-    One scan for any number of pairs: each batch gives the sums of all pairs as matrix
-    products, and they add up per task, then per pair.
-    """
-    middle = np.array(centre)
-    first, second = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((6, len(first)))
-        for part in parts:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns])
-            there = ~np.isnan(values)
-            x = np.where(there, values - middle, 0.0)
-            m = there.astype(float)
-            n, xm, xxm, xy = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
-            for k, (s, flip) in enumerate(
-                ((n, False), (xm, False), (xm, True), (xxm, False), (xxm, True), (xy, False))
-            ):
-                total[k] += s[second, first] if flip else s[first, second]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(first), pa.array(second), *[pa.array(t) for t in total]],
-            ["i", "j", *SUMS],
+# Entries of the matrix that share one aggregate, whose compiled code grows with them.
+ENTRIES = 128
+
+
+class Sums:
+    """Sums over the rows where both columns of a pair are present."""
+
+    def __init__(self, df: DataFrame, names: list[str], entries: int = ENTRIES):
+        data = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)])
+        facts = data.agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[
+                f(F.col(f"c{i}")).alias(f"{tag}{i}")
+                for i in range(len(names))
+                for tag, f in (("m", F.avg), ("a", F.min), ("b", F.max), ("n", F.count))
+            ],
+        ).first()
+        width = range(len(names))
+        self.constant = [facts[f"a{i}"] == facts[f"b{i}"] for i in width]
+        gaps = [i for i in width if facts[f"n{i}"] < facts["rows"]]
+        # Places in the vector: values, squares if there are gaps, who is there, and the 1.
+        squares = len(names) if gaps else 0
+        self.square = [i + squares for i in width]
+        self.there = {i: len(names) + squares + at for at, i in enumerate(gaps)}
+        self.one = one = len(names) + squares + len(gaps)
+        self.gram = np.zeros((one + 1, one + 1))
+        if not facts["rows"] or len(names) < 2:
+            return
+        zero = F.lit(0.0)
+        moved = [F.col(f"c{i}") - F.lit(facts[f"m{i}"] or 0.0) for i in width]
+        parts = [F.coalesce(m, zero).alias(f"x{i}") for i, m in enumerate(moved)]
+        if gaps:
+            parts += [F.coalesce(m * m, zero).alias(f"q{i}") for i, m in enumerate(moved)]
+        parts += [F.col(f"c{i}").isNotNull().cast("double").alias(f"t{i}") for i in gaps]
+        parts.append(F.lit(1.0).alias("one"))
+        wide = data.select(*parts)
+        size = one + 1
+        if size * (size + 1) // 2 <= entries:
+            a, b = np.triu_indices(size)
+            named = [F.col(c) for c in wide.columns]
+            sums = wide.agg(*[F.sum(named[i] * named[j]).alias(f"{i}_{j}") for i, j in zip(a, b)])
+            self.gram[a, b] = self.gram[b, a] = list(sums.first())
+        else:
+            rows = VectorAssembler(inputCols=wide.columns, outputCol="row", handleInvalid="keep")
+            vectors = MLUtils.convertVectorColumnsFromML(rows.transform(wide).select("row"), "row")
+            self.gram = RowMatrix(vectors, 0, size).computeGramianMatrix().toArray()
+
+    def correlation(self, i: int, j: int) -> float | None:
+        """r of a pair; None where one of them is constant."""
+        if self.constant[i] or self.constant[j]:
+            return None
+        g, one = self.gram, self.one
+        ti, tj = self.there.get(i, one), self.there.get(j, one)
+        n = g[ti, tj]
+        if not n:
+            return None
+        x, y, xy = g[i, tj], g[j, ti], g[i, j]
+        # Without gaps the square of a column is its own entry.
+        xx, yy = (
+            g[self.square[k], t if self.there else k] for k, t in ((i, tj), (j, ti))
         )
+        vx, vy = xx - x * x / n, yy - y * y / n
+        # What rounding leaves of a column that does not vary here is no variance.
+        if not (vx > xx * NO_VARIANCE and vy > yy * NO_VARIANCE):
+            return None
+        r = (xy - x * y / n) / (math.sqrt(vx) * math.sqrt(vy))
+        return None if math.isnan(r) else float(max(-1.0, min(1.0, r)))
+
 
-    schema = "i bigint, j bigint, " + ", ".join(f"{s} double" for s in SUMS)
-    sums = data.mapInArrow(run, schema)
-    return sums.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in SUMS])
+PAIRS = "i int, j int, col1 string, col2 string, r double"
 
 
 def corr_pairs(
-    df: DataFrame, columns: Sequence[str] | None = None, anchor: str | None = None
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    anchor: str | None = None,
+    entries: int = ENTRIES,
 ) -> DataFrame:
     """(i, j, col1, col2, r) for i < j; r is null where a column is constant.
 
-    ``anchor`` pairs that one column with each of the others and nothing else. One
-    aggregate finds means and constants; one scan takes the sums around those means.
+    ``anchor`` pairs that one column with each of the others and nothing else. The sums are
+    taken when the frame is built; it has one row per pair.
     """
     names = list(columns if columns is not None else numeric_columns(df))
     if anchor is not None:
         names = [anchor] + [c for c in names if c != anchor]
-    schema = "i int, j int, col1 string, col2 string, r double"
-    if len(names) < 2:
-        return df.sparkSession.createDataFrame([], schema)
-    data, means, constant = _centred(df, names)
+    pairs = list(combinations(range(len(names)), 2))
     if anchor is not None:
-        pairs = [(0, j) for j in range(1, len(names))]
-    else:
-        pairs = list(combinations(range(len(names)), 2))
-    return _pair_rows(data, names, means, constant, pairs)
-
-
-def _centred(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[float], list[bool]]:
-    data = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    facts = data.agg(
-        *[
-            f(F.col(f"c{i}")).alias(f"{tag}{i}")
-            for i in range(len(names))
-            for tag, f in (("m", F.avg), ("a", F.min), ("b", F.max))
-        ]
-    ).first()
-    means = [facts[f"m{i}"] or 0.0 for i in range(len(names))]
-    return data, means, [facts[f"a{i}"] == facts[f"b{i}"] for i in range(len(names))]
-
-
-def _pair_rows(
-    data: DataFrame,
-    names: list[str],
-    means: list[float],
-    constant: list[bool],
-    pairs: list[tuple[int, int]],
-) -> DataFrame:
-    sums = pair_sums(data, means, pairs)
-    c = F.col
-    vx, vy = c("xx") - c("x") * c("x") / c("n"), c("yy") - c("y") * c("y") / c("n")
-    # What rounding leaves of a column that does not vary here is no variance.
-    varies = (vx > c("xx") * NO_VARIANCE) & (vy > c("yy") * NO_VARIANCE)
-    r = (c("xy") - c("x") * c("y") / c("n")) / (F.sqrt(vx) * F.sqrt(vy))
-    label = F.array(*[F.lit(n) for n in names])
-    still = F.array(*[F.lit(x) for x in constant])
-    known = (c("n") > 0) & varies & ~still[c("i").cast("int")] & ~still[c("j").cast("int")]
-    return sums.select(
-        c("i").cast("int").alias("i"),
-        c("j").cast("int").alias("j"),
-        label[c("i").cast("int")].alias("col1"),
-        label[c("j").cast("int")].alias("col2"),
-        F.when(known, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"),
-    )
+        pairs = [(i, j) for i, j in pairs if i == 0]
+    sums = Sums(df, names, entries) if pairs else None
+    rows = [(i, j, names[i], names[j], sums.correlation(i, j)) for i, j in pairs]
+    return df.sparkSession.createDataFrame(rows, PAIRS)
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The full square in long form (col1, col2, r), diagonal included."""
     names = list(columns if columns is not None else numeric_columns(df))
-    if not names:
-        return df.sparkSession.createDataFrame([], "col1 string, col2 string, r double")
-    data, means, constant = _centred(df, names)
-    # One row per column.
-    diagonal = df.sparkSession.createDataFrame(
-        [(c, c, None if constant[i] else 1.0) for i, c in enumerate(names)],
-        "col1 string, col2 string, r double",
-    )
-    if len(names) < 2:
-        return diagonal
-    pairs = list(combinations(range(len(names)), 2))
-    both = F.array(
-        F.struct("col1", "col2", "r"),
-        F.struct(F.col("col2").alias("col1"), F.col("col1").alias("col2"), "r"),
-    )
-    found = _pair_rows(data, names, means, constant, pairs)
-    return found.select(F.inline(both)).unionByName(diagonal)
+    rows = []
+    if names:
+        sums = Sums(df, names)
+        for i, a in enumerate(names):
+            rows.append((a, a, None if sums.constant[i] else 1.0))
+            for j in range(i + 1, len(names)):
+                r = sums.correlation(i, j)
+                rows += [(a, names[j], r), (names[j], a, r)]
+    return df.sparkSession.createDataFrame(rows, "col1 string, col2 string, r double")
 
 
 def high_corr_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -181,8 +180,8 @@ def strongest_pair(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
         "col2",
         "r",
         strength.alias("strength"),
-        F.when(F.col("r") > 0, "in the same direction")
-        .when(F.col("r").isNotNull(), "in opposite directions")
+        F.when(F.col("r") > 0, "rising together")
+        .when(F.col("r").isNotNull(), "one falling as the other rises")
         .alias("direction"),
         grade_above(
             F.abs(F.col("r")),
@@ -200,9 +199,9 @@ def report_relationship(df: DataFrame, columns: Sequence[str] | None = None) ->
         "col1",
         "col2",
         "r",
-        F.when(up, "strong positive").otherwise("strong negative").alias("relation"),
-        F.when(up, "move in the same direction")
-        .otherwise("move in the opposite direction")
+        F.when(up, "positive, above the limit").otherwise("negative, above the limit").alias("relation"),
+        F.when(up, "both rise and fall together")
+        .otherwise("one rises while the other falls")
         .alias("movement"),
     )
 

@@ -53,7 +53,7 @@ def forecast_numeric_summary(
     change = F.when(F.col("current") != 0, moved).otherwise(0.0)
     return facts.withColumn("change_pct", change).withColumn(
         "direction",
-        F.when(F.col("change_pct") > 2, "increase")
-        .when(F.col("change_pct") < -2, "decrease")
-        .otherwise("remain stable"),
+        F.when(F.col("change_pct") > 2, "up")
+        .when(F.col("change_pct") < -2, "down")
+        .otherwise("level"),
     )

@@ -105,9 +105,9 @@ def concentration_label(share: Column) -> Column:
 
 def variability_label(std: Column, mean: Column) -> Column:
     return (
-        F.when(std < mean * 0.3, "relatively stable")
-        .when(std < mean * 0.6, "moderate variability")
-        .otherwise("high variability")
+        F.when(std < mean * 0.3, "steady")
+        .when(std < mean * 0.6, "varied")
+        .otherwise("scattered")
     )
 
 

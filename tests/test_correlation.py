@@ -3,7 +3,10 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tabgauge.operators.correlation import (
+    Sums,
     corr_matrix,
     corr_pairs,
     high_corr_pairs,
@@ -42,9 +45,10 @@ def mixed(spark):
     return spark.createDataFrame(rows, "a double, b double, c double, k double, n int")
 
 
-def test_pairs_use_rows_where_both_are_present(mixed):
+@pytest.mark.parametrize("entries", [0, 128])
+def test_pairs_use_rows_where_both_are_present(mixed, entries):
     want = mixed.toPandas().corr()
-    got = pairs(corr_pairs(mixed))
+    got = pairs(corr_pairs(mixed, entries=entries))
     assert len(got) == 10
     for (x, y), r in got.items():
         if "k" in (x, y) or "n" in (x, y):
@@ -53,17 +57,36 @@ def test_pairs_use_rows_where_both_are_present(mixed):
             assert r == pytest.approx(want.loc[x, y])
 
 
-def test_gap_free_columns_match_pandas(spark, sf_dir):
+@pytest.mark.parametrize("entries", [0, 128])
+def test_gap_free_columns_match_pandas(spark, sf_dir, entries):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_extendedprice", "l_tax")
     want = df.toPandas().corr()
-    for (x, y), r in pairs(corr_pairs(df)).items():
+    for (x, y), r in pairs(corr_pairs(df, entries=entries)).items():
         assert r == pytest.approx(want.loc[x, y])
 
 
+def test_sums_stay_in_the_jvm(mixed, monkeypatch):
+    """Sums for any width in one matrix, and no rows go through Python."""
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(mixed), name, None)
+    for df, size in ((mixed, 2 * 5 + 3), (mixed.na.drop(), 5 + 1)):
+        assert Sums(df, df.columns).gram.shape == (size, size)
+        assert Sums(df, df.columns, 0).gram == pytest.approx(Sums(df, df.columns).gram)
+    wide = mixed.select(*[(F.col("a") * i + F.col("b")).alias(f"w{i}") for i in range(60)])
+    assert corr_pairs(wide).count() == 60 * 59 // 2
+
+
+def test_infinite_values_have_no_correlation(spark):
+    df = spark.createDataFrame([(1.0, float("inf")), (2.0, 1.0), (3.0, 2.0)], "x double, y double")
+    for entries in (0, 128):
+        assert pairs(corr_pairs(df, entries=entries)) == {("x", "y"): None}
+
+
 def test_a_column_constant_where_both_are_present_has_no_correlation(spark):
     rows = [(1.0, 1.0), (1.0, 2.0), (1.0, 5.0), (9.0, None)]
     df = spark.createDataFrame(rows, "x double, y double")
-    assert pairs(corr_pairs(df)) == {("x", "y"): None}
+    for entries in (0, 128):
+        assert pairs(corr_pairs(df, entries=entries)) == {("x", "y"): None}
     assert strongest_pair(df).first()["strength"] == 0.0
     assert report_relationship(df).count() == 0
 
@@ -80,8 +103,8 @@ def test_strong_pairs(mixed):
     assert high_corr_pairs(mixed).first()["issue"] == "Very High"
     assert strong_corr(mixed).count() == 1
     best = strongest_pair(mixed).first()
-    assert (best["col1"], best["col2"], best["direction"]) == ("a", "b", "in the same direction")
-    assert report_relationship(mixed).first()["relation"] == "strong positive"
+    assert (best["col1"], best["col2"], best["direction"]) == ("a", "b", "rising together")
+    assert report_relationship(mixed).first()["relation"] == "positive, above the limit"
 
 
 def test_nan_is_missing_in_correlation(spark):

@@ -155,6 +155,6 @@ def test_summaries(spark):
     history = spark.createDataFrame([(day(1), 5.0), (day(2), 2.0)], "day date, y double")
     row = forecast_numeric_summary(history, given).first()
     assert row["current"] == 2.0
-    assert row["direction"] == "increase"
+    assert row["direction"] == "up"
     zero = spark.createDataFrame([(day(1), 0.0)], "day date, y double")
     assert forecast_numeric_summary(zero, given).first()["change_pct"] == 0.0
