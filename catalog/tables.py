@@ -17,6 +17,7 @@ from tabgauge.session import scratch_path
 from tabgauge.sources.messages import (
     append_messages,
     chat_export,
+    clear_log,
     clear_messages,
     load_messages,
     message_count,
@@ -106,6 +107,36 @@ def _load_messages(spark, sf_dir):
     return load_messages(log, _busiest(log), "conv_id", "text", "turn")
 
 
+@query(
+    "load_messages_tied",
+    f"""SELECT row_number() OVER (ORDER BY turn) AS place, role, "text" AS content
+    FROM conversations WHERE conv_id = {BUSIEST}""",
+)
+def _load_messages_tied(spark, sf_dir):
+    """All turns in one append, with one time; a user's messages keep their order."""
+    path = scratch_path(spark)
+    log = table(spark, sf_dir, "conversations")
+    user = F.col("conv_id").cast("string").alias("user_email")
+    rows = log.orderBy("conv_id", "turn").select(user, "role", F.col("text").alias("message"))
+    append_messages(path, rows)
+    return load_messages(read_messages(spark, path), str(_busiest(log)), place="place")
+
+
+@query(
+    "clear_log",
+    f"""SELECT CAST(conv_id AS VARCHAR) AS user_email, role, "text" AS message
+    FROM conversations WHERE conv_id <> {BUSIEST}""",
+)
+def _clear_log(spark, sf_dir):
+    """The turns as a stored log, and one user's rows removed from it."""
+    path = scratch_path(spark)
+    log = table(spark, sf_dir, "conversations")
+    user = F.col("conv_id").cast("string").alias("user_email")
+    append_messages(path, log.select(user, "role", F.col("text").alias("message")))
+    clear_log(spark, path, str(_busiest(log)))
+    return read_messages(spark, path).select("user_email", "role", "message")
+
+
 @query("clear_messages", f"SELECT * FROM conversations WHERE conv_id <> {BUSIEST}")
 def _clear_messages(spark, sf_dir):
     log = table(spark, sf_dir, "conversations")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabgauge.functions.expr import col
+from tabgauge.functions.expr import DATE_TYPES, col
 from tabgauge.functions.rules import DATE_PHRASES
 from tabgauge.operators.correlation import strong_corr
 from tabgauge.operators.profile import category_insights, numeric_insights
@@ -86,10 +88,62 @@ def asked_day(question: str) -> str | None:
     return next((day for phrase, day in DATE_PHRASES if phrase in lowered), None)
 
 
+# What a stored text date looks like if its order is that of the days; nothing may follow
+# the time of day.
+ISO_TEXT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]*)?$"
+MOST_YEARS = 400
+
+
+def day_ranges(first: int, last: int, day: str) -> list[tuple[str, str | None]]:
+    """Start and end, the end left out, of the stretches of days whose text contains the
+    month and day: that day of every year, and in a year that ends in the digits of the month
+    the whole month numbered as the day."""
+    month, number = int(day[:2]), int(day[3:])
+    found = []
+    for year in range(first, last + 1):
+        try:
+            start = datetime.date(year, month, number)
+        except ValueError:
+            start = None
+        if start == datetime.date.max:
+            found.append((start, None))
+        elif start:
+            found.append((start, start + datetime.timedelta(1)))
+        if year % 100 == month and 1 <= number <= 12:
+            after = datetime.date(year + number // 12, number % 12 + 1, 1)
+            found.append((datetime.date(year, number, 1), after))
+    return [(str(a), None if b is None else str(b)) for a, b in found]
+
+
 def date_text_filter(df: DataFrame, date: str, question: str) -> DataFrame:
-    """Rows whose date, as text, contains the asked month and day."""
+    """Rows whose date, as text, contains the asked month and day.
+
+    The first and last year of the column turn the question into ranges of days, which the
+    scan can use to skip row groups; only dates that are not in the order of their text are
+    searched as text.
+    """
     day = asked_day(question)
-    return df.where(col(date).cast("string").contains(day)) if day else df
+    if not day:
+        return df
+    text = col(date).cast("string").contains(day)
+    kind = df.schema[date].dataType
+    if isinstance(kind, DATE_TYPES):
+        ends, ordered = (F.year(F.min(col(date))), F.year(F.max(col(date)))), F.lit(True)
+    elif isinstance(kind, T.StringType):
+        ends = (F.left(f(col(date)), F.lit(4)).try_cast("int") for f in (F.min, F.max))
+        ordered = F.coalesce(F.bool_and(col(date).rlike(ISO_TEXT)), F.lit(True))
+    else:
+        return df.where(text)
+    first, last, ordered = df.agg(*ends, ordered).first()
+    if first is None and ordered:
+        return df.where(F.lit(False))
+    if not ordered or first < 1 or last > 9999 or last - first > MOST_YEARS:
+        return df.where(text)
+    wanted = F.lit(False)
+    for start, end in day_ranges(first, last, day):
+        inside = col(date) >= F.lit(start).cast(kind)
+        wanted = wanted | (inside if end is None else inside & (col(date) < F.lit(end).cast(kind)))
+    return df.where(wanted)
 
 
 def shown_columns(columns: Sequence[str], date: str | None) -> list[str]:
