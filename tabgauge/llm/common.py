@@ -30,15 +30,20 @@ def id_key(name: str) -> Column:
     return F.coalesce(col(name).cast("bigint"), F.lit(LAST_ID))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared scratch folder and read it back.
+def saved_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame written to the shared scratch folder and read back, and where it is.
 
     Cuts the lineage, and fixes generated ids, in a way that outlives executors.
     """
     spark = df.sparkSession
     path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """The frame written to the shared scratch folder and read back."""
+    return saved_at(df)[0]
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:

@@ -8,14 +8,19 @@ Shingles have one global order: the others by hash, then frequent ones, rarest f
 shingle among the first ``size - ceil(percent% of size) + 1`` of each (the prefix), so only
 documents that share a prefix shingle can link:
 
-- A shingle in the prefix of at most ``bucket`` classes pairs them all. The shared prefix
-  shingles of a pair are counted; with the sizes they bound its overlap, and most pairs
-  end there.
-- A shingle in more prefixes (large groups of near copies, boilerplate) pairs its classes
-  in rounds with a few leaders, one each of the smallest components found so far. A leader
-  has then met all others and leaves; the bucket ends when one component is left. No pair
-  of different components goes unseen, and no round makes more than ``LEADERS`` pairs per
-  row, and fewer in larger buckets.
+- At the first shingle that two sets share in the order, nothing before it is shared, so
+  what each has left from there on bounds their overlap. A bucket, that is the classes with
+  a shingle in their prefix, pairs only classes whose bound is enough. In every such pair
+  the smaller set has the shingle near its front; it is a core member of the bucket.
+- In a bucket of at most ``bucket`` classes the shared prefix shingles of a pair are counted
+  as well, which ends most of the others. The pairs left are verified in two waves: each
+  class with the partner it shares most with, then the pairs that still lie in different
+  components.
+- A larger bucket (large groups of near copies, boilerplate) meets a few leaders in each
+  round, core members of its smallest components. A leader has then met all others and
+  leaves; the bucket ends when one component or no core member is left. Leaders grow from
+  round to round, so that near copies merge at the cost of a few pairs each, and dissimilar
+  classes need few rounds. No pair of different components goes unseen.
 
 Candidate pairs are verified by vertical partitioning: the order is cut into fragments by
 hash, the overlap of each fragment is counted by itself, and the counts are summed per
@@ -47,17 +52,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabgauge.functions.expr import col
-from tabgauge.llm.common import LAST_ID, id_key, saved, whole_text
+from tabgauge.llm.common import LAST_ID, id_key, saved, saved_at, whole_text
 from tabgauge.llm.suffix import Hashes, Scale, binary_column, mix, signed
+from tabgauge.session import remove_path, scratch_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORDS = 4
 PERCENT = 85
 BUCKET = 64
-# Leaders of a bucket per round: 2 at least, so that they meet about this many members.
-LEADERS = 64
-MEETINGS = 16_384
+# Leaders of a large bucket in the first round, and their growth from round to round.
+LEADERS = 2
+GROWTH = 8
 FRAGMENTS = 8
 SEEN = 2
 FREQUENT = 8
@@ -306,16 +312,32 @@ def components(links: DataFrame) -> DataFrame:
     return whole
 
 
-def small_buckets(shared: DataFrame, classes: DataFrame, percent: int, bucket: int) -> DataFrame:
-    """Candidate pairs (a, b, na, nb) that share a prefix shingle of a small bucket."""
+def viable(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether two sets can link whose first shared shingle has these places in them."""
+    return F.least(na - pa, nb - pb) * (100 + percent) >= (na + nb) * percent
+
+
+def core(n: Column, p: Column, percent: int) -> Column:
+    """Whether a set can be the smaller one of such a pair, or as large."""
+    return (n - p) * (100 + percent) >= n * (2 * percent)
+
+
+def small_buckets(shared: DataFrame, percent: int, bucket: int) -> DataFrame:
+    """Candidate pairs (a, b, na, nb, common) that share a prefix shingle of a small bucket."""
     small = shared.where(F.col("held") <= bucket)
     many = shared.where(F.col("held") > bucket).groupBy("k").agg(F.count(F.lit(1)).alias("many"))
     c = F.col
-    left = small.select("shingle", c("k").alias("a"), c("n").alias("na"))
-    right = small.select(c("shingle").alias("s"), c("k").alias("b"), c("n").alias("nb"))
+    left = small.select("shingle", c("k").alias("a"), c("n").alias("na"), c("p").alias("pa"))
+    right = small.select(
+        c("shingle").alias("s"), c("k").alias("b"), c("n").alias("nb"), c("p").alias("pb")
+    )
     on = (c("shingle") == c("s")) & (c("a") < c("b")) & comparable(c("na"), c("nb"), percent)
+    fits = viable(c("na"), c("pa"), c("nb"), c("pb"), percent)
     counted = (
-        left.join(right, on).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+        left.join(right, on)
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count(F.lit(1)).alias("common"), F.bool_or(fits).alias("fits"))
+        .where("fits")
     )
     ha, hb = many.toDF("a", "ha"), many.toDF("b", "hb")
     rest = lambda n: n - prefix_column(n, percent)
@@ -329,8 +351,27 @@ def small_buckets(shared: DataFrame, classes: DataFrame, percent: int, bucket: i
         counted.join(ha, "a", "left")
         .join(hb, "b", "left")
         .where(links_if(bound, c("na"), c("nb"), percent))
+        .select("a", "b", "na", "nb", "common")
+    )
+
+
+def in_waves(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The components (k, component) of the candidate pairs that link."""
+    c = F.col
+    ends = pairs.select(c("a").alias("k"), "*").union(pairs.select(c("b").alias("k"), "*"))
+    partner = F.struct("common", "a", "b", "na", "nb")
+    best = ends.groupBy("k").agg(F.max(partner).alias("best")).select("best.*").distinct()
+    first = saved(best.select("a", "b", "na", "nb"))
+    whole = components(verify(first, cut, percent))
+    apart = (
+        pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        .join(whole.toDF("a", "ca"), "a", "left")
+        .join(whole.toDF("b", "cb"), "b", "left")
+        .where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         .select("a", "b", "na", "nb")
     )
+    links = saved(verify(saved(apart), cut, percent))
+    return joined(whole, links) if links.limit(1).count() else whole
 
 
 def prefix_column(n: Column, percent: int) -> Column:
@@ -360,57 +401,74 @@ def large_buckets(
     bucket: int,
 ) -> DataFrame:
     """The components, after pairing the classes of large buckets across components."""
-    many = F.count(F.lit(1)).over(Window.partitionBy("k"))
-    large = shared.where(F.col("held") > bucket).withColumn("many", many)
-    rows = saved(large.select("shingle", "k", "n", "many"))
+    c, spark = F.col, shared.sparkSession
+    large = shared.where(c("held") > bucket).withColumn("core", core(c("n"), c("p"), percent))
+    many = large.groupBy("k").agg(F.count(F.lit(1)).alias("many"))
+    rows, path = saved_at(large.select("shingle", "k", "n", "p", "core").join(many, "k"))
     if not rows.limit(1).count():
         return whole
     cut = cut_for(rows.select("k").distinct())
-    c = F.col
-    tried = None
+    tried = scratch_path(spark)
+    spark.createDataFrame([], "a bigint, b bigint").write.parquet(tried)
+    lead = LEADERS
     while True:
-        now = rows.join(whole, "k", "left").select(
-            "shingle", "k", "n", "many", F.coalesce("component", "k").alias("own")
+        own = rows.join(whole, "k", "left").withColumn("own", F.coalesce("component", "k"))
+        # Buckets of several components with a core member left, and their components there.
+        groups = own.groupBy("shingle", "own").agg(F.bool_or("core").alias("core"))
+        state = groups.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("groups"), F.bool_or("core").alias("any")
+        )
+        open_ones = state.where("any AND groups > 1").select("shingle")
+        now, now_path = saved_at(
+            own.drop("component").join(open_ones, "shingle").select("shingle", "k", "n", "p", "core", "many", "own")
         )
-        state = now.groupBy("shingle").agg(F.min("own").alias("low"), F.max("own").alias("high"))
-        now = saved(now.join(state.where("low <> high").select("shingle"), "shingle"))
+        remove_path(spark, path)
         if not now.limit(1).count():
+            remove_path(spark, now_path)
+            remove_path(spark, tried)
             return whole
-        # One of each component, the smallest ones first, then a second of each, and so on;
-        # the rest of a bucket at once when it has become small. Those in most large buckets
-        # lead: the text that near copies were made from has the most in common with them.
-        kin = Window.partitionBy("shingle", "own")
+        # The smallest components first. Members of most large buckets before others: the
+        # text that near copies were made from has the most in common with them.
+        sizes = now.groupBy("shingle", "own").agg(F.count(F.lit(1)).alias("size"))
+        able = now.where("core").join(sizes, ["shingle", "own"])
+        kin = Window.partitionBy("shingle", "own").orderBy(F.desc("many"), "p", "k")
         turn = Window.partitionBy("shingle").orderBy("nth", "size", F.desc("many"), "own", "k")
-        rest = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
-        lead = F.greatest(F.lit(2), F.least(F.lit(LEADERS), F.floor(F.lit(MEETINGS) / c("rest"))))
         leaders = saved(
-            now.withColumn("nth", F.row_number().over(kin.orderBy(F.desc("many"), "k")))
-            .withColumn("size", F.count(F.lit(1)).over(kin))
-            .withColumn("rest", rest)
+            able.withColumn("nth", F.row_number().over(kin))
+            .where(c("nth") <= lead)
             .withColumn("place", F.row_number().over(turn))
-            .where((c("place") <= lead) | (c("rest") <= bucket))
-            .select("shingle", c("k").alias("leader"), c("n").alias("nl"), c("own").alias("lead"))
+            .where(c("place") <= lead)
+            .select(
+                "shingle",
+                c("k").alias("leader"),
+                c("n").alias("nl"),
+                c("p").alias("pl"),
+                c("own").alias("lead"),
+            )
         )
         met = now.join(leaders, "shingle").where(
-            (c("own") != c("lead")) & comparable(c("n"), c("nl"), percent)
+            (c("own") != c("lead")) & viable(c("n"), c("p"), c("nl"), c("pl"), percent)
+        )
+        pairs = saved(
+            met.select(
+                F.least("k", "leader").alias("a"),
+                F.greatest("k", "leader").alias("b"),
+                F.when(c("k") < c("leader"), c("n")).otherwise(c("nl")).alias("na"),
+                F.when(c("k") < c("leader"), c("nl")).otherwise(c("n")).alias("nb"),
+            )
+            .distinct()
+            .join(spark.read.schema("a bigint, b bigint").parquet(tried), ["a", "b"], "left_anti")
         )
-        pairs = met.select(
-            F.least("k", "leader").alias("a"),
-            F.greatest("k", "leader").alias("b"),
-            F.when(c("k") < c("leader"), c("n")).otherwise(c("nl")).alias("na"),
-            F.when(c("k") < c("leader"), c("nl")).otherwise(c("n")).alias("nb"),
-        ).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = saved(pairs)
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        pairs.select("a", "b").write.mode("append").parquet(tried)
         links = saved(verify(pairs, cut, percent))
         if links.limit(1).count():
             whole = joined(whole, links)
-        rows = saved(
+        rows, path = saved_at(
             now.join(leaders.select("shingle", c("leader").alias("k")), ["shingle", "k"], "left_anti")
-            .select("shingle", "k", "n", "many")
+            .drop("own")
         )
+        remove_path(spark, now_path)
+        lead *= GROWTH
 
 
 def near_components(
@@ -438,7 +496,7 @@ def near_components(
     )
     held = Window.partitionBy("shingle")
     shared = saved(
-        classes.select("k", "n", F.explode("prefix").alias("shingle"))
+        classes.select("k", "n", F.posexplode("prefix").alias("p", "shingle"))
         .withColumn("held", F.count(F.lit(1)).over(held))
         .where("held > 1")
     )
@@ -447,10 +505,10 @@ def near_components(
     def cut_for(ks: DataFrame) -> DataFrame:
         return saved(fragments(rows, names.join(ks, "k", "left_semi"), words))
 
-    pairs = saved(small_buckets(shared, classes, percent, bucket))
+    pairs = saved(small_buckets(shared, percent, bucket))
     ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k")))
-    links = verify(pairs, cut_for(ends.distinct()), percent)
-    whole = large_buckets(shared, components(links), cut_for, percent, bucket)
+    whole = in_waves(pairs, cut_for(ends.distinct()), percent)
+    whole = large_buckets(shared, whole, cut_for, percent, bucket)
     own = F.struct("id", "mark")
     linked = whole.join(classes.select("k", own.alias("own")), "k")
     lowest = linked.groupBy("component").agg(F.min("own").alias("lowest"))

@@ -189,6 +189,29 @@ def test_components_of_repeated_rows(spark, bucket):
     )
 
 
+def test_dissimilar_documents_that_share_a_passage(spark):
+    """Hundreds of classes in the buckets of one passage, few of which link, and a large
+    group of near copies; all as by brute force."""
+    rnd = random.Random(11)
+    passage = [f"p{i}" for i in range(48)]
+    texts = [
+        " ".join([f"u{i}x{k}" for k in range(rnd.choice([2, 5, 8, 9, 10, 30]))] + passage)
+        for i in range(500)
+    ]
+    base = [f"b{i}" for i in range(120)]
+    for i in range(200):
+        own = list(base)
+        for k in rnd.sample(range(120), rnd.randint(1, 6)):
+            own[k] = f"e{i}x{k}"
+        texts.append(" ".join(own))
+    rnd.shuffle(texts)
+    want, _ = linked(texts, 4, 85)
+    docs = make(spark, [(i, t) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    assert 100 < len(set(want)) < 650
+
+
 def test_drop_near_copies(spark):
     texts = near_texts(8)
     docs = make(spark, [(i, t) for i, t in enumerate(texts)])
