@@ -62,8 +62,8 @@ WORDS = 4
 PERCENT = 85
 BUCKET = 64
 # Leaders of a large bucket in the first round, and their growth from round to round.
-LEADERS = 2
-GROWTH = 8
+LEADERS = 4
+GROWTH = 64
 FRAGMENTS = 8
 SEEN = 2
 FREQUENT = 8
