@@ -94,20 +94,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spread over all tasks. Repeated rows with one id keep the first by their other
     columns.
     """
-    keepers = merge_runs(digest_rows(docs, id_col, text_col)).select(
-        *[F.col(k).alias(f"__{k}") for k in KEY], F.col("keep.id").alias("__id")
-    )
-    keys = [f"__{k}" for k in KEY] + ["__id"]
-    marked = docs.withColumns(
-        {f"__{k}": c for k, c in text_key(text_col).items()} | {"__id": id_key(id_col)}
-    )
+    keys = [*KEY, "id"]
+    keepers = merge_runs(digest_rows(docs, id_col, text_col)).select(*KEY, F.col("keep.id").alias("id"))
     others = [col(c) for c in docs.columns if c not in (id_col, text_col)]
-    order = F.to_json(F.struct(*others)) if others else F.lit("")
-    first = Window.partitionBy(*keys).orderBy("__order")
-    return (
-        marked.join(keepers, keys, "left_semi")
-        .withColumn("__order", order)
-        .withColumn("__place", F.row_number().over(first))
-        .where("__place = 1")
-        .select(*[col(c) for c in docs.columns])
+    # The document's own columns are out of reach of those used here.
+    marked = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"),
+        *[c.alias(k) for k, c in text_key(text_col).items()],
+        id_key(id_col).alias("id"),
+        (F.to_json(F.struct(*others)) if others else F.lit("")).alias("order"),
     )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
+    kept = marked.join(keepers, keys, "left_semi").withColumn("place", place)
+    return kept.where("place = 1").select("row.*")

@@ -409,7 +409,7 @@ def large_buckets(
         return whole
     cut = cut_for(rows.select("k").distinct())
     tried = scratch_path(spark)
-    spark.createDataFrame([], "a bigint, b bigint").write.parquet(tried)
+    rows.select(c("k").alias("a"), c("k").alias("b")).where("a < b").write.parquet(tried)
     lead = LEADERS
     while True:
         own = rows.join(whole, "k", "left").withColumn("own", F.coalesce("component", "k"))
@@ -552,22 +552,17 @@ def drop_near_copies(
     found = near_components(docs, id_col, text_col, **options)
     firsts = (
         found.where("id = component_id and mark = component_mark")
-        .select(
-            F.col("id").alias("__id"),
-            F.col("mark").alias("__mark"),
-            (F.col("n_shingles") == 0).alias("__empty"),
-        )
+        .select("id", "mark", (F.col("n_shingles") == 0).alias("empty"))
         .distinct()
     )
     others = [col(c) for c in docs.columns if c not in (id_col, text_col)]
-    order = F.to_json(F.struct(*others)) if others else F.lit("")
-    place = F.row_number().over(Window.partitionBy("__id", "__mark").orderBy("__order"))
-    marked = docs.withColumns(
-        {"__id": id_key(id_col), "__mark": F.xxhash64(whole_text(text_col)), "__order": order}
-    )
-    return (
-        marked.join(firsts, ["__id", "__mark"])
-        .withColumn("__place", place)
-        .where("__place = 1 or __empty")
-        .select(*[col(c) for c in docs.columns])
+    # The document's own columns are out of reach of those used here.
+    marked = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"),
+        id_key(id_col).alias("id"),
+        F.xxhash64(whole_text(text_col)).alias("mark"),
+        (F.to_json(F.struct(*others)) if others else F.lit("")).alias("order"),
     )
+    place = F.row_number().over(Window.partitionBy("id", "mark").orderBy("order"))
+    kept = marked.join(firsts, ["id", "mark"]).withColumn("place", place)
+    return kept.where("place = 1 or empty").select("row.*")

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import re
 import sys
+import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -55,7 +56,11 @@ BANDS = 13  # of 1 to DIMS places
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 20
 BATCH_ROWS = 512
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Numbers that are no digits, such as superscripts, fractions and Roman numerals.
+NUMBERS = "".join(
+    c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")
+)
+NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
 
 
 class Model(NamedTuple):
@@ -368,6 +373,8 @@ def keep_known(
 ) -> DataFrame:
     """The documents whose language is recognised, with their own columns."""
     model = fit(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **options)
-    marked = docs.withColumns({"__text": col(text_col).cast("string")})
-    found = predict(marked, model, "__text", ("__lang", "__score", "__rejected"))
-    return found.where(~F.col("__rejected")).select(*[col(c) for c in docs.columns])
+    marked = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"),
+        col(text_col).cast("string").alias("text"),
+    )
+    return predict(marked, model, "text").where("NOT rejected").select("row.*")

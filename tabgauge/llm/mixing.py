@@ -265,14 +265,11 @@ def take_copies(
     rows = narrow(docs, id_col, text_col, source_col)
     final, _, _ = decide(rows, **options)
     names = ["key", "id", "mark", "size"]
-    taken = final.where("copies > 0").select(
-        *[F.col(n).alias(f"__{n}") for n in names], F.col("copies").alias("__copies")
-    )
-    marked = docs.withColumns(
-        {f"__{k}": c for k, c in row_keys(id_col, text_col, source_col).items()}
-    )
-    return (
-        marked.join(taken, [f"__{n}" for n in names])
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-        .select(*[col(c) for c in docs.columns])
+    taken = final.where("copies > 0").select(*names, F.col("copies").cast("int").alias("copies"))
+    # The document's own columns are out of reach of those used here.
+    marked = docs.select(
+        F.struct(*[col(c) for c in docs.columns]).alias("row"),
+        *[c.alias(k) for k, c in row_keys(id_col, text_col, source_col).items()],
     )
+    every = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return marked.join(taken, names).select("row", every.alias("copy")).select("row.*")

@@ -14,7 +14,7 @@ import pytest
 from corpus_helpers import make
 from pyspark.sql import functions as F
 
-from tabgauge.llm import jaccard, suffix, warc
+from tabgauge.llm import exact, jaccard, langid, mixing, suffix, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -232,6 +232,26 @@ def test_near_copies_odd(odd, odd_rows, nothing):
     assert jaccard.drop_near_copies(nothing).count() == 0
 
 
+@pytest.mark.parametrize(
+    "stage", [exact.drop_copies, jaccard.drop_near_copies, mixing.take_copies, langid.keep_known]
+)
+def test_columns_with_clashing_names_stay(spark, stage):
+    """A document's own columns may have any of the names used inside."""
+    names = ["id", "mark", "order", "row", "place", "copies", "copy", "key", "size", "lang_pred",
+             "score", "rejected", "n", "digest", "check", "__id", "__copies", "__text", "held_out"]
+    words = {"en": "the cat and the dog of this house were there", "de": "der hund und die katze sind nicht im haus"}
+    rows = [
+        (i, f"{words[lang]} {words[lang]} number {'abcdefgh'[i % 8]}", lang, "s", *[f"{n}{i}" for n in names])
+        for i, lang in enumerate(["en", "de"] * 20)
+    ]
+    schema = "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    got = stage(docs)
+    assert got.columns == docs.columns
+    made = got.collect()
+    assert made and set(map(tuple, made)) <= set(rows)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = jaccard.components(links.orderBy(F.rand(3)))

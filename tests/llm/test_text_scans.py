@@ -5,6 +5,7 @@ import random
 import re
 import shutil
 import tempfile
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -215,6 +216,13 @@ def test_language_odd(odd, odd_rows, nothing):
     assert langid.keep_known(nothing).count() == 0
 
 
+def test_only_letters_make_a_language():
+    texts = ["\u00b2", "\u00bd \u2460", "\u2163 \u2167", "3\u0969", "_ .", "x\u00b2", "\u3007"]
+    _, letters = langid.grams(texts)
+    wanted = [any(unicodedata.category(c)[0] == "L" for c in t) for t in texts]
+    assert letters.tolist() == wanted and sum(wanted) == 1
+
+
 def unseen(seed, letters, words):
     """Words made up of letters, as an unknown language or as junk."""
     rnd = random.Random(seed)
