@@ -56,11 +56,22 @@ BANDS = 13  # of 1 to DIMS places
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 20
 BATCH_ROWS = 512
-# Numbers that are no digits, such as superscripts, fractions and Roman numerals.
-NUMBERS = "".join(
-    c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")
+# Numbers that are no digits, such as superscripts, fractions and Roman numerals. A set of
+# its own, since one with classes in it is searched character by character.
+NUMBERS = re.compile(
+    "[%s]" % "".join(
+        c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")
+    )
 )
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMBERS}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+
+
+def letters_of(text: str) -> str:
+    """The text's runs of letters, in lower case, with a space between."""
+    text = text.lower()
+    if not text.isascii():
+        text = NUMBERS.sub(" ", text)
+    return NOT_LETTERS.sub(" ", text).strip()
 
 
 class Model(NamedTuple):
@@ -72,7 +83,7 @@ class Model(NamedTuple):
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed n-grams, one row per text; and whether it has a letter."""
-    plain = [" " + NOT_LETTERS.sub(" ", t.lower()).strip() + " " for t in texts]
+    plain = [f" {letters_of(t)} " for t in texts]
     letters = np.array([len(p) > 2 for p in plain], bool)
     lengths = np.array([len(p) for p in plain], np.int64)
     code = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4")
