@@ -56,22 +56,26 @@ BANDS = 13  # of 1 to DIMS places
 UNKNOWN = "und"
 BATCH_CHARS = 1 << 20
 BATCH_ROWS = 512
-# Numbers that are no digits, such as superscripts, fractions and Roman numerals. A set of
-# its own, since one with classes in it is searched character by character.
-NUMBERS = re.compile(
-    "[%s]" % "".join(
-        c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")
-    )
-)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+# Numbers that are no digits, such as superscripts, fractions and Roman numerals: by code
+# point, since few texts have one and a set in the expression would slow down all.
+NUMBERS = np.array([unicodedata.category(chr(c)) in ("Nl", "No") for c in range(0x110000)])
+
+
+def letters_of(texts: list[str]) -> list[str]:
+    """The runs of letters of each text, in lower case, between single spaces."""
+    plain = [f" {NOT_LETTERS.sub(' ', t.lower()).strip()} " for t in texts]
+    odd = NUMBERS[code_points(plain)]
+    if odd.any():
+        ends = np.cumsum([len(p) for p in plain])
+        for i in set(np.searchsorted(ends, np.flatnonzero(odd), side="right").tolist()):
+            kept = "".join(" " if NUMBERS[ord(c)] else c for c in plain[i])
+            plain[i] = f" {' '.join(kept.split())} "
+    return plain
 
 
-def letters_of(text: str) -> str:
-    """The text's runs of letters, in lower case, with a space between."""
-    text = text.lower()
-    if not text.isascii():
-        text = NUMBERS.sub(" ", text)
-    return NOT_LETTERS.sub(" ", text).strip()
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
 
 
 class Model(NamedTuple):
@@ -83,11 +87,10 @@ class Model(NamedTuple):
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of hashed n-grams, one row per text; and whether it has a letter."""
-    plain = [f" {letters_of(t)} " for t in texts]
+    plain = letters_of(texts)
     letters = np.array([len(p) > 2 for p in plain], bool)
     lengths = np.array([len(p) for p in plain], np.int64)
-    code = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4")
-    code = code.astype(np.uint64)
+    code = code_points(plain).astype(np.uint64)
     row = np.repeat(np.arange(len(texts)), lengths)
     counts = np.zeros(len(texts) * DIMS)
     mixed = code
