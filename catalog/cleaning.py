@@ -27,6 +27,8 @@ from tabgauge.operators.clean import (
     remove_duplicates,
     remove_outliers,
 )
+from tabgauge.session import scratch_path
+from tabgauge.sources.edits import edit_table
 
 
 @query("remove_duplicates", f"SELECT DISTINCT * FROM {PART_NAMES} AS t")
@@ -160,3 +162,30 @@ def _apply_edits(spark, sf_dir):
         (-1 - F.col("o_orderkey")).alias("o_orderkey"), price, F.lit(False).alias("deleted")
     )
     return apply_edits(orders, changed.unionByName(new), ["o_orderkey"])
+
+
+EDITS_OF_A_YEAR = f"""(SELECT e.* FROM {EDITS} AS e JOIN orders o ON o.o_orderkey = e.o_orderkey
+    WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01')"""
+
+
+@query(
+    "edit_table",
+    f"""SELECT o.o_orderkey, o_custkey, o_orderstatus,
+        coalesce(new_price, o_totalprice) AS o_totalprice, o_orderdate, o_orderpriority
+    FROM orders o LEFT JOIN {EDITS_OF_A_YEAR} AS e ON o.o_orderkey = e.o_orderkey
+    WHERE coalesce(NOT deleted, true)""",
+    o_totalprice=2,
+)
+def _edit_table(spark, sf_dir):
+    """Orders stored by date; one year's pending orders are repriced or deleted in their files."""
+    orders = table(spark, sf_dir, "orders")
+    path = scratch_path(spark)
+    orders.repartitionByRange(16, "o_orderdate").write.parquet(path)
+    pending = orders.where((F.col("o_orderstatus") == "P") & (F.year("o_orderdate") == 1997))
+    edits = pending.select(
+        "o_orderkey",
+        F.round(F.col("o_totalprice") + 100, 2).alias("o_totalprice"),
+        (F.col("o_orderpriority") == "5-LOW").alias("deleted"),
+    )
+    edit_table(spark, path, edits, ["o_orderkey"])
+    return spark.read.parquet(path)
