@@ -19,10 +19,13 @@ documents that share a prefix shingle can link:
 - A larger bucket (large groups of near copies, boilerplate) meets a few leaders in each
   round, core members of its smallest components. A leader has then met all others and
   leaves; the bucket ends when one component or no core member is left. Leaders grow from
-  round to round, so that near copies merge at the cost of a few pairs each, and dissimilar
-  classes need few rounds. No pair of different components goes unseen.
+  round to round, fast over all components, so that dissimilar classes need few rounds, and
+  slowly within one, so that large components merge at the cost of a few pairs a member. No
+  pair of different components goes unseen.
 
-Candidate pairs are verified by vertical partitioning: the order is cut into fragments by
+A set has a bitmap of its shingles' hashes. A bit that one set has and the other lacks stands
+for a shingle at least that they do not share, which bounds their overlap and ends most
+candidate pairs. The rest are verified by vertical partitioning: the order is cut into fragments by
 hash, the overlap of each fragment is counted by itself, and the counts are summed per
 pair. Links are contracted to components by hooking and pointer jumping.
 
@@ -61,10 +64,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS = 4
 PERCENT = 85
 BUCKET = 64
-# Leaders of a large bucket in the first round, and their growth from round to round.
+# Leaders of a large bucket in the first round, of all its components and of one of them,
+# and their growth from round to round.
 LEADERS = 4
 GROWTH = 64
+GROWTH_OF_ONE = 2
 FRAGMENTS = 8
+# Bits of a set's bitmap, which is kept beside its fragments under a number of its own.
+BITS = 1024
+BITMAP = -1
 SEEN = 2
 FREQUENT = 8
 MOST_FREQUENT = 1_000_000
@@ -232,7 +240,7 @@ def describe(
 
 
 def fragments(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(k, fragment, shingles) of the classes in wanted (k, id, mark)."""
+    """(k, fragment, shingles) of the classes in wanted (k, id, mark), and their bitmaps."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scale = Scale(0)
@@ -247,6 +255,9 @@ def fragments(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                             k.append(ks[first + i].as_py())
                             number.append(f)
                             cut.append(piece.view(np.int64))
+                    k.append(ks[first + i].as_py())
+                    number.append(BITMAP)
+                    cut.append(bitmap(own).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(k, pa.int64()),
@@ -261,6 +272,13 @@ def fragments(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return one.mapInArrow(run, "k bigint, fragment int, shingles array<bigint>")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """``BITS`` bits in words of 64, one set by each shingle."""
+    bits, place = np.zeros(BITS // 64, np.uint64), shingles & U(BITS - 1)
+    np.bitwise_or.at(bits, (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
+    return bits
+
+
 def links_if(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
     return overlap * 100 >= (na + nb - overlap) * percent
 
@@ -270,8 +288,28 @@ def comparable(na: Column, nb: Column, percent: int) -> Column:
     return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
 
 
+def possible(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) whose bitmaps leave enough overlap for a link."""
+    bits = cut.where(F.col("fragment") == BITMAP).select("k", "shingles")
+
+    def lacking(own: str, other: str) -> Column:
+        words = F.zip_with(own, other, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.aggregate(words, F.lit(0), lambda total, n: total + n)
+
+    c = F.col
+    overlap = F.least(c("na") - lacking("sa", "sb"), c("nb") - lacking("sb", "sa"))
+    return (
+        pairs.join(bits.toDF("a", "sa"), "a")
+        .join(bits.toDF("b", "sb"), "b")
+        .where(links_if(overlap, c("na"), c("nb"), percent))
+        .select("a", "b", "na", "nb")
+    )
+
+
 def verify(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that link, as (a, b)."""
+    pairs = possible(pairs, cut, percent)
+    cut = cut.where(F.col("fragment") != BITMAP)
     left = cut.select(F.col("k").alias("a"), "fragment", F.col("shingles").alias("sa"))
     right = cut.select(F.col("k").alias("b"), "fragment", F.col("shingles").alias("sb"))
     partial = (
@@ -410,7 +448,7 @@ def large_buckets(
     cut = cut_for(rows.select("k").distinct())
     tried = scratch_path(spark)
     rows.select(c("k").alias("a"), c("k").alias("b")).where("a < b").write.parquet(tried)
-    lead = LEADERS
+    lead = of_one = LEADERS
     while True:
         own = rows.join(whole, "k", "left").withColumn("own", F.coalesce("component", "k"))
         # Buckets of several components with a core member left, and their components there.
@@ -435,7 +473,7 @@ def large_buckets(
         turn = Window.partitionBy("shingle").orderBy("nth", "size", F.desc("many"), "own", "k")
         leaders = saved(
             able.withColumn("nth", F.row_number().over(kin))
-            .where(c("nth") <= lead)
+            .where(c("nth") <= of_one)
             .withColumn("place", F.row_number().over(turn))
             .where(c("place") <= lead)
             .select(
@@ -469,6 +507,7 @@ def large_buckets(
         )
         remove_path(spark, now_path)
         lead *= GROWTH
+        of_one *= GROWTH_OF_ONE
 
 
 def near_components(
