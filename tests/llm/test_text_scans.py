@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import resource
 import shutil
 import tempfile
 import unicodedata
@@ -57,6 +58,37 @@ def test_seeds_are_linear():
         pii.candidates(text, pii.seeds(text))
 
 
+def test_any_number_of_zeros_in_an_ip(spark):
+    zeros = "0" * 5000
+    texts = [f"{zeros}.1.1.1", f"x {zeros}255.0.{zeros}.{zeros}7 y", f"{zeros}256.1.1.1", "9" * 5000 + ".1.1.1"]
+    got = {r.doc_id: r for r in pii.find_personal_data(make(spark, spread(texts))).collect()}
+    assert [got[i].n_ip for i in range(4)] == [1, 1, 0, 0]
+    for i, start in ((0, 0), (1, 2)):
+        line = f"ip:{start}:{len(texts[i]) - start}"
+        assert got[i].base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_counts_of_every_kind(spark):
+    mail, ip, card, phone = "me@x.org", "10.0.0.1", "4532015112830366", "+49 30 123456"
+    texts = ["", mail, ip, card, phone, f"{ip} {ip} {ip}", f"{card} | {card}", f"{phone} {mail} {mail}",
+             f"{phone}, {card}, {ip}, {mail}", f"{mail} {ip} {ip} {mail} {phone} {mail}"]
+    got = {r.doc_id: r for r in pii.find_personal_data(make(spark, spread(texts))).collect()}
+    for i, text in enumerate(texts):
+        kinds = [kind for kind, _, _ in brute_spans(text)]
+        row = got[i]
+        assert [row.n_email, row.n_ip, row.n_card, row.n_phone] == [kinds.count(k) for k in pii.KINDS], text
+        want = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(text))
+        assert row.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_long_matches_take_no_memory():
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for text in ("1" * 4_000_000, "1 " * 2_000_000, "a@b" + ".c" * 2_000_000):
+        pii.seeds(text)
+    # In kB.
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200_000
+
+
 def test_luhn():
     assert pii.luhn("4532015112830366") and not pii.luhn("4532015112830367")
 
