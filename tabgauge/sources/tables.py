@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,19 @@ WHOLE_TYPES = [
 ]
 # Tried in this order when a CSV is read.
 INFERRED_TYPES = ("int", "bigint", "double", "timestamp", "boolean")
+# What texts of these types look like. Some that do not fit match too, but no text that fits
+# is left out, so only these are cast: a cast that fails builds an error first.
+AROUND = r"[\x00-\x20\x7F]*"
+SHAPES = {
+    "bigint": r"[+-]?0*(?:[0-9]{1,18}|[0-8][0-9]{18}|9[0-2][0-9]{17})",
+    "double": r"[+-]?(?:nan|inf(?:inity)?|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?[fd]?"
+    r"|0x[0-9a-f]*\.?[0-9a-f]*p[+-]?[0-9]+[fd]?)",
+    # Years, months, days and hours of times of a day that cannot be are left out.
+    "timestamp": r"[+-]?(?:(?:[0-9]{4,5}|[01][0-9]{5}|2[0-8][0-9]{4}|29[0-4][0-9]{3})"
+    r"(?:-(?:0?[1-9]|1[0-2])(?:-(?:0?[1-9]|[12][0-9]|3[01])(?:[T\x20].*)?)?)?"
+    r"|(?:T(?:[01]?[0-9]|2[0-3])|(?:[01]?[0-9]|2[0-3]):[0-5]?[0-9])(?:[^0-9].*)?)",
+    "boolean": "(?:t|true|y|yes|1|f|false|n|no|0)",
+}
 # Texts that common CSV readers take as a missing value; fixed values.
 MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -53,6 +66,16 @@ def read_csv(
     return normalize(texts.select(*[col(c).try_cast(kinds[c]).alias(c) for c in named]))
 
 
+def reads_as(text: Column, kind: str) -> Column:
+    """The text as one of the inferred types, null where it is none: ``try_cast``, but
+    quick on texts that do not fit."""
+    if kind == "int":
+        whole = reads_as(text, "bigint")
+        return F.when(whole.between(-(2**31), 2**31 - 1), whole.cast("int"))
+    fits = text.rlike(rf"(?is)\A{AROUND}{SHAPES[kind]}{AROUND}\z")
+    return F.when(fits, text.try_cast(kind))
+
+
 def infer_types(texts: DataFrame) -> dict[str, str]:
     """The first of a few types that all texts of a column fit; string for none."""
     if not texts.columns:
@@ -60,7 +83,7 @@ def infer_types(texts: DataFrame) -> dict[str, str]:
     fits = texts.agg(
         *[
             F.coalesce(
-                F.bool_and(F.trim(col(c)).try_cast(kind).isNotNull() | col(c).isNull())
+                F.bool_and(reads_as(F.trim(col(c)), kind).isNotNull() | col(c).isNull())
                 & (F.count(col(c)) > 0),
                 F.lit(False),
             ).alias(f"{i}_{kind}")
